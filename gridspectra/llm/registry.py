@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, mixing, quality_rules
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE_SQL = {
+    "op2_quality_rules": quality_rules.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
 }
