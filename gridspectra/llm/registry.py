@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules
+from . import archives, chat, mixing, quality_rules, topk
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_arc_to_warc": archives.op4_arc_to_warc,
+    "op5_exact_topk": topk.op5_exact_topk,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op4_arc_to_warc": archives.SQL,
+    "op5_exact_topk": topk.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
 }
