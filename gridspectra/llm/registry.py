@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import archives, chat, mixing, quality_rules, topk
+from . import archives, chat, mixing, quality_rules, token_counts, topk
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_arc_to_warc": archives.op4_arc_to_warc,
     "op5_exact_topk": topk.op5_exact_topk,
