@@ -15,7 +15,7 @@ under merging. States and transitions are compiled when first met and kept.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 from unicodedata import category
 
 import numpy as np
@@ -29,7 +29,7 @@ from .shared import table
 
 LIMIT = 1024
 #: Characters in a chunk; kept words and kept states, beyond which a worker forgets and starts again.
-CHUNK, MOST_WORDS, MOST_STATES = 256, 1 << 20, 1 << 18
+CHUNK, MOST_WORDS, MOST_STATES = 256, 1 << 20, 1 << 17
 
 # Classes of characters.
 LETTER, STMD, R, E, V, L, NUMBER, OTHER, QUOTE, BLANK, SPACE, END = range(12)
@@ -251,6 +251,12 @@ class Tokens:
         return out + sums[first[1:]] - sums[first[:-1]]
 
 
+@lru_cache(maxsize=1)
+def tokens_of(vocabulary: str) -> Tokens:
+    """One per worker process, which runs many tasks."""
+    return Tokens(Vocabulary.parse(vocabulary))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text, as the tokenizers library counts without added special tokens.
 
@@ -261,9 +267,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        tokens = None
+        tokens = tokens_of(held.value)
         for batch in batches:
-            tokens = tokens or Tokens(Vocabulary.parse(held.value))
             data, offsets = buffers(batch.column("text"))
             counts = np.zeros(len(batch), np.int64)
             for i, j in slices(offsets):
