@@ -7,6 +7,9 @@ import json
 from dataclasses import dataclass, field
 from functools import cache
 
+#: Symbols up to which the lowest rank is looked up in a plain list; a rank beyond all.
+SHORT, NEVER = 32, 1 << 40
+
 
 @cache
 def byte_letters() -> tuple[str, ...]:
@@ -44,6 +47,18 @@ class Vocabulary:
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges the pair of lowest rank, leftmost first, until none is left; n log n for n symbols."""
         n = len(symbols)
+        if n <= SHORT:
+            part, get = list(symbols), self.ranks.get
+            ranks = [get(p, NEVER) for p in zip(part, part[1:])]
+            while ranks and (best := min(ranks)) != NEVER:
+                i = ranks.index(best)
+                part[i : i + 2] = [part[i] + part[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = get((part[i - 1], part[i]), NEVER)
+                if i < len(ranks):
+                    ranks[i] = get((part[i], part[i + 1]), NEVER)
+            return part
         part, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get((part[i], part[i + 1]))) is not None]
         heapq.heapify(heap)
