@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import archives, bpe_codec, chat, mixing, quality_rules, token_counts, topk
+from . import archives, bpe_codec, chat, mixing, quality_model, quality_rules, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_arc_to_warc": archives.op4_arc_to_warc,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
