@@ -117,9 +117,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5):
             s = np.sort(full[a : b - width + 1])
             yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
         elif b > a:
-            x = M1 + np.uint64(b - a)
-            for y in h[a:b]:
-                x = mix(np.atleast_1d((x ^ y) * M3))[0]
-            yield np.array([x], dtype=np.uint64)
+            x = np.full(1, b - a, dtype=np.uint64)
+            for k in range(a, b):
+                x = mix((x ^ h[k]) * M3)
+            yield x
         else:
             yield np.zeros(0, dtype=np.uint64)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import archives, bpe_codec, chat, mixing, quality_model, quality_rules, token_counts, topk
+from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_arc_to_warc": archives.op4_arc_to_warc,
     "op5_exact_topk": topk.op5_exact_topk,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
+    "op3_jaccard_join": jaccard_join.SQL,
     "op4_arc_to_warc": archives.SQL,
     "op5_exact_topk": topk.SQL,
     "op8_source_mixing": mixing.SQL,
