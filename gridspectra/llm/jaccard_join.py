@@ -399,7 +399,8 @@ n as (select doc_id, count(*) as n from s group by doc_id),
 o as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (shingle) where a.doc_id < b.doc_id group by all),
 e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
 ties as (select a, b from e union select b, a from e),
-reach as (select doc_id, doc_id as other from n union select r.doc_id, t.b from reach r join ties t on t.a = r.other)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(min(r.other), d.doc_id) as component_id
-from documents d left join n using (doc_id) left join reach r using (doc_id) group by all
+reach as (select doc_id, doc_id as other from n union select r.doc_id, t.b from reach r join ties t on t.a = r.other),
+least as (select doc_id, min(other) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(l.component_id, d.doc_id) as component_id
+from documents d left join n using (doc_id) left join least l using (doc_id)
 """
