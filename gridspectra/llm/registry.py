@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, token_counts, topk
+from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_bpe_codec": bpe_codec.op7_bpe_codec,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 ORACLE_SQL = {
