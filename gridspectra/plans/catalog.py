@@ -1,9 +1,630 @@
-"""All queries over the reference operators, and their SQL twins."""
+"""All queries over the reference operators, each with its SQL twin for DuckDB where SQL can say it.
+
+Every query takes (spark, sf_dir); values are rounded to 6 places, for the two engines add doubles in different orders.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridspectra.functions import boxes as B
+from gridspectra.functions import names as N
+from gridspectra.functions import vectors as V
+from gridspectra.operators import cluster, graph, grid, masks, metrics, spectral
+from gridspectra.sources import annotations as A
+from gridspectra.sources import files
+from gridspectra.sources import fixtures as X
+
+CLASSES, SIDE = 10, X.SIDE
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"with {X.SQL}{sql}" if not sql.startswith("!") else f"with recursive {X.SQL}{sql[1:]}"
+        return f
+
+    return put
+
+
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n), 6) + F.lit(0.0) for n in names})
+
+
+# ---- matched evaluation
+
+_CNT = ", cnt as (select pred, target, count(*) as n from pix where target <> 255 group by all)"
+_IOU = _CNT + """, dom as (select p::int as pred, t::int as target from range(10) a(p), range(10) b(t)),
+m1 as (select pred, sum(n) as np from cnt group by 1), m2 as (select target, sum(n) as nt from cnt group by 1),
+iou as (select d.pred, d.target, coalesce(n, 0) / greatest(coalesce(np, 0) + coalesce(nt, 0) - coalesce(n, 0), 1e-8) as iou from dom d left join cnt using (pred, target) left join m1 using (pred) left join m2 using (target))"""
+_MATCH = _IOU + ", mat as (select pred, target, iou from (select *, row_number() over (partition by pred order by iou desc, target) as k from iou) where k = 1)"
+_MAPPED = _MATCH + ", mapped as (select p.image_id, p.r, p.c, p.target, coalesce(m.target, 0)::int as pred from pix p left join mat m using (pred))"
+_JAC = """, jac as (select cls::int as cls, count_if(pred = cls and target = cls) as tp, count_if(pred = cls and target <> cls) as fp, count_if(pred <> cls and target = cls) as fn
+from range(10) d(cls) left join {src} on true group by cls)"""
+_JC = "select cls, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(coalesce(tp / nullif(tp + fp + fn, 0), 0), 6) as jaccard from jac"
+
+
+@query("contingency", _CNT + " select pred, target, n from cnt")
+def _(s, d):
+    return metrics.contingency(metrics.valid(X.pix(s, d)))
+
+
+@query("cluster_class_iou", _IOU + " select pred, target, round(iou, 6) as iou from iou")
+def _(s, d):
+    return r6(metrics.pair_iou(metrics.contingency(metrics.valid(X.pix(s, d))), CLASSES, CLASSES), "iou")
+
+
+def _ious(s, d):
+    return metrics.pair_iou(metrics.contingency(metrics.valid(X.pix(s, d))), CLASSES, CLASSES)
+
+
+@query("majority_match", _MATCH + " select pred, target, round(iou, 6) as iou from mat")
+def _(s, d):
+    return r6(metrics.majority_match(_ious(s, d)), "iou")
+
+
+@query("hungarian_match", _MATCH + " select pred, target, round(iou, 6) as iou from mat")
+def _(s, d):
+    return r6(metrics.hungarian_match(_ious(s, d), CLASSES), "iou")
+
+
+@query("remap_preds", _MAPPED + " select image_id, r, c, target, pred from mapped")
+def _(s, d):
+    return metrics.remap(X.pix(s, d), metrics.majority_match(_ious(s, d))).select("image_id", "r", "c", "target", "pred")
+
+
+@query("class_jaccard", _JAC.format(src="(select * from pix where target <> 255)") + _JC)
+def _(s, d):
+    return r6(metrics.class_jaccard(metrics.contingency(metrics.valid(X.pix(s, d))), CLASSES), "jaccard")
+
+
+@query("miou", _MAPPED + _JAC.format(src="(select * from mapped where target <> 255)") + f", j as ({_JC}) select round(avg(jaccard), 5) as miou from j")
+def _(s, d):
+    return metrics.miou(X.pix(s, d), CLASSES).select(F.round("miou", 5).alias("miou"))
+
+
+@query("miou_hungarian", _MAPPED + _JAC.format(src="(select * from mapped where target <> 255)") + f", j as ({_JC}) select round(avg(jaccard), 5) as miou from j")
+def _(s, d):
+    return metrics.miou(X.pix(s, d), CLASSES, "hungarian").select(F.round("miou", 5).alias("miou"))
+
+
+# ---- binary masks
+
+_IOU2 = "coalesce(count_if(pred and target) / nullif(count_if(pred or target), 0), 0)"
+
+
+@query("pixel_accuracy", " select image_id, round(avg((pred = target)::int), 6) as acc from bin group by 1")
+def _(s, d):
+    return r6(metrics.pixel_accuracy(X.binary(s, d), "image_id"), "acc")
+
+
+@query("binary_iou", f" select image_id, round({_IOU2}, 6) as iou from bin group by 1")
+def _(s, d):
+    return r6(metrics.binary_iou(X.binary(s, d), "image_id"), "iou")
+
+
+@query("precision_recall", " select image_id, round(coalesce(count_if(pred and target) / nullif(count_if(pred), 0), 1), 6) as precision, round(coalesce(count_if(pred and target) / nullif(count_if(target), 0), 1), 6) as recall from bin group by 1")
+def _(s, d):
+    return r6(metrics.precision_recall(X.binary(s, d), "image_id"), "precision", "recall")
+
+
+_PR = """, pr as (select image_id, i::int as i, coalesce(count_if(soft > i / 255.0::double and target) / nullif(count_if(soft > i / 255.0::double), 0), 1) as precision,
+coalesce(count_if(soft > i / 255.0::double and target) / nullif(count_if(target), 0), 1) as recall from bin, range(1, 255) t(i) group by image_id, i)"""
+
+
+@query("pr_curve", _PR + " select image_id, i, round(precision, 6) as precision, round(recall, 6) as recall from pr")
+def _(s, d):
+    return r6(metrics.pr_curve(X.binary(s, d)), "precision", "recall")
+
+
+@query("f_beta_max", _PR + ", f as (select i, avg(coalesce(1.3 * precision * recall / nullif(0.3 * precision + recall, 0), 0)) as f from pr group by i) select round(max(f), 6) as f_max from f")
+def _(s, d):
+    return r6(metrics.f_max(X.binary(s, d)), "f_max")
+
+
+@query("macro_mean", f" select round(avg(acc), 6) as acc, round(avg(iou), 6) as iou from (select image_id, avg((pred = target)::int) as acc, {_IOU2} as iou from bin group by 1)")
+def _(s, d):
+    p = X.binary(s, d)
+    both = p.groupBy("image_id").agg(F.avg((F.col("pred") == F.col("target")).cast("double")).alias("acc"), metrics.ratio(F.count_if(F.col("pred") & F.col("target")), F.count_if(F.col("pred") | F.col("target"))).alias("iou"))
+    return r6(both.agg(F.avg("acc").alias("acc"), F.avg("iou").alias("iou")), "acc", "iou")
+
+
+@query("topk_accuracy", ", k as (select *, row_number() over (partition by vec_id order by score desc, class) as k from score) select round(100 * count_if(k <= 1) / (select count(distinct vec_id) from score), 6) as top1, round(100 * count_if(k <= 5) / (select count(distinct vec_id) from score), 6) as top5 from k where class = label")
+def _(s, d):
+    return r6(metrics.topk_accuracy(X.score(s, d)), "top1", "top5")
+
+
+@query("class_argmax", ", k as (select *, row_number() over (partition by vec_id order by score desc, class) as k from score) select vec_id, class::int as class from k where k = 1")
+def _(s, d):
+    return X.feat(s, d).select("vec_id", V.argmax(F.slice("k", 1, 10)).alias("class"))
+
+
+# ---- meters
+
+
+@query("meter_rolling", """ select user_id, event_id, value, quantile_disc(value, 0.5) over w as median, round(avg(value) over w, 4) as mean, max(value) over w as max,
+round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as global_mean from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)""")
+def _(s, d):
+    m = metrics.rolling(X.table(s, d, "events"))
+    return m.withColumns({n: F.round(n, 4) for n in ("mean", "global_mean")})
+
+
+@query("meter_global", " select user_id, round(sum(value * (1 + event_id % 3)) / sum(1 + event_id % 3), 6) as mean from events group by 1")
+def _(s, d):
+    e = X.table(s, d, "events").withColumn("n", 1 + F.col("event_id") % 3)
+    return r6(metrics.weighted_mean(e, "value", "n", "user_id"), "mean")
+
+
+# ---- boxes
+
+_PAIRS = ", met as (select image_id, cls, b.x1::double x1, b.y1::double y1, b.x2::double x2, b.y2::double y2, g.x1::double g1, g.y1::double g2, g.x2::double g3, g.y2::double g4 from box b join gtb g using (image_id))"
+_OVER = _PAIRS + """, o as (select image_id, cls, greatest(least(x2, g3) - greatest(x1, g1), 0) * greatest(least(y2, g4) - greatest(y1, g2), 0) as inter, x2 - x1 as w1, y2 - y1 + 1e-7::double as h1, g3 - g1 as w2, g4 - g2 + 1e-7::double as h2,
+greatest(x2, g3) - least(x1, g1) as cw, greatest(y2, g4) - least(y1, g2) as ch, ((g1 + g3 - x1 - x2) ** 2 + (g2 + g4 - y1 - y2) ** 2) / 4 as rho from met),
+q as (select *, w1 * h1 + w2 * h2 - inter + 1e-7::double as u, cw * ch + 1e-7::double as ca, cw ** 2 + ch ** 2 + 1e-7::double as c2, 4 / pi() ** 2 * (atan(w2 / h2) - atan(w1 / h1)) ** 2 as v from o)"""
+
+
+def _met(s, d):
+    g = X.gtb(s, d).select("image_id", "cls", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
+    return X.box(s, d).join(g, "image_id")
+
+
+_FORMS = {
+    "iou": "inter / u",
+    "giou": "inter / u - (ca - u) / ca",
+    "diou": "inter / u - rho / c2",
+    "ciou": "inter / u - (rho / c2 + v * v / (v - inter / u + 1 + 1e-7::double))",
+}
+for _kind, _form in _FORMS.items():
+
+    @query(f"box_{_kind}", f"{_OVER} select image_id, cls, round({_form}, 6) as {_kind} from q")
+    def _(s, d, kind=_kind):
+        return r6(_met(s, d).select("image_id", "cls", B.iou(B.columns(), B.columns("g_"), kind).alias(kind)), kind)
+
+
+@query("box_iou_xywh", f"{_OVER} select image_id, cls, round(inter / u, 6) as iou from q")
+def _(s, d):
+    def center(p):
+        x1, y1, x2, y2 = B.columns(p)
+        return B.from_center((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)
+
+    return r6(_met(s, d).select("image_id", "cls", B.iou(center(""), center("g_")).alias("iou")), "iou")
+
+
+@query("corloc", f"{_OVER}, h as (select image_id, max((inter / u >= 0.5)::int) as hit from q where cls % 4 = 1 group by 1) select round(100 * avg(hit), 6) as corloc, count(*) as images from h")
+def _(s, d):
+    hit = _met(s, d).where("cls % 4 = 1").groupBy("image_id").agg(F.bool_or(B.iou(B.columns(), B.columns("g_")) >= 0.5).alias("hit"))
+    return r6(hit.agg((100 * F.avg(F.col("hit").cast("double"))).alias("corloc"), F.count("*").alias("images")), "corloc")
+
+
+# ---- annotations
+
+
+@query("voc_gt", " select image_id, 'class' || cls as name, x1 - 1 as x1, y1 - 1 as y1, x2, y2 from gtb")
+def _(s, d):
+    return A.voc_boxes(X.voc(s, d))
+
+
+@query("voc_gt_no_hards", " select image_id, 'class' || cls as name, x1 - 1 as x1, y1 - 1 as y1, x2, y2 from gtb where cls % 3 <> 0 and cls % 4 <> 0")
+def _(s, d):
+    return A.ground_truth("VOC07", X.voc(s, d), remove_hards=True)
+
+
+@query("coco_gt", " select image_id::bigint as image_id, cls as category_id, round_even(x1 + 0.5, 0)::int as x1, round_even(y1 + 0.5, 0)::int as y1, round_even(x2 + 0.5, 0)::int as x2, round_even(y2 + 0.5, 0)::int as y2 from gtb where cls <> 9")
+def _(s, d):
+    return A.ground_truth("COCO20k", X.coco(s, d))
+
+
+_HARD = """, part as (select *, row_number() over (partition by image_id order by cls) as k from gtb where image_id % 2 = 0 or cls % 3 = 0 or cls % 4 = 0)"""
+
+
+@query("hard_images", " select image_id, printf('%06d.jpg', image_id) as filename from gtb where image_id % 2 = 0 or cls % 3 = 0 or cls % 4 = 0 group by image_id having bool_and(cls % 3 = 0 or cls % 4 = 0)")
+def _(s, d):
+    part = X.voc(s, d).withColumn("object", F.filter("object", lambda o: (F.col("image_id") % 2 == 0) | A.is_hard(o)))
+    return A.hard_images(part)
+
+
+@query("class_names", " select 'class' || cls as name, (row_number() over (order by min(image_id * 100 + cls)) - 1)::int as class_id from gtb group by cls")
+def _(s, d):
+    objects = X.gtb(s, d).select(F.concat(F.lit("class"), F.col("cls").cast("string")).alias("name"), (F.col("image_id") * 100 + F.col("cls")).alias("place"))
+    return cluster.class_order(objects)
+
+
+@query("coco_subset", """, wanted as (select distinct image_id * 2 as image_id from gtb)
+select w.image_id::bigint as image_id, count(g.cls) as n_boxes, coalesce(sum((g.cls = 9)::int), 0)::bigint as n_crowd from wanted w left join gtb g using (image_id) group by 1""")
+def _(s, d):
+    names = X.gtb(s, d).select("image_id").distinct().select(N.coco_file((F.col("image_id") * 2).cast("long"), extension=".jpg").alias("name"))
+    return A.coco_subset(names, X.coco(s, d)).select("image_id", F.size("boxes").cast("long").alias("n_boxes"), F.size(F.filter("boxes", lambda b: b["iscrowd"] == 1)).cast("long").alias("n_crowd"))
+
+
+# ---- geometry
+
+
+@query("image_sizes", " select id, h, w, p, h // p as h_patch, w // p as w_patch, h // p * p as h_pad, w // p * p as w_pad from grid")
+def _(s, d):
+    return grid.image_sizes(X.grid(s, d))
+
+
+@query("infer_patch", " select id, p from grid")
+def _(s, d):
+    g = grid.image_sizes(X.grid(s, d))
+    return g.select("id", grid.infer_patch(F.col("h_patch") * F.col("w_patch"), F.col("h"), F.col("w")).alias("p"))
+
+
+@query("crop_to_patch", " select image_id, r, c, label from seg where r < 8 and c < 8")
+def _(s, d):
+    return grid.crop(X.seg(s, d), 8, 8)
+
+
+@query("pad_to_patch", ", g as (select distinct image_id, r, c from (select image_id from seg), (select i::int as r from range(16) t(i)), (select j::int as c from range(16) u(j))) select image_id, r, c, coalesce(label, 0) as label from g left join seg using (image_id, r, c)")
+def _(s, d):
+    return grid.pad(X.seg(s, d), "label", 16, 16)
+
+
+_LATTICE = ", g as (select image_id, i::int as r, j::int as c from (select distinct image_id from seg), range({h}) t(i), range({w}) u(j))"
+
+
+@query("nearest_resize", _LATTICE.format(h=25, w=17) + " select g.image_id, g.r, g.c, s.label from g join seg s on s.image_id = g.image_id and s.r = least(floor(g.r * (10 / 25)), 9) and s.c = least(floor(g.c * (10 / 17)), 9)")
+def _(s, d):
+    return grid.nearest_resize(X.seg(s, d), "label", (SIDE, SIDE), (25, 17))
+
+
+@query("hybrid_resize", _LATTICE.format(h=45, w=47) + """, t as (select *, r < 40 and c < 40 as inner_ from g) select t.image_id, t.r, t.c, s.label from t join seg s on s.image_id = t.image_id
+and s.r = case when inner_ then t.r // 4 else least(floor(t.r * (10 / 45)), 9) end and s.c = case when inner_ then t.c // 4 else least(floor(t.c * (10 / 47)), 9) end""")
+def _(s, d):
+    return grid.hybrid_resize(X.seg(s, d), "label", (SIDE, SIDE), (45, 47), 4)
+
+
+@query("bilinear_resample", """, b as (select image_id, i::int as r, j::int as c, greatest((i + 0.5) * (10 / 16) - 0.5, 0) as y, greatest((j + 0.5) * (10 / 16) - 0.5, 0) as x from (select distinct image_id from feat), range(16) t(i), range(16) u(j)),
+w as (select b.image_id, b.r, b.c, f.e1 * (case when f.r = floor(y) and f.r = least(floor(y) + 1, 9) then 1 when f.r = floor(y) then 1 - (y - floor(y)) else y - floor(y) end) * (case when f.c = floor(x) and f.c = least(floor(x) + 1, 9) then 1 when f.c = floor(x) then 1 - (x - floor(x)) else x - floor(x) end) as v
+from b join feat f on f.image_id = b.image_id and f.r between floor(y) and least(floor(y) + 1, 9) and f.c between floor(x) and least(floor(x) + 1, 9))
+select image_id, r, c, round(sum(v), 6) as e1 from w group by all""")
+def _(s, d):
+    return r6(grid.bilinear_resize(X.feat(s, d).select("image_id", "r", "c", "e1"), "e1", (SIDE, SIDE), (16, 16)), "e1")
+
+
+@query("center_crop", " select image_id, r, c - 1 as c, label from seg where r < 7 and c between 1 and 7")
+def _(s, d):
+    return grid.center_crop(X.seg(s, d).where("r < 7"), (7, SIDE)).withColumn("c", F.col("c") + 1).select("image_id", "r", (F.col("c") - 1).alias("c"), "label")
+
+
+ORACLES["center_crop"] = f"with {X.SQL} select image_id, r, c - 2 as c, label from seg where r < 7 and c between 2 and 8"
+
+
+@query("patch_grid", " select image_id, patch, r, c from feat")
+def _(s, d):
+    return grid.patch_grid(X.feat(s, d).select("image_id", "patch"), SIDE)
+
+
+@query("channel_normalize", " select vec_id, round(((e1 + 1) * 127.5 / 255 - 0.485) / 0.229, 6) as x, round(greatest(least((e1 + 1) / 2, 1), 0), 6) as back from feat")
+def _(s, d):
+    f = X.feat(s, d).withColumn("x", grid.channel_normalize((F.col("e1") + 1) * 127.5, 0.485, 0.229))
+    return r6(f.select("vec_id", "x", grid.channel_restore(F.col("x"), 0.485, 0.229).alias("back")), "x", "back")
+
+
+# ---- label maps
+
+_BF = ", bf as (select image_id, label, sum((c = 0)::int + (c = 9)::int + (r = 0)::int + (r = 9)::int) / 40.0::double as fraction from {src} group by all)"
+
+
+@query("border_fraction", _BF.format(src="seg") + " select image_id, label, round(fraction, 6) as fraction from bf")
+def _(s, d):
+    return r6(masks.border_fraction(X.seg(s, d), SIDE, SIDE), "fraction")
+
+
+@query("bg_swap", _BF.format(src="seg") + ", b as (select image_id, label as bg from (select *, row_number() over (partition by image_id order by fraction desc, label) as k from bf) where k = 1) select image_id, r, c, case when label = bg then 0 when label = 0 then bg else label end as label from seg join b using (image_id)")
+def _(s, d):
+    return masks.background_first(X.seg(s, d), SIDE, SIDE)
+
+
+@query("unique_labels", " select image_id, label, count(*) as n from seg group by all")
+def _(s, d):
+    return X.seg(s, d).groupBy("image_id", "label").agg(F.count("*").alias("n"))
+
+
+_B255 = ", lab as (select image_id, r, c, (case when image_id % 2 = 0 then 255 * (label > 1)::int else label end)::int as label from seg)"
+
+
+def _lab(s, d):
+    return X.seg(s, d).withColumn("label", F.when(F.col("image_id") % 2 == 0, 255 * (F.col("label") > 1).cast("int")).otherwise(F.col("label")))
+
+
+for _rule in ("subset", "equal", "always"):
+
+    @query(f"binarize_255_{_rule}", _B255 + " select image_id, r, c, case when label = 255 then 1 else label end as label from lab")
+    def _(s, d, rule=_rule):
+        return masks.binarize_255(_lab(s, d), rule)
+
+
+@query("segment_bbox", " select image_id, label, 16 * min(c) as xmin, 16 * min(r) as ymin, 16 * (max(c) + 1) as xmax, 16 * (max(r) + 1) as ymax from blk where label <> 0 group by all")
+def _(s, d):
+    return masks.segment_boxes(X.blk(s, d), 16)
+
+
+@query("relabel", " select image_id, r, c, (case when label = 0 then 0 else (label * 7 + image_id) % 5 end)::int as label from blk")
+def _(s, d):
+    b = X.blk(s, d)
+    mapping = b.select("image_id", "label").distinct().where("label <> 0").withColumn("cluster", ((F.col("label") * 7 + F.col("image_id")) % 5).cast("int"))
+    return masks.relabel(b, mapping).select("image_id", "r", "c", "label")
+
+
+def _morph(src: str, steps: list[bool]) -> str:
+    out = f", m0 as (select image_id, l.label, r, c, (s.label = l.label)::int as x from {src} s join (select distinct image_id, label from {src} where label <> 0) l using (image_id))"
+    for i, erode in enumerate(steps):
+        f, o = ("least", 1) if erode else ("greatest", 0)
+        row, col = "over (partition by image_id, label, r order by c)", "over (partition by image_id, label, c order by r)"
+        near = ", ".join(f"coalesce({g}(x) {w}, {o})" for w in (row, col) for g in ("lag", "lead"))
+        out += f", n{i} as (select *, {f}(x, {near}) as y from m{i}), m{i + 1} as (select image_id, label, r, c, case when max(y) over (partition by image_id, label) > 0 then y else x end as x from n{i})"
+    return out
+
+
+@query("erode", _morph("seg", [True]) + " select image_id, label, r, c, x from m1")
+def _(s, d):
+    return masks.erode(masks.masks_of(X.seg(s, d))).select("image_id", "label", "r", "c", "x")
+
+
+@query("dilate", _morph("seg", [False]) + " select image_id, label, r, c, x from m1")
+def _(s, d):
+    return masks.dilate(masks.masks_of(X.seg(s, d))).select("image_id", "label", "r", "c", "x")
+
+
+@query("erode_dilate_bbox", _morph("blk", [True, True, False, False, False]) + " select image_id, label, 16 * min(c) as xmin, 16 * min(r) as ymin, 16 * (max(c) + 1) as xmax, 16 * (max(r) + 1) as ymax from m5 where x = 1 group by all")
+def _(s, d):
+    return masks.boxes(X.blk(s, d), 2, 3, 16)
+
+
+def _cc(diagonal: bool) -> str:
+    near = "abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1" if diagonal else "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
+    return f"""!, e as (select a.image_id, a.r * 10 + a.c as i, b.r * 10 + b.c as j from seg a join seg b on a.image_id = b.image_id and a.label = b.label and {near}),
+reach as (select image_id, i, i as j from e union select x.image_id, x.i, e.j from reach x join e on e.image_id = x.image_id and e.i = x.j),
+comp as (select image_id, i, min(j)::int as component from reach group by all)
+select s.image_id, s.r, s.c, s.label, component from seg s join comp on comp.image_id = s.image_id and comp.i = s.r * 10 + s.c"""
+
+
+@query("connected_components_4", _cc(False))
+def _(s, d):
+    return masks.connected_components(X.seg(s, d))
+
+
+@query("connected_components_8", _cc(True))
+def _(s, d):
+    return masks.connected_components(X.seg(s, d), True)
+
+
+@query("largest_cc_box", "!" + _cc(True)[1:].rsplit("select s.image_id", 1)[0].rstrip() + """, n as (select s.image_id, component, count(*) as n, 16 * min(c) as xmin, 16 * min(r) as ymin, 16 * (max(c) + 1) as xmax, 16 * (max(r) + 1) as ymax from seg s join comp on comp.image_id = s.image_id and comp.i = s.r * 10 + s.c group by all)
+select image_id, xmin, ymin, xmax, ymax from (select *, row_number() over (partition by image_id order by n desc, component) as k from n) where k = 1""")
+def _(s, d):
+    return masks.segment_boxes(masks.largest_component(masks.connected_components(X.seg(s, d), True)).withColumn("label", F.lit(1)), 16).drop("label")
+
+
+# ---- vectors and graphs
+
+_GRAM = ", gram as (select a.image_id, a.patch as i, b.patch as j, list_inner_product(a.k, b.k) as w from feat a join feat b using (image_id))"
+
+
+@query("l2_normalize", ", l as (select vec_id, list_transform(k, lambda x: x * 3) as k from feat) select vec_id, round(k[1] / sqrt(list_inner_product(k, k)), 6) as first, round(list_inner_product(k, k) / list_inner_product(k, k), 6) as norm from l")
+def _(s, d):
+    n = X.feat(s, d).select("vec_id", V.normalize(F.transform("k", lambda x: x * 3)).alias("k"))
+    return r6(n.select("vec_id", F.element_at("k", 1).alias("first"), V.norm("k").alias("norm")), "first", "norm")
+
+
+@query("gram_affinity", _GRAM + " select image_id, i, j, round(w, 6) + 0.0 as w from gram")
+def _(s, d):
+    return r6(graph.gram(X.feat(s, d)), "w")
+
+
+@query("affinity_threshold", _GRAM + ", t as (select image_id, i, j, greatest(w, 0) as w from gram) select image_id, i, j, round(w / max(w) over (partition by image_id), 6) + 0.0 as w from t")
+def _(s, d):
+    return r6(graph.scale_by_max(graph.threshold(graph.gram(X.feat(s, d)))), "w")
+
+
+@query("degree", _GRAM + " select image_id, i, round(sum(greatest(w, 0)), 6) as degree from gram group by all")
+def _(s, d):
+    return r6(graph.degree(graph.threshold(graph.gram(X.feat(s, d)))), "degree")
+
+
+def _knn(k: int, weight: float, name: str) -> str:
+    dist = f"(a.e1-b.e1)*(a.e1-b.e1)+(a.e2-b.e2)*(a.e2-b.e2)+(a.e3-b.e3)*(a.e3-b.e3)+({weight}::double*a.c/9-{weight}::double*b.c/9)**2+({weight}::double*a.r/9-{weight}::double*b.r/9)**2"
+    return f", {name} as (select image_id, i, j from (select a.image_id, a.patch as i, b.patch as j, row_number() over (partition by a.image_id, a.patch order by round({dist}, 9), b.patch) as k from feat a join feat b using (image_id)) where k <= {k})"
+
+
+@query("knn_affinity", _knn(20, 2.0, "k1") + _knn(10, 0.1, "k2") + ", e as (select * from k1 union all select * from k2) select image_id, i, j, count(*) as w from (select image_id, i, j from e union all select image_id, j, i from e) group by all")
+def _(s, d):
+    return graph.knn_affinity(X.feat(s, d))
+
+
+@query("window_affinity", " select a.image_id, a.patch as i, b.patch as j, round(exp(-((a.e1-b.e1)**2+(a.e2-b.e2)**2+(a.e3-b.e3)**2)/(0.5::double*0.5)), 6) as w from feat a join feat b on a.image_id = b.image_id and abs(a.r-b.r) <= 1 and abs(a.c-b.c) <= 1")
+def _(s, d):
+    return r6(graph.window_affinity(X.feat(s, d), sigma=0.5), "w")
+
+
+@query("symmetrize_edges", _knn(20, 2.0, "k1") + " select image_id, i, j, count(*) as w from (select image_id, i, j from k1 union all select image_id, j, i from k1) group by all")
+def _(s, d):
+    return graph.symmetrize(graph.knn_edges(X.feat(s, d)))
+
+
+_SCORE = _GRAM + ", sc as (select image_id, i, -count_if(w > 0 and i <> j) as score from gram group by all)"
+_SEED = _SCORE + ", rk as (select *, row_number() over (partition by image_id order by score desc, i) as rank from sc), sd as (select image_id, i as seed from rk where rank = 1), sim as (select r.image_id, r.i, r.rank, s.seed from rk r join sd s using (image_id) join gram g on g.image_id = r.image_id and g.i = s.seed and g.j = r.i where g.w > 0 and rank <= 50)"
+
+
+@query("patch_scoring", _SCORE + " select image_id, i, score::bigint as score from sc")
+def _(s, d):
+    return graph.patch_scoring(graph.gram(X.feat(s, d)))
+
+
+@query("lost_seed_potentials", _SEED + " select image_id, i, rank::int as rank, seed from sim")
+def _(s, d):
+    return graph.seed_and_similar(graph.gram(X.feat(s, d)), 50)
+
+
+@query("similarity_sum", _SEED + " select g.image_id, g.j, round(sum(g.w), 6) as m from gram g join sim using (image_id, i) group by all")
+def _(s, d):
+    return r6(graph.similarity_sum(graph.gram(X.feat(s, d)), 50), "m")
+
+
+@query("attention_mass_mask", " select image_id, patch, r, c, round(w, 6) as w, sum(w) over (partition by image_id order by w, patch rows unbounded preceding) / sum(w) over (partition by image_id) > 0.4 as \"on\" from att")
+def _(s, d):
+    return r6(graph.attention_mask(X.att(s, d)), "w")
+
+
+# ---- spectral kernels; the twins state what must hold of every image
+
+
+@query("laplacian_eigs", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual, true as in_range, k = 0 as is_zero from i, range(5) t(k)")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "laplacian", 5)
+    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"), F.col("eigenvalue").between(-1e-9, 2 + 1e-9).alias("in_range"), (F.abs("eigenvalue") < 1e-9).alias("is_zero"))
+
+
+@query("affinity_eigs", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual, true as falling from i, range(5) t(k)")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "affinity", 5)
+    before = F.lag(F.abs("eigenvalue")).over(Window.partitionBy("image_id").orderBy("k"))
+    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"), F.coalesce(before >= F.abs("eigenvalue"), F.lit(True)).alias("falling"))
+
+
+@query("affinity_svd", _GRAM + " select image_id, round(sum(w * w), 5) as fourth from gram group by 1")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "affinity_svd", 64)
+    return e.groupBy("image_id").agg(F.round(F.sum(F.pow("eigenvalue", 4)), 5).alias("fourth"))
+
+
+@query("color_laplacian", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual from i, range(3) t(k)")
+def _(s, d):
+    f = X.feat(s, d)
+    e = spectral.with_color(f, graph.knn_affinity(f), 10.0, 3)
+    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"))
+
+
+@query("sign_rule", ", i as (select distinct image_id from feat) select image_id, k::int as k, true as ok from i, range(5) t(k)")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "laplacian", 5)
+    share = F.size(F.filter("eigenvector", lambda x: x > 0)) / F.size("eigenvector")
+    return e.select("image_id", "k", ((share <= 0.5) | (share == 1.0)).alias("ok"))
+
+
+@query("single_region_seg")
+def _(s, d):
+    return spectral.single_region(spectral.eigen(X.feat(s, d), "laplacian", 5))
+
+
+@query("eigengap_clusters")
+def _(s, d):
+    return graph.eigengap_clusters(spectral.eigen(X.feat(s, d), "laplacian", 6))
+
+
+@query("eigen_bbox")
+def _(s, d):
+    return spectral.mask_box(spectral.single_region(spectral.eigen(X.feat(s, d), "laplacian", 2)))
+
+
+@query("lost_bbox")
+def _(s, d):
+    return spectral.lost_box(X.feat(s, d), 50)
+
+
+@query("dinoseg_bbox")
+def _(s, d):
+    return spectral.attention_box(X.att(s, d))
+
+
+@query("multi_region_seg")
+def _(s, d):
+    return cluster.multi_region(spectral.eigen(X.feat(s, d), "laplacian", 5))
+
+
+@query("multi_region_adaptive")
+def _(s, d):
+    return cluster.multi_region(spectral.eigen(X.feat(s, d), "laplacian", 6), adaptive=True)
+
+
+def _box_features(s, d):
+    own = masks.segment_boxes(X.blk(s, d))
+    return cluster.box_features(own, X.feat(s, d))
+
+
+@query("bbox_features", ", b as (select image_id, label, min(c) as x1, min(r) as y1, max(c) as x2, max(r) as y2 from blk where label <> 0 group by all) select b.image_id, b.label, round(avg(e1), 6) as first, 64 as d from b join feat f on f.image_id = b.image_id and f.c between x1 and x2 and f.r between y1 and y2 group by all")
+def _(s, d):
+    return r6(_box_features(s, d).select("image_id", "label", F.element_at("features", 1).alias("first"), F.size("features").alias("d")), "first")
+
+
+@query("bbox_clusters")
+def _(s, d):
+    return cluster.box_clusters(_box_features(s, d), 5)
+
+
+@query("pca_project")
+def _(s, d):
+    return cluster.pca(_box_features(s, d), 4).select("image_id", "label", F.size("features").alias("d"))
+
+
+@query("semantic_segmap")
+def _(s, d):
+    return cluster.semantic_maps(X.blk(s, d), cluster.box_clusters(_box_features(s, d), 5), 1)
+
+
+# ---- splits, sets, names
+
+
+def _stems(s, d):
+    return X.grid(s, d).select(F.col("id").alias("image_id"), F.format_string("VOC/%08d.jpg", "id").alias("path"))
+
+
+@query("train_split_antijoin", " select id as image_id, printf('VOC/%08d.jpg', id) as path from grid where id % 7 <> 3")
+def _(s, d):
+    every = _stems(s, d).withColumn("stem", N.stem(F.col("path")))
+    return files.train_split(every, every.where("image_id % 7 = 3").select("stem"), "stem").select("image_id", "path")
+
+
+@query("val_split_semijoin", " select id as image_id, printf('VOC/%08d.jpg', id) as path from grid where id % 7 = 3")
+def _(s, d):
+    every = _stems(s, d).withColumn("stem", N.stem(F.col("path")))
+    return files.validation_split(every, every.where("image_id % 7 = 3").select("stem"), "stem").select("image_id", "path")
+
+
+@query("distinct_sorted_images", " select distinct printf('img_%04d.jpg', user_id) as path from events")
+def _(s, d):
+    return X.table(s, d, "events").select(F.format_string("img_%04d.jpg", "user_id").alias("path")).distinct().orderBy("path")
+
+
+@query("pair_by_key", " select g.id, h, w, o_totalprice as area from grid g join orders on o_orderkey = g.id")
+def _(s, d):
+    return files.pair_by_key(X.grid(s, d).select("id", "h", "w"), X.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("area")))
+
+
+@query("skip_existing", " select id, h, w, p from grid where p = 8")
+def _(s, d):
+    g = X.grid(s, d)
+    return files.not_yet_written(g, g.where("p = 16"), "id")
+
+
+@query("file_names", " select id, printf('%08d', id) as stem, id as number, printf('COCO_train2014_%012d.pth', id) as record from grid")
+def _(s, d):
+    n = _stems(s, d)
+    return n.select(F.col("image_id").alias("id"), N.stem(F.col("path")).alias("stem"), N.coco_number(N.coco_file(F.col("image_id"), extension=".jpg")).alias("number"), N.coco_file(F.col("image_id")).alias("record"))
+
+
+@query("label_domain", " select image_id, list_sort(list(distinct label)) = [0, 1, 2, 3] as full_domain, list_sort(list(distinct label))[1] as least from seg group by 1")
+def _(s, d):
+    own = X.seg(s, d).groupBy("image_id").agg(F.array_sort(F.collect_set("label")).alias("own"))
+    return own.select("image_id", (F.size(F.array_except("own", F.array(*map(F.lit, range(4))))) == 0).alias("full_domain") & (F.size("own") == 4).alias("x"), F.element_at("own", 1).alias("least")).toDF("image_id", "full_domain", "least")
+
+
+# ---- bench only
+
+
+@query("pixel_contingency_large", " select l_orderkey % 64 as image_id, l_linenumber as pred, (1 + l_suppkey % 7) as target, count(*) as n from lineitem group by all")
+def _(s, d):
+    pixels = X.table(s, d, "lineitem").select((F.col("l_orderkey") % 64).alias("image_id"), F.col("l_linenumber").alias("pred"), (1 + F.col("l_suppkey") % 7).alias("target"))
+    return metrics.contingency(pixels, ("image_id",))
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
