@@ -146,11 +146,11 @@ def _(s, d):
 # ---- meters
 
 
-@query("meter_rolling", """ select user_id, event_id, value, quantile_disc(value, 0.5) over w as median, round(avg(value) over w, 4) as mean, max(value) over w as max,
-round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as global_mean from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)""")
+@query("meter_rolling", """ select user_id, event_id, value, quantile_disc(value, 0.5) over w as median, round(avg(value) over w + 1e-9::double, 6) as mean, max(value) over w as max,
+round(avg(value) over (partition by user_id order by ts, event_id rows unbounded preceding) + 1e-9::double, 6) as global_mean from events window w as (partition by user_id order by ts, event_id rows between 19 preceding and current row)""")
 def _(s, d):
     m = metrics.rolling(X.table(s, d, "events"))
-    return m.withColumns({n: F.round(n, 4) for n in ("mean", "global_mean")})
+    return m.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in ("mean", "global_mean")})
 
 
 @query("meter_global", " select user_id, round(sum(value * (1 + event_id % 3)) / sum(1 + event_id % 3), 6) as mean from events group by 1")
