@@ -4,10 +4,10 @@ import pandas as pd
 
 
 def text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, float):
-        return repr(round(v, 9) + 0.0)
+        return repr(int(v) if v.is_integer() else round(v, 9))
     if hasattr(v, "tolist") and not hasattr(v, "item") or hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
         return repr([text(x) for x in v])
     return repr(v.item() if hasattr(v, "item") else v)
