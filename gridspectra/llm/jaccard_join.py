@@ -306,23 +306,33 @@ def rest_pairs(t: pa.Table) -> pa.Table:
 # ---- links
 
 
+def _bit(v: bytes, doc_id) -> int:
+    return int.from_bytes(hashlib.blake2b(v + str(doc_id).encode(), digest_size=8).digest(), "little") >> (64 - MAP_BITS)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """v and the packed set of every class in `wanted` (v, doc_id: one text of the class)."""
-    bit = lambda v, i: F.shiftrightunsigned(F.xxhash64(v, F.coalesce(i.cast("string"), F.lit(""))), 64 - MAP_BITS)
-    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(bit(F.col("v"), F.col("doc_id")).alias("bit"))))
+    """v and the packed set of every class in `wanted` (v, doc_id: one text of the class).
 
-    def make(batches):
-        for batch in batches:
-            sets = list(_sets(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_class, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "v", "members"])
+    The texts are read again and a bitmap says which to keep, so no text is moved; a row too many does no harm.
+    """
 
-    def keep(batches):
+    def number(batches):
         for batch in batches:
-            yield batch.filter(pa.array(has(held.value, batch.column("bit").to_numpy())))
+            yield pa.RecordBatch.from_pydict({"bit": pa.array([_bit(v, i) for v, i in zip(batch.column("v").to_pylist(), batch.column("doc_id").to_pylist())], pa.int64())})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(make, f"doc_id {id_type}, v binary, members binary").select("v", "members", bit(F.col("v"), F.col("doc_id")).alias("bit"))
-    return made.mapInArrow(keep, made.schema).select("v", "members")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("v", "doc_id").mapInArrow(number, "bit long")))
+
+    def run(batches):
+        for batch in batches:
+            v, members = [], []
+            for i, s in zip(batch.column("doc_id").to_pylist(), _sets(batch)):
+                c = _class(s)
+                if len(s) and has(held.value, np.array([_bit(c, i)]))[0]:
+                    v.append(c)
+                    members.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(members, pa.binary())], names=["v", "members"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "v binary, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
