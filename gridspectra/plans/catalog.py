@@ -486,10 +486,10 @@ def _(s, d):
     return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"), F.coalesce(before >= F.abs("eigenvalue"), F.lit(True)).alias("falling"))
 
 
-@query("affinity_svd", _GRAM + " select image_id, round(sum(w * w), 5) as fourth from gram group by 1")
+@query("affinity_svd", _GRAM + " select image_id, round(sum(w * w), 2) as fourth from gram group by 1")
 def _(s, d):
     e = spectral.eigen(X.feat(s, d), "affinity_svd", 64)
-    return e.groupBy("image_id").agg(F.round(F.sum(F.pow("eigenvalue", 4)), 5).alias("fourth"))
+    return e.groupBy("image_id").agg(F.round(F.sum(F.pow("eigenvalue", 4)), 2).alias("fourth"))
 
 
 @query("color_laplacian", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual from i, range(3) t(k)")
