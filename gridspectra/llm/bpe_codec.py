@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from .archives import read_file, write_file
 from .bpe import Vocabulary, letters
-from .shared import shared_dir, table
+from .shared import shared_dir, table, written
 
 #: Most words of the lexicon, their most bytes, and words a worker remembers before it forgets all.
-LEXICON_WORDS, WORD_BYTES, REMEMBERED = 1 << 16, 64, 1 << 18
+LEXICON_WORDS, WORD_BYTES, REMEMBERED = 1 << 16, 64, 3 << 17
 
 
 def word_pattern(letter: str = r"\p{L}", number: str = r"\p{N}", other: str = r"[^\s\p{L}\p{N}]") -> str:
@@ -99,24 +99,24 @@ class Lexicon:
         for n, kind in zip(lengths, ("<u4",) * 5 + ("u1",) * 2):
             parts.append(np.frombuffer(data, kind, int(n), at))
             at += parts[-1].nbytes
-        self.first, self.targets, self.adds, self.at, self.ids, labels, self.ends = parts
-        self.labels = memoryview(labels)
+        self.first, self.targets, self.adds, self.at, self.ids, self.labels, self.ends = map(memoryview, parts)
         self.root = len(self.ends) - 1
 
     def find(self, word: bytes) -> list[int] | None:
         s, index = self.root, 0
         for byte in word:
-            lo, hi = int(self.first[s]), int(self.first[s + 1])
+            lo, end = self.first[s], self.first[s + 1]
+            hi = end
             while lo < hi:
                 mid = (lo + hi) // 2
                 if self.labels[mid] < byte:
                     lo = mid + 1
                 else:
                     hi = mid
-            if lo >= self.first[s + 1] or self.labels[lo] != byte:
+            if lo == end or self.labels[lo] != byte:
                 return None
-            index += int(self.adds[lo])
-            s = int(self.targets[lo])
+            index += self.adds[lo]
+            s = self.targets[lo]
         return self.ids[self.at[index] : self.at[index + 1]].tolist() if self.ends[s] else None
 
 
@@ -255,8 +255,17 @@ def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
 
 
 def make_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
-    """Path of the lexicon of the corpus: its `most` frequent words (smaller words first among equals)."""
-    frequent = word_counts(docs, list(vocabulary.specials)).orderBy(F.desc("n"), "word").limit(most).toPandas()["word"]
+    """Path of the lexicon of the corpus: its words by falling frequency, in whole classes of like frequency, up to `most`.
+
+    Frequencies are classed by eighths of their binary logarithm; only the few classes and the chosen words reach the driver.
+    """
+    counts = written(word_counts(docs, list(vocabulary.specials)).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    room, least = most, None
+    for level, words in sorted(((r.level, r.words) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True):
+        if (room := room - words) < 0:
+            break
+        least = level
+    frequent = [] if least is None else counts.where(F.col("level") >= least).select("word").toPandas()["word"]
     words = sorted(w.encode() for w in frequent if w not in vocabulary.specials)
     path = f"{shared_dir(docs.sparkSession)}/lexicon"
     write_file(path, build(words, [vocabulary.encode(w) for w in words]))
