@@ -31,7 +31,7 @@ from .components import components
 from .ragged import buffers, mix, shingle_sets, slices
 from .shared import table, written
 
-WIDTH, GROUPS, LEAF = 5, 32, 16
+WIDTH, GROUPS, LEAF = 5, 64, 16
 #: Sizes that do not grow with the input: log2 of the counters of the sketch, of the bits of bitmaps, and their segments.
 SKETCH_BITS, MAP_BITS, SEGMENTS = 22, 26, 256
 #: Entries to a packed bucket, about.
@@ -59,7 +59,10 @@ def _class(s: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """log2 of the number of texts, by the shingle's bucket; one byte each."""
+    """The number of texts by the shingle's bucket, one byte each: 64 stands for a bucket's average, 255 for all from four times it.
+
+    The scale is fine, for a shingle of a few texts must come after those of one in spite of what else their buckets hold.
+    """
     size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SEGMENTS
 
     def run(batches):
@@ -83,10 +86,18 @@ def sketch(docs: DataFrame) -> np.ndarray:
         total = np.zeros(part, np.int64)
         for x in t.column("counts"):
             total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
-        return pa.table({"segment": t.column("segment").slice(0, 1), "levels": [np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()]})
+        return pa.table({"segment": t.column("segment").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": [total.tobytes()]})
+
+    summed = written(docs.select("text").mapInArrow(run, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, total long, counts binary"))
+    unit = max(1.0, (summed.agg(F.sum("total")).first()[0] or 0) / size / 64)
+
+    def scale(batches):
+        for batch in batches:
+            levels = [np.minimum(np.frombuffer(x.as_py(), np.int64) / unit, 255).astype(np.uint8).tobytes() for x in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(levels, pa.binary())], names=["segment", "levels"])
 
     out = np.zeros(size, np.uint8)
-    got = docs.select("text").mapInArrow(run, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, levels binary").toArrow()
+    got = summed.select("segment", "counts").mapInArrow(scale, "segment int, levels binary").toArrow()
     for k, x in zip(got.column("segment").to_pylist(), got.column("levels").to_pylist()):
         out[k * part : (k + 1) * part] = np.frombuffer(x, np.uint8)
     return out
