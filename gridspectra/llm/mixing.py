@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 #: Copies of one document beyond which the distribution function is cut, as a function of the mean.
 TAIL = 12
@@ -56,11 +56,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: flo
     """`docs` with each row as many times as its Poisson number says, shuffled, and the columns copy (from 1) and place.
 
     Rows with null id, source or text are drawn like others; equal rows draw the same number.
-    The source's rates are joined on (source, salt), so that a source with a third of the rows is spread.
+    The rates are written first, so the planner knows their size: few sources are broadcast and no text moves before the shuffle of
+    the copies; many are joined on (source, salt), so that a source with a third of the rows is spread.
     """
     given = docs.columns
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    per_source = rates(docs, weights, default, total).withColumnRenamed("source", "mix_source").withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    per_source = written(rates(docs, weights, default, total)).withColumnRenamed("source", "mix_source").withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     drawn = docs.withColumns({"mix_u": uniform("doc_id", F.md5(F.coalesce("text", F.lit(""))), F.lit(seed)), "mix_at": salt})
     joined = drawn.join(per_source, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_at") == F.col("mix_salt")))
     times = F.size(F.filter("steps", lambda c: c <= F.col("mix_u")))
