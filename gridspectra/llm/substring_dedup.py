@@ -29,6 +29,8 @@ from .ragged import M1, M2, M3, buffers, mix, slices
 from .shared import table, written
 
 WINDOW, GRAM, SHARD, STEP = 100, 32, 1 << 21, 128
+#: Bytes scanned for anchors at once.
+SCAN = 1 << 20
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * M1)
 _LAST = (1 << 63) - 1
 
@@ -166,7 +168,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
         g = (g ^ view[k : k + m]) * M2
         g ^= g >> np.uint64(31)
     g = mix(g)
-    bits = np.uint64(max(1, int(m).bit_length()))
+    bits = np.uint64(max(24, int(m).bit_length()))  # places below hashes; alike for all scans
     least = (g >> bits << bits) | np.arange(m, dtype=np.uint64)
     reach, width = 1, WINDOW - GRAM + 1
     while 2 * reach <= width:
@@ -210,7 +212,7 @@ def _scan(batch):
     lengths = np.diff(offsets)
     copies = ~first & (lengths >= WINDOW)
     out = []
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SCAN):
         own = np.flatnonzero(first[i:j])
         if not len(own):
             continue
