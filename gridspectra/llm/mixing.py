@@ -27,18 +27,40 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def lowest(rate: Column) -> Column:
+    """The count at which `steps` begins: below it lie exp(-72) of the distribution at most, 0 for rates to about 180."""
+    return F.greatest(F.lit(0.0), F.floor(rate - F.lit(float(TAIL)) * F.sqrt(rate)) - TAIL).cast("long")
+
+
 def steps(rate: Column) -> Column:
-    """The Poisson distribution function at 0, 1, ..: as many values as can matter at 52 bits."""
-    ends = F.sequence(F.lit(1), (F.ceil(rate + F.lit(float(TAIL)) * F.sqrt(rate)) + TAIL).cast("int"))
-    first = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("sums"))
-    def step(acc, k):
-        p = acc["p"] * rate / k
-        return F.struct(p.alias("p"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + p)).alias("sums"))
-    return F.aggregate(ends, first, step, lambda acc: acc["sums"])
+    """The Poisson distribution function at lowest, lowest + 1, ..: as many values as can matter at 52 bits.
+
+    Probabilities are taken relative to the one at the mode, in both directions, and divided by their sum, so that no rate
+    makes them vanish (exp(-rate) is 0 from 746). The number of values grows with the root of the rate.
+    """
+    mode, low = F.floor(rate).cast("long"), lowest(rate)
+    high = (F.ceil(rate + F.lit(float(TAIL)) * F.sqrt(rate)) + TAIL).cast("long")
+
+    def walk(ends: Column, ratio) -> Column:
+        def step(acc, k):
+            p = acc["p"] * ratio(k)
+            return F.struct(p.alias("p"), F.concat(acc["all"], F.array(p)).alias("all"))
+
+        return F.aggregate(ends, F.struct(F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("all")), step, lambda acc: acc["all"])
+
+    down = walk(F.when(mode > low, F.sequence(mode, low + 1, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")), lambda k: k / rate)
+    relative = F.concat(F.reverse(down), F.array(F.lit(1.0)), walk(F.sequence(mode + 1, high), lambda k: rate / k))
+
+    def add(acc, p):
+        total = acc["total"] + p
+        return F.struct(total.alias("total"), F.concat(acc["sums"], F.array(total)).alias("sums"))
+
+    none = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("sums"))
+    return F.aggregate(relative, none, add, lambda acc: F.transform(acc["sums"], lambda s: s / acc["total"]))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = DEFAULT_WEIGHT, total: int | None = None) -> DataFrame:
-    """One row per source: source, rate, steps. `total` documents are wanted on average, by default as many as there are.
+    """One row per source: source, rate, lowest, steps. `total` documents are wanted on average, by default as many as there are.
 
     Weights are divided by their sum over the sources that occur; a null source is a source like others.
     """
@@ -49,7 +71,7 @@ def rates(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float =
     everything = Window.partitionBy(F.lit(0))
     wanted = F.lit(float(total)) if total is not None else F.sum("n").over(everything).cast("double")
     rate = F.when(F.sum("weight").over(everything) > 0, F.col("weight") / F.sum("weight").over(everything) * wanted / F.col("n")).otherwise(F.lit(0.0))
-    return n.withColumn("rate", rate).select("source", "rate", steps(F.col("rate")).alias("steps"))
+    return n.withColumn("rate", rate).select("source", "rate", lowest(F.col("rate")).alias("lowest"), steps(F.col("rate")).alias("steps"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = DEFAULT_WEIGHT, total: int | None = None, seed: int = SEED, salts: int = 16) -> DataFrame:
@@ -61,10 +83,10 @@ def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: flo
     """
     given = docs.columns
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    per_source = written(rates(docs, weights, default, total)).withColumnRenamed("source", "mix_source").withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    per_source = written(rates(docs, weights, default, total)).select(F.col("source").alias("mix_source"), F.col("lowest").alias("mix_lowest"), F.col("steps").alias("mix_steps")).withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     drawn = docs.withColumns({"mix_u": uniform("doc_id", F.md5(F.coalesce("text", F.lit(""))), F.lit(seed)), "mix_at": salt})
     joined = drawn.join(per_source, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_at") == F.col("mix_salt")))
-    times = F.size(F.filter("steps", lambda c: c <= F.col("mix_u")))
+    times = (F.col("mix_lowest") + F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_u")))).cast("int")
     copies = joined.withColumn("mix_times", times).filter("mix_times > 0").select(*[F.col(f"`{c}`") for c in given], F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("copy"))
     placed = copies.withColumn("place", uniform("doc_id", "copy", F.lit(seed), F.lit("place")))
     return placed.repartition(F.col("place")).sortWithinPartitions("place", "doc_id", "copy")

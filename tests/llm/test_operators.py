@@ -346,6 +346,39 @@ def test_poisson_steps(spark):
         assert np.allclose(got[:20], np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(len(got))])[:20]) and abs(got[-1] - 1) < 1e-9
 
 
+def poisson(rate):
+    """The distribution function to 50 digits, up to 1 - 1e-40."""
+    import decimal
+
+    with decimal.localcontext(decimal.Context(prec=50, Emin=-999999, Emax=999999)):
+        p, total, out = (-decimal.Decimal(rate)).exp(), decimal.Decimal(0), []
+        while not out or total < 1 - decimal.Decimal("1e-40"):
+            total += p
+            out.append(total)
+            p = p * decimal.Decimal(rate) / len(out)
+        return out
+
+
+@pytest.mark.parametrize("rate", [0.5, 700.0, 745.5, 1000.0, 10000.0])
+def test_poisson_steps_of_high_rates(spark, rate):
+    low, got = spark.range(1).select(mixing.lowest(F.lit(rate)), mixing.steps(F.lit(rate))).collect()[0]
+    want = poisson(rate)
+    assert low == 0 or want[low - 1] < 2**-60
+    assert all(abs(x - float(y)) < 1e-12 for x, y in zip(got, want[low:])) and got[-1] == 1
+
+
+@pytest.mark.parametrize("rate", [746, 1000, 10000])
+def test_rare_source_is_drawn(spark, rate):
+    import bisect
+
+    docs = spark.createDataFrame([(i, f"t{i}", None, None, 1, 1, "h") for i in range(20)], DOC)
+    out = mixing.replicate(docs, {}, 1.0, total=20 * rate)
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    u = lambda i: int(hashlib.md5(f"{i}\x1f{hashlib.md5(f't{i}'.encode()).hexdigest()}\x1f{mixing.SEED}".encode()).hexdigest()[:13], 16) / 2**52
+    want = poisson(rate)
+    assert got == {i: bisect.bisect_right(want, u(i)) for i in range(20)} and len(set(got.values())) > 10
+
+
 # ---- 9
 
 
