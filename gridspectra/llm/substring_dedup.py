@@ -18,6 +18,7 @@ likes are:
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -194,21 +195,22 @@ def contexts(data: np.ndarray, offsets: np.ndarray):
     return row[s0], s0 - offsets[row[s0]], count, g[at], c
 
 
-def _first_copies(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of a batch without an equal text of smaller id in it."""
+def _first_copies(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch without an equal text of smaller id in it; and rows with an equal text in it at all."""
     least: dict[bytes, int] = {}
     keys = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets, offsets[1:])]
     for k, i in zip(keys, ids):
         if i < least.get(k, _LAST + 1):
             least[k] = i
-    return np.array([i == least[k] for k, i in zip(keys, ids)], bool)
+    times = Counter(keys)
+    return np.array([i == least[k] for k, i in zip(keys, ids)], bool), np.array([times[k] > 1 for k in keys], bool)
 
 
 def _scan(batch):
-    """Of the rows that are no copies: contexts with ids and row keys; and the rest as (id, rk, windows)."""
+    """Of the rows that are no copies: contexts with ids and row keys, and whether the row has copies; and the rest as (id, rk, windows)."""
     ids, rk = batch.column("id").to_numpy(), batch.column("rk").to_numpy()
     data, offsets = buffers(batch.column("text"))
-    first = _first_copies(ids, data, offsets)
+    first, copied = _first_copies(ids, data, offsets)
     lengths = np.diff(offsets)
     copies = ~first & (lengths >= WINDOW)
     out = []
@@ -219,7 +221,7 @@ def _scan(batch):
         ends = np.concatenate(([0], np.cumsum(lengths[i:j][own])))
         part = data[offsets[i] : offsets[j]] if len(own) == j - i else np.concatenate([data[offsets[i + k] : offsets[i + k + 1]] for k in own])
         row, s0, count, h, c = contexts(part, ends)
-        out.append((ids[i + own[row]], rk[i + own[row]], s0, count, h.view(np.int64), c.view(np.int64), lambda x, p=part, e=ends, r=row, s=s0, k=count: [p[e[r[y]] + s[y] : e[r[y]] + s[y] + k[y] + WINDOW - 1].tobytes() for y in x]))
+        out.append((ids[i + own[row]], rk[i + own[row]], s0, count, h.view(np.int64), c.view(np.int64), lambda x, p=part, e=ends, r=row, s=s0, k=count: [p[e[r[y]] + s[y] : e[r[y]] + s[y] + k[y] + WINDOW - 1].tobytes() for y in x], copied[i + own[row]]))
     return (ids[copies], rk[copies], lengths[copies] - WINDOW + 1), out
 
 
@@ -231,7 +233,10 @@ def _bits_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def twice(rows: DataFrame, buckets: int) -> np.ndarray:
-    """Bitmap of the anchors that occur more than once."""
+    """Bitmap of the anchors that occur more than once.
+
+    Anchors of a text with copies in its batch count twice, for `occurrences` reads the rows again and may have the copies in other batches.
+    """
 
     def run(batches):
         held, n = [], 0
@@ -246,8 +251,9 @@ def twice(rows: DataFrame, buckets: int) -> np.ndarray:
 
         for batch in batches:
             for x in _scan(batch)[1]:
-                held.append(x[4].view(np.uint64))
-                n += len(x[4])
+                h = np.concatenate((x[4], x[4][x[7]])).view(np.uint64)
+                held.append(h)
+                n += len(h)
             if n > 1 << 21:
                 yield from flush()
                 held, n = [], 0
@@ -269,7 +275,7 @@ def occurrences(rows: DataFrame, bits) -> DataFrame:
         for batch in batches:
             (ids, rk, windows), out = _scan(batch)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(rk), pa.array(np.zeros(len(ids), np.int64)), pa.array(windows, pa.int64())], names=["h", "c", "id", "rk", "s", "k"])
-            for ids, rk, s, k, h, c, _ in out:
+            for ids, rk, s, k, h, c, *_ in out:
                 ok = has(bits.value, _bits_of(h))
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (h, c, ids, rk, s, k)], names=["h", "c", "id", "rk", "s", "k"])
 
@@ -287,7 +293,7 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for ids, _, s, _, h, c, text in _scan(batch)[1]:
+            for ids, _, s, _, h, c, text, _ in _scan(batch)[1]:
                 at = np.flatnonzero(has(held.value, _bits_of(h, c, ids, s)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (h, c, ids, s)), pa.array(text(at), pa.binary())], names=["h", "c", "id", "s", "text"])
 

@@ -428,6 +428,16 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicate(frame(spark, [])).count() == 0
 
 
+def test_copies_in_other_batches_when_read_again(spark, monkeypatch):
+    once = substring_dedup.twice
+    monkeypatch.setattr(substring_dedup, "twice", lambda rows, buckets: once(rows.coalesce(1), buckets))
+    turn = random.Random(4)
+    rows = [(1, "".join(turn.choice("abcdefgh ") for _ in range(400)))]
+    rows.append((2, rows[0][1]))
+    got = substring_dedup.deduplicate(frame(spark, rows[:1]).union(frame(spark, rows[1:])))
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == plain_cut(rows)
+
+
 @pytest.mark.parametrize("shard", [1 << 21, 3000, 700])
 def test_shards_merge_alike(monkeypatch, shard):
     monkeypatch.setattr(substring_dedup, "SHARD", shard)
