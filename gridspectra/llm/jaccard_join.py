@@ -365,8 +365,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
 
 
-def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, v, n) and links between classes (a, b) that connect all classes of a component."""
+def linked(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, v, n) and links between classes (a, b) that connect all classes of a component; with `every`, all links."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(sketch(docs))
     members = written(classed(docs, levels))
@@ -383,13 +383,19 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = written(whole_sets(docs, ends.join(one, "v")))
     links = written(verified(first, sets))
     if crowded.limit(1).count():
-        labels = components(links)
-        told = crowded.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        told = crowded.withColumn("label", F.col("v"))
+        if not every:
+            told = crowded.join(components(links), "v", "left").withColumn("label", F.coalesce("label", "v"))
         rest = told.groupBy(bucket).applyInArrow(rest_pairs, "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
         links = links.unionByName(written(verified(written(rest), sets)))
     return members.select("doc_id", "v", "n"), links
 
 
+def link_counts(links: DataFrame) -> DataFrame:
+    """v and n_links, the classes each class is linked with, where there are any; `links` as of linked(docs, every=True)."""
+    return links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text).
 

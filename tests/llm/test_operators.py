@@ -165,6 +165,13 @@ def test_near_duplicates(spark, seed):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_links(rows)
 
 
+def test_every_link(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != 7 * i else f"x{i}" for k, w in enumerate(words))) for i in range(12)]
+    _, links = jaccard_join.linked(frame(spark, rows), every=True)
+    assert links.count() == 66 and [r.n_links for r in jaccard_join.link_counts(links).collect()] == [11] * 12
+
+
 def test_near_duplicates_of_nothing(spark):
     assert jaccard_join.near_duplicates(frame(spark, [])).count() == 0
     assert jaccard_join.near_duplicates(frame(spark, [(1, None)])).collect()[0].component_id == 1
