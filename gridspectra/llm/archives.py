@@ -173,10 +173,10 @@ def parse_warc(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
 
 
 def convert(name: str, records: Iterator[tuple[dict[str, str], bytes]], refers: dict[int, tuple[str, str]]) -> Iterator[bytes]:
-    """WARC records of an ARC file. refers: record index -> (record id, page id) of the content it repeats."""
+    """WARC records of an ARC file; only its first record is a version block. refers: record index -> (record id, page id) of the content it repeats."""
     for i, (head, content) in enumerate(records):
         base = {"WARC-Record-ID": record_id(name, i), "WARC-Date": warc_date(head["Archive-date"])}
-        if head["URL"].startswith("filedesc://"):
+        if i == 0 and head["URL"].startswith("filedesc://"):
             yield warc_record({"WARC-Type": "warcinfo", **base, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, f"software: gridspectra\r\nsource: ARC {head['URL']}\r\n".encode())
             continue
         _, http, payload = http_parts(content)
@@ -233,7 +233,7 @@ def scan_arcs(arcs: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 rows = []
                 for i, (head, content) in enumerate(parse_arc(members(read_file(path)))):
-                    if not head["URL"].startswith("filedesc://"):
+                    if i or not head["URL"].startswith("filedesc://"):
                         fields, _, payload = http_parts(content)
                         rows.append((path, i, _page(fields), hashlib.sha256(payload).hexdigest(), len(payload)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["path", "index", "page_id", "digest", "bytes"])

@@ -222,6 +222,12 @@ def test_archives(spark):
     assert archives.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_the_address_of_a_version_block(spark):
+    rows = [(1, "filedesc://a", "x"), (2, "http://b", "y")]
+    got = archives.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted((r.page_id, r.record_type) for r in got) == [(1, "response"), (2, "response")]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     body = b"HTTP/1.1 200 OK\r\nX-Page-Id: 9\r\n\r\nline\nWARC/1.1\n"
