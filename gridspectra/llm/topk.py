@@ -24,11 +24,15 @@ GROUP, BINS, ROWS = 1024, 256, 1024
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and q, the components floor(scale * x). Null ids, null vectors and those with null or non-finite components are left out."""
+    """vec_id and q, the components floor(scale * x). Null ids, null vectors and those with null or non-finite components are left out.
+
+    A component that float64 does not hold exactly (2^53 or more after scaling) raises an error.
+    """
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
-    fits = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(2.0**40))), F.lit(False))
-    return vectors.where(sound).where(fits).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("q"))
+    finite = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
+    whole = lambda v: F.when(F.abs(v * scale) < F.lit(2.0**53), F.floor(v * scale)).otherwise(F.raise_error(F.lit("component beyond 53 bits")).cast("long"))
+    return vectors.where(sound).where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("q"))
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,8 +148,10 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5) -> D
                 own, q, at = by_size.get(m.shape[1], (np.zeros(0, np.int64), np.zeros((0, m.shape[1])), np.zeros(0, np.int64)))
                 by_size[m.shape[1]] = (np.concatenate((own, ids)), np.concatenate((q, m)), np.concatenate((at, np.arange(n, n + len(ids)))))
                 n += len(ids)
-        most = max(largest, max(int(np.abs(q).max(initial=0)) for _, q, _ in by_size.values()))
-        bound = max(1, int(most) ** 2 * max(1, size))
+        most = max(int(np.abs(q).max(initial=0)) for _, q, _ in by_size.values())
+        bound = max(1, most * int(largest) * max(1, size))
+        if bound >= 2**62:
+            raise OverflowError("scores may be beyond 62 bits")
         group = spark.sparkContext.broadcast(by_size)
         kth = _kth(spark, candidates, group, bound, n, k)
         out = out.union(candidates.mapInArrow(_reaching(group, kth, k), "query_id long, vec_id long, score long"))

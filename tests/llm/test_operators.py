@@ -268,6 +268,15 @@ def test_top_k(spark):
     assert topk.top_k(few).count() == 2 and topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1.0, 0.5]), (1, [2.0**41, 0.0]), (2, [1.0, 1.0])]
+    make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(make(rows)).collect()]
+    assert sorted(got) == [(0, 1, 1, 2**41 * 256 * 256), (0, 2, 2, 256 * 256 + 128 * 256)]
+    with pytest.raises(Exception, match="beyond 53 bits"):
+        topk.top_k(make([*rows, (3, [1e300, 0.0])])).collect()
+
+
 # ---- 6
 
 
