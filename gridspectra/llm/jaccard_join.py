@@ -396,8 +396,24 @@ def link_counts(links: DataFrame) -> DataFrame:
     return links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
 
 
+def with_class(docs: DataFrame) -> DataFrame:
+    """`docs` with v, the class of the text."""
+    from pyspark.sql import types as T
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(s) for s in _sets(batch)], pa.binary())], names=[*batch.schema.names, "v"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("v", T.BinaryType())]))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs` (doc_id, text).
+    """`grouped` without v."""
+    return grouped(docs).drop("v")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, v (class), n_shingles, component_id of every row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, the row's own included. Null and blank texts have no
     shingles and are linked with nothing. Rows with repeated ids are vertices of their own, rows with null ids join
@@ -409,8 +425,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.join(labels, "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = written(named.join(least, "label").select("v", "component_id"))
-    rows = members.where("n > 0").join(of_class, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return rows.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = members.where("n > 0").join(of_class, "v").select("doc_id", "v", F.col("n").alias("n_shingles"), "component_id")
+    return rows.unionByName(members.where("n = 0").select("doc_id", "v", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_stages(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {d for d, _ in rows}
     twice = docs.union(docs)
     assert set(collections.Counter(r.doc_id for r in stages["encode"](spark, twice, sf).collect()).values()) == {2}
+
+
+def test_namesakes_of_near_copies_stay(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words, "x"])
+    rows = [(1, " ".join(words)), (5, near), (5, "a text of its own that is linked with nothing"), (6, near), (None, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
