@@ -5,14 +5,15 @@ sets' Jaccard similarity reaches 3/4. The join is exact:
 
 1. Blocks. Each set is ordered by a global order, rare shingles first (frequencies from a count sketch of fixed
    size; the order needs no exactness). Sets that link share a shingle within their first n - ceil(3n/4) + 1, so
-   the classes that hold a shingle there are a block. Shingles of one class alone are dropped with the help of a bitmap.
+   the classes that hold a shingle there are a block. Entries without a partner of fitting size and place in their block go at once.
 2. Trees. Shingles are hashed into GROUPS; a set's counts per group are a point. In a block the points are
    indexed by an R-tree. Two sets, or all sets of two nodes, share at most the sum of the coordinate minima
-   (of the nodes' upper corners), which prunes pairs of nodes and of points.
-3. Links. Surviving pairs are verified on whole sets. Pairs with each block's first class come first; the
-   rest is asked only of classes that are not in one component by then, so that a large group of near copies
-   costs a number of pairs in proportion to its size.
+   (of the nodes' upper corners), which prunes pairs of nodes and of points. What survives ties classes to clusters of candidates.
+3. Links. The whole set of a class is sent once, to its cluster. There a tree over the cluster's points finds the pairs again and
+   they are verified on the sets. Pairs of classes that are in one component already are skipped, so a large group of near
+   copies costs a number of pairs in proportion to its size and no table of pairs grows with the square of a group.
 
+Blocks of more than TILE entries and clusters of more than TILE_SHINGLES are cut into parts by hash, and every two parts meet in a task.
 A single tree over all points would prune next to nothing at 3/4: the counts of unrelated texts differ by less
 than linked ones may, unless groups are about as many as shingles. Hence the blocks.
 """
@@ -24,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,13 @@ from .components import components
 from .ragged import buffers, mix, shingle_sets, slices
 from .shared import table, written
 
-WIDTH, GROUPS, LEAF = 5, 64, 16
+WIDTH, GROUPS, LEAF = 5, 64, 64
 #: Sizes that do not grow with the input: log2 of the counters of the sketch, of the bits of bitmaps, and their segments.
 SKETCH_BITS, MAP_BITS, SEGMENTS = 22, 26, 256
-#: Entries to a packed bucket, about.
-BUCKET = 1 << 19
+#: Entries to a packed bucket, about; entries of a block, and shingles of a cluster, that one task takes whole.
+BUCKET, TILE, TILE_SHINGLES = 1 << 18, 1 << 12, 1 << 21
+#: From so many entries of one block in a task they are thinned out before they are sent.
+CROWD = 16
 #: The similarity as a fraction.
 OVER, UNDER = 3, 4
 
@@ -103,31 +107,51 @@ def sketch(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def packed_counts(s: np.ndarray) -> bytes:
+    """A set's shingles by group: one byte each, or four if one is above 255."""
+    counts = np.bincount((mix(s) >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.int32).tobytes()
+
+
+def unpacked_counts(column) -> np.ndarray:
+    """Points from a column of packed counts."""
+    out = np.zeros((len(column), GROUPS), np.int32)
+    for i, x in enumerate(column.to_pylist()):
+        out[i] = np.frombuffer(x, np.uint8 if len(x) == GROUPS else np.int32)
+    return out
+
+
 def classed(docs: DataFrame, levels) -> DataFrame:
-    """doc_id, v (class), n; and, for the first text of a class in a task, its prefix and its counts per group."""
+    """doc_id, v (class), n; and, for the first text of a class in a task, its number u, its prefix and its counts per group.
+
+    A class that several tasks meet has several numbers; their sets are equal, so they meet in all their blocks.
+    """
 
     def run(batches):
         seen: set[bytes] = set()
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            v, n, prefix, counts = [], [], [], []
+            v, n, u, prefix, counts = [], [], [], [], []
             for s in _sets(batch):
                 v.append(c := _class(s))
                 n.append(len(s))
                 if c in seen or not len(s):
-                    prefix.append(None)
-                    counts.append(None)
+                    for column in (u, prefix, counts):
+                        column.append(None)
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(c)
                 k = len(s) - -(-OVER * len(s) // UNDER) + 1
                 key = levels.value[s >> np.uint64(64 - SKETCH_BITS)]
                 first = np.lexsort((s, key))[:k]
+                u.append(number)
+                number += 1
                 prefix.append(s[first].tobytes())
-                counts.append(np.bincount((mix(s) >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "v", "n", "prefix", "counts"])
+                counts.append(packed_counts(s))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(u, pa.int64()), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "v", "n", "u", "prefix", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, v binary, n long, prefix binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, v binary, n long, u long, prefix binary, counts binary")
 
 
 # ---- bitmaps
@@ -154,101 +178,133 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def repeated(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Bitmap over the top bits of the shingles that more than one class holds in its prefix."""
+# ---- blocks
 
-    def run(batches):
-        def flush(hs, vs):
-            h, v = np.concatenate(hs), np.concatenate(vs)
-            to = (mix(h) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            used, at = np.unique(to[order], return_index=True)
-            cut = [*at, len(order)]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array([x[order[a:b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in (h, v))], names=["bucket", "h", "v"])
-
-        hs, vs, n = [], [], 0
-        for batch in batches:
-            for c, p in zip(batch.column("v"), batch.column("prefix")):
-                if p.is_valid:
-                    hs.append(np.frombuffer(p.as_py(), np.uint64))
-                    vs.append(np.full(len(hs[-1]), int.from_bytes(c.as_py()[:8], "little"), np.uint64))
-                    n += len(hs[-1])
-                    if n > 1 << 21:
-                        yield from flush(hs, vs)
-                        hs, vs, n = [], [], 0
-        if n:
-            yield from flush(hs, vs)
-
-    def twice(t: pa.Table) -> pa.Table:
-        h, v = (np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column(c)]) for c in ("h", "v"))
-        order = np.lexsort((v, h))
-        h, v = h[order], v[order]
-        found = h[1:][(h[1:] == h[:-1]) & (v[1:] != v[:-1])]
-        return pa.table({"bit": np.unique(found >> np.uint64(64 - MAP_BITS)).astype(np.int64)})
-
-    return bitmap(docs.select("v", "prefix").mapInArrow(run, "bucket long, h binary, v binary").groupBy("bucket").applyInArrow(twice, "bit long"))
+#: kind: 0 for an entry as it is, 1 for one that only speaks for others in its task, 2 for one that needs no partner any more.
+ENTRY = np.dtype([("h", "<u8"), ("u", "<i8"), ("n", "<i4"), ("at", "<i4"), ("kind", "u1")])
 
 
-# ---- blocks
+def _fit(e: np.ndarray) -> np.ndarray:
+    """Which entries (by h, then n) have a partner in their block whose size may fit.
 
-
-def posts(docs: DataFrame, bits) -> DataFrame:
-    """h, v, n, at (place of h in the order), counts: one row for each class in a block."""
+    Neighbours in size decide. 9/16 stands for 3/4, for one of a thinned-out block's entries may speak for all within 3/4 of it; in a block
+    of just two that is whole, size and place are asked exactly.
+    """
+    if not len(e):
+        return np.zeros(0, bool)
+    same = e["h"][1:] == e["h"][:-1]
+    near = same & (OVER**2 * e["n"][1:].astype(np.int64) <= UNDER**2 * e["n"][:-1].astype(np.int64))
+    n = e["n"].astype(np.int64)
+    least = needed(n[1:], n[:-1])
+    exact = (n[:-1] >= least) & (np.minimum(n[1:] - e["at"][1:], n[:-1] - e["at"][:-1]) >= least)
+    two = same & ~np.concatenate(([False], same[:-1])) & ~np.concatenate((same[1:], [False])) & (e["kind"][1:] == 0) & (e["kind"][:-1] == 0)
+    near[two] &= exact[two]
+    return np.concatenate((near, [False])) | np.concatenate(([False], near))
+
+
+def _thinned(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that are settled here since their block is crowded, and those to send: the rest, and one for each step of sizes of the settled."""
+    edge = np.flatnonzero(np.concatenate(([True], e["h"][1:] != e["h"][:-1], [True])))
+    crowded = np.repeat(np.diff(edge) >= CROWD, np.diff(edge))
+    if not crowded.any():
+        return e[:0], e
+    settled = crowded & _fit(e)
+    step = np.floor(np.log(np.maximum(e["n"], 1)) / np.log(UNDER / OVER))
+    new = np.concatenate(([True], (e["h"][1:] != e["h"][:-1]) | (step[1:] != step[:-1]) | ~settled[:-1]))
+    send = ~settled | new
+    out = e[send]
+    out["kind"] = settled[send]
+    done = e[settled]
+    done["kind"] = 2
+    return done, out
+
+
+def posts(members: DataFrame, buckets: int) -> DataFrame:
+    """h, u, n, at (place of h in the order) of every class in a block that has a partner of fitting size and place."""
+
+    def packed(e: np.ndarray, to: np.ndarray):
+        order = np.argsort(to, kind="stable")
+        used, at = np.unique(to[order], return_index=True)
+        cut = [*at, len(order)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([e[order[a:b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "entries"])
 
     def run(batches):
+        def flush():
+            e = np.zeros(count, ENTRY)
+            lengths = [len(x[0]) for x in held]
+            e["h"] = np.concatenate([x[0] for x in held])
+            e["at"] = np.concatenate([np.arange(k) for k in lengths])
+            e["u"], e["n"] = (np.repeat([x[k] for x in held], lengths) for k in (1, 2))
+            done, e = _thinned(e[np.lexsort((e["n"], e["h"]))])
+            yield packed(e, (mix(e["h"]) % np.uint64(buckets)).astype(np.int64))
+            if len(done):
+                yield packed(done, buckets + (mix(done["u"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+
+        held, count = [], 0
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for v, n, p, c in zip(*(batch.column(x) for x in ("v", "n", "prefix", "counts"))):
-                if not p.is_valid:
-                    continue
-                h = np.frombuffer(p.as_py(), np.uint64)
-                at = np.flatnonzero(has(bits.value, h >> np.uint64(64 - MAP_BITS)))
-                if len(at):
-                    for column, x in zip(rows, (h[at].view(np.int64), [v.as_py()] * len(at), [n.as_py()] * len(at), at, [c.as_py()] * len(at))):
-                        column.extend(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "v", "n", "at", "counts"])
+            for u, n, p in zip(batch.column("u").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix")):
+                held.append((np.frombuffer(p.as_py(), np.uint64), u, n))
+                count += len(held[-1][0])
+                if count > 1 << 20:
+                    yield from flush()
+                    held, count = [], 0
+        if held:
+            yield from flush()
 
-    return docs.select("v", "n", "prefix", "counts").mapInArrow(run, "h long, v binary, n long, at long, counts binary")
+    def met(t: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in t.column("entries")])
+        e = e[np.lexsort((e["n"], e["h"]))]
+        e = e[(_fit(e) & (e["kind"] == 0)) | (e["kind"] == 2)]
+        return pa.table({"h": pa.array(np.ascontiguousarray(e["h"]).view(np.int64)), **{x: pa.array(e[x].astype(np.int64)) for x in ("u", "n", "at")}})
+
+    return members.where("u is not null").select("u", "n", "prefix").mapInArrow(run, "bucket long, entries binary").groupBy("bucket").applyInArrow(met, "h long, u long, n long, at long")
 
 
 class Tree:
     """An R-tree over the points of a block, packed by halving along the widest coordinate."""
 
-    __slots__ = ("rows", "upper", "small", "large", "label", "kids")
+    __slots__ = ("rows", "upper", "small", "large", "kids")
 
-    def __init__(self, rows, points, sizes, labels):
+    def __init__(self, rows, points, sizes):
         self.rows = rows
         own = points[rows]
         self.upper = own.max(axis=0)
         self.small, self.large = int(sizes[rows].min()), int(sizes[rows].max())
-        first = labels[rows[0]]
-        self.label = first if (labels[rows] == first).all() else -1
         self.kids = ()
         if len(rows) > LEAF:
             spread = self.upper - own.min(axis=0)
             order = rows[np.argsort(own[:, int(spread.argmax())], kind="stable")]
             half = len(order) // 2
-            self.kids = tuple(Tree(x, points, sizes, labels) for x in (order[:half], order[half:]))
+            self.kids = tuple(Tree(x, points, sizes) for x in (order[:half], order[half:]))
+
 
+def tree_join(points: np.ndarray, sizes: np.ndarray, at: np.ndarray, labels: np.ndarray, side: np.ndarray | None = None):
+    """Pairs (i, j) of rows with different labels that size, place and summed minima allow to link; with `side`, of rows of different sides.
 
-def tree_join(points: np.ndarray, sizes: np.ndarray, at: np.ndarray, labels: np.ndarray):
-    """Pairs (i, j) of rows with different labels that size, place and summed minima allow to link."""
-    root = Tree(np.arange(len(sizes)), points, sizes, labels)
-    todo = [(root, root)]
+    `labels` may be changed between yields: what has become one component is not asked for again.
+    """
+    if side is None:
+        root = Tree(np.arange(len(sizes)), points, sizes)
+        todo = [(root, root)]
+    else:
+        todo = [tuple(Tree(np.flatnonzero(side == k), points, sizes) for k in (False, True))] if side.any() and not side.all() else []
     while todo:
         a, b = todo.pop()
-        if a.label >= 0 and a.label == b.label:
-            continue
         if UNDER * a.large < OVER * b.small or UNDER * b.large < OVER * a.small or np.minimum(a.upper, b.upper).sum() < -(-OVER * (a.small + b.small) // (OVER + UNDER)):
             continue
+        first = labels[a.rows[0]]
+        if (labels[a.rows] == first).all() and (a is b or (labels[b.rows] == first).all()):
+            continue
         if a.kids or b.kids:
             left, right = a.kids or (a,), b.kids or (b,)
-            todo += [(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if a is not b or j >= i]
+            todo += [(x, y) for i, x in enumerate(left) for j, y in enumerate(right) if a is not b or j >= i][::-1]
             continue
         i, j = (x.ravel() for x in np.meshgrid(a.rows, b.rows, indexing="ij"))
         if a is b:
             i, j = i[i < j], j[i < j]
-        ok = may_link(points, sizes, at, i, j) & (labels[i] != labels[j])
+        apart = labels[i] != labels[j]
+        i, j = i[apart], j[apart]
+        ok = may_link(points, sizes, at, i, j)
         yield i[ok], j[ok]
 
 
@@ -260,58 +316,70 @@ def may_link(points, sizes, at, i, j):
     return ok
 
 
-def _runs(t: pa.Table, extra: str | None = None):
-    """The blocks of a bucket: (h, v, points, sizes, places, extra), classes once each."""
-    h = t.column("h").to_numpy()
-    v = np.frombuffer(b"".join(t.column("v").to_pylist()), "V16")
-    key = v.view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((key[:, 1], key[:, 0], h))
-    h, v = h[order], v[order]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])))
-    order, h, v = order[new], h[new], v[new]
-    points = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32).reshape(-1, GROUPS)[order]
-    sizes, at = t.column("n").to_numpy()[order], t.column("at").to_numpy()[order]
-    more = np.array(t.column(extra).to_pylist(), dtype=object)[order] if extra else None
-    edge = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)])) if len(h) else np.zeros(1, int)
-    for a, b in zip(edge, edge[1:]):
-        if b - a > 1:
-            yield slice(a, b), h[a], v[a:b], points[a:b], sizes[a:b], at[a:b], more[a:b] if extra else None
-
-
-def _pairs(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, "V16") for k in (0, 1))
-    both = np.unique(np.stack((a, b), axis=1).view("V32")) if len(a) else np.zeros(0, "V32")
-    flat = both.tobytes()
-    return pa.table({"a": pa.array([flat[32 * i : 32 * i + 16] for i in range(len(both))], pa.binary()), "b": pa.array([flat[32 * i + 16 : 32 * i + 32] for i in range(len(both))], pa.binary())})
-
-
-def first_pairs(t: pa.Table) -> pa.Table:
-    """Each block's smallest set (by size, class) with all others that may link with it."""
-    out = []
-    for _, _, v, points, sizes, at, _ in _runs(t):
-        pivot = int(sizes.argmin())
-        others = np.delete(np.arange(len(v)), pivot)
-        others = others[may_link(points, sizes, at, np.full(len(others), pivot), others)]
-        out.append(_ordered(v, np.full(len(others), pivot), others))
-    return _pairs(out)
-
-
-def _ordered(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the pairs, the one of smaller bytes first (as big-endian numbers)."""
-    key = v.view(">u8").reshape(-1, 2)
-    swap = (key[i, 0] > key[j, 0]) | ((key[i, 0] == key[j, 0]) & (key[i, 1] > key[j, 1]))
-    return v[np.where(swap, j, i)], v[np.where(swap, i, j)]
-
-
-def rest_pairs(t: pa.Table) -> pa.Table:
-    """Pairs of a block's classes that may link and are in different components, by the tree."""
-    out = []
-    for _, _, v, points, sizes, at, label in _runs(t, "label"):
-        if len(v) > 2:
-            _, number = np.unique([x.hex() for x in label], return_inverse=True)
-            if number.max():
-                out += [_ordered(v, i, j) for i, j in tree_join(points, sizes, at, number) if len(i)]
-    return _pairs(out)
+def unite(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give the components of rows i and j one label, the smaller, in place."""
+    while len(i):
+        a, b = labels[i], labels[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        to = np.arange(len(labels))
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        labels[:] = to[labels]
+
+
+def candidates(t: pa.Table) -> pa.Table:
+    """The classes of a bucket of blocks, tied by the pairs that their trees leave: u and the smallest number it is tied to."""
+    h, u = t.column("h").to_numpy(), t.column("u").to_numpy()
+    part = t.column("part").to_numpy()
+    order = np.lexsort((u, part, h))
+    h, u, part = h[order], u[order], part[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (u[1:] != u[:-1]) | (part[1:] != part[:-1])))
+    order, h, u, part = order[new], h[new], u[new], part[new]
+    points = unpacked_counts(t.column("counts"))[order]
+    sizes, at, side, cross = (t.column(x).to_numpy(zero_copy_only=False)[order] for x in ("n", "at", "side", "cross"))
+    edge = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (part[1:] != part[:-1]), [True])))
+    width = np.diff(edge)
+    vertex, number = np.unique(u, return_inverse=True)
+    labels = np.arange(len(vertex))
+    # a block of one leaf needs no tree above it: all such blocks are one call
+    for w in np.unique(width[(width > 1) & (width <= LEAF)]):
+        starts = edge[:-1][width == w]
+        x, y = np.triu_indices(w, 1)
+        for k in range(0, len(starts), max(1, (1 << 19) // len(x))):
+            own = starts[k : k + max(1, (1 << 19) // len(x))]
+            i, j = (own[:, None] + x).ravel(), (own[:, None] + y).ravel()
+            apart = (labels[number[i]] != labels[number[j]]) & (~cross[i] | (side[i] != side[j]))
+            i, j = i[apart], j[apart]
+            ok = may_link(points, sizes, at, i, j)
+            unite(labels, number[i[ok]], number[j[ok]])
+    for a, b in zip(edge[:-1][width > LEAF], edge[1:][width > LEAF]):
+        own = slice(a, b)
+        _, local = np.unique(labels[number[own]], return_inverse=True)
+        for i, j in tree_join(points[own], sizes[own], at[own], local, side[own] if cross[a] else None):
+            unite(local, i, j)
+        first = np.full(len(local), b - a)
+        np.minimum.at(first, local, np.arange(b - a))
+        unite(labels, number[own], number[a + first[local]])
+    tied = np.flatnonzero(labels != np.arange(len(vertex)))
+    return pa.table({"a": vertex[tied], "b": vertex[labels[tied]]})
+
+
+def parted(df: DataFrame, key: str, size, most: int, by: str) -> DataFrame:
+    """`df` with part, cross and side: rows of a key whose summed `size` is above `most` are cut into parts by a hash of `by`, and every two parts meet.
+
+    A part meets itself (cross is false) or another (cross is true, side tells the two apart).
+    """
+    whole = df.withColumns({"part": F.lit(0).cast("long"), "cross": F.lit(False), "side": F.lit(False)})
+    large = df.groupBy(key).agg(F.sum(size).alias("size")).where(F.col("size") > most).select(key, F.ceil(F.col("size") / most).alias("parts"))
+    large = written(large)
+    if not large.limit(1).count():
+        return whole
+    small = whole.join(large.select(key), key, "left_anti")
+    cut = df.join(large, key).withColumn("own", F.pmod(F.xxhash64(F.lit(7), by), F.col("parts")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    cut = cut.withColumns({"part": low * F.col("parts") + high, "cross": F.col("own") != F.col("other"), "side": F.col("own") > F.col("other")})
+    return small.unionByName(cut.drop("own", "other", "parts"))
 
 
 # ---- links
@@ -346,49 +414,90 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "v binary, members binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    x = sets.select(F.col("v").alias("a"), F.col("members").alias("x"))
-    y = sets.select(F.col("v").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary").distinct()
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j, pair by pair; the pairs are of few rows, for their incidence matrices are multiplied."""
+    left, right = np.unique(i), np.unique(j)
+    x, y = np.concatenate([sets[k] for k in left]), np.concatenate([sets[k] for k in right])
+    both = np.intersect1d(x, y)
+    total = np.zeros((len(left), len(right)), np.int64)
+
+    def places(rows, flat):
+        owner = np.repeat(np.arange(len(rows)), [len(sets[k]) for k in rows])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        held = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        return owner[held], at[held]
+
+    (xr, xc), (yr, yc) = places(left, x), places(right, y)
+    step = 1 << 14
+    for c in range(0, len(both), step):
+        a, b = np.zeros((len(left), min(step, len(both) - c)), np.float32), np.zeros((len(right), min(step, len(both) - c)), np.float32)
+        for m, r, q in ((a, xr, xc), (b, yr, yc)):
+            own = (q >= c) & (q < c + step)
+            m[r[own], q[own] - c] = 1
+        total += np.rint(a @ b.T).astype(np.int64)
+    return total[np.searchsorted(left, i), np.searchsorted(right, j)]
+
+
+def cluster_links(t: pa.Table, every: bool = False) -> pa.Table:
+    """Links between the classes of a bucket of clusters: pairs (a, b), b the smallest class of a's component; with `every`, all."""
+    names = np.array([x.hex() for x in t.column("v").to_pylist()], dtype=object)
+    key = t.column("label").to_numpy()
+    part = t.column("part").to_numpy()
+    order = np.lexsort((names, part, key))
+    out: tuple[list, list] = ([], [])
+    edge = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1]), [True])))
+    for x, y in zip(edge, edge[1:]):
+        rows = order[x:y]
+        v = t.column("v").take(rows).to_pylist()
+        sets = [np.frombuffer(s, np.uint64) for s in t.column("members").take(rows).to_pylist()]
+        points = np.stack([np.bincount((mix(s) >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
+        sizes = np.array([len(s) for s in sets])
+        cross, side = (np.array(t.column(c).take(rows).to_pylist(), bool) for c in ("cross", "side"))
+        labels = np.arange(len(rows))
+        for i, j in tree_join(points, sizes, np.zeros(len(rows), np.int64), labels, side if cross[0] else None):
+            if not len(i):
+                continue
+            both = shared(sets, i, j)
+            ok = 100 * both >= 75 * (sizes[i] + sizes[j] - both)
+            if every:
+                for a, b in zip(i[ok], j[ok]):
+                    out[0].append(max(v[a], v[b]))
+                    out[1].append(min(v[a], v[b]))  # a set may be there twice; such pairs go below
+            else:
+                unite(labels, i[ok], j[ok])
+        for a in np.flatnonzero(labels != np.arange(len(rows))):
+            out[0].append(v[a])
+            out[1].append(v[labels[a]])
+    return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
 
 
 def linked(docs: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, v, n) and links between classes (a, b) that connect all classes of a component; with `every`, all links."""
+    members, links, _ = _joined(docs, every)
+    return members.select("doc_id", "v", "n"), links
+
+
+def _joined(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """`linked`, and whether every component's links are a star around its smallest class."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(sketch(docs))
     members = written(classed(docs, levels))
     entries = members.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    bits = spark.sparkContext.broadcast(repeated(members, max(SEGMENTS, -(-entries // 8 // BUCKET))))
-    held = written(posts(members, bits))
-    buckets = max(24, -(-held.count() * 4 // BUCKET))
-    bucket = F.pmod(F.xxhash64("h"), F.lit(buckets))
-    first = written(held.groupBy(bucket).applyInArrow(first_pairs, "a binary, b binary").distinct())
-    one = members.groupBy("v").agg(F.min("doc_id").alias("doc_id"))
-    several = held.groupBy("h").agg(F.count_distinct("v").alias("classes")).where("classes > 2").select("h")
-    crowded = written(held.join(several, "h", "left_semi"))
-    ends = first.select(F.col("a").alias("v")).union(first.select("b")).union(crowded.select("v")).distinct()
-    sets = written(whole_sets(docs, ends.join(one, "v")))
-    links = written(verified(first, sets))
-    if crowded.limit(1).count():
-        told = crowded.withColumn("label", F.col("v"))
-        if not every:
-            told = crowded.join(components(links), "v", "left").withColumn("label", F.coalesce("label", "v"))
-        rest = told.groupBy(bucket).applyInArrow(rest_pairs, "a binary, b binary").distinct().join(first, ["a", "b"], "left_anti")
-        links = links.unionByName(written(verified(written(rest), sets)))
-    return members.select("doc_id", "v", "n"), links
+    held = written(posts(members, max(SEGMENTS // 4, -(-entries // 8 // BUCKET))))
+    counts = members.where("u is not null").select("u", "counts")
+    crowded = parted(held, "h", F.lit(1), TILE, "u").join(counts, "u")
+    bucket = F.pmod(F.xxhash64("h", "part"), F.lit(max(24, -(-held.count() * 4 // BUCKET))))
+    ties = written(crowded.groupBy(bucket).applyInArrow(candidates, "a long, b long").distinct())
+    clusters = components(ties).select(F.col("v").alias("u"), "label")
+    wanted = members.select("u", "v", "doc_id", "n").join(clusters, "u")
+    # the numbers of one class are in one cluster; one text stands for them
+    wanted = written(wanted.groupBy("v").agg(F.min("label").alias("label"), F.max("n").alias("n"), F.min("doc_id").alias("doc_id")))
+    sets = whole_sets(docs, wanted)
+    met = parted(wanted.select("v", "label", "n"), "label", F.col("n"), TILE_SHINGLES, "v")
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("label", "part"), F.lit(max(24, -(-total // (TILE_SHINGLES // 4)))))
+    links = written(sets.join(met, "v").groupBy(bucket).applyInArrow(lambda t: cluster_links(t, every), "a binary, b binary").where("a <> b").distinct())
+    return members, links, not every and not met.where("cross").limit(1).count()
 
 
 def link_counts(links: DataFrame) -> DataFrame:
@@ -419,8 +528,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     shingles and are linked with nothing. Rows with repeated ids are vertices of their own, rows with null ids join
     components without naming them. Sets are compared by 64-bit hashes of their shingles; classes by 128 bits.
     """
-    members, links = linked(docs)
-    labels = components(links)
+    members, links, stars = _joined(docs, False)
+    labels = links.select(F.col("a").alias("v"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct()) if stars else components(links)
     classes = members.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels, "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))

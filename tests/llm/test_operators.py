@@ -165,6 +165,46 @@ def test_near_duplicates(spark, seed):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_links(rows)
 
 
+@pytest.mark.parametrize("tile", [1, 3, 16])
+def test_tiles_of_hot_blocks_lose_no_link(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "TILE_SHINGLES", 40 * tile)
+    rows = EDGES + near_copies(3, 120)
+    got = jaccard_join.near_duplicates(frame(spark, rows).repartition(3))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_links(rows)
+
+
+@pytest.mark.parametrize("crowd", [2, 5, 1000])
+def test_thinned_blocks_keep_all_that_may_link(monkeypatch, crowd):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    turn = np.random.default_rng(crowd)
+    for _ in range(30):
+        e = np.zeros(120, jaccard_join.ENTRY)
+        e["h"], e["u"], e["n"] = turn.integers(0, 12, 120), np.arange(120), np.exp(turn.uniform(0, 9, 120)).astype(int) + 1
+        e["at"] = turn.integers(0, 1 + e["n"] // 4)
+        kept, sent = set(), []
+        for own in np.array_split(turn.permutation(e), 3):
+            done, rest = jaccard_join._thinned(own[np.lexsort((own["n"], own["h"]))])
+            kept |= set(done["u"].tolist())
+            sent.append(rest)
+        met = np.concatenate(sent)
+        met = met[np.lexsort((met["n"], met["h"]))]
+        kept |= set(met["u"][jaccard_join._fit(met) & (met["kind"] == 0)].tolist())
+        for x in e:
+            n, m = int(x["n"]), e["n"].astype(int)
+            least = jaccard_join.needed(np.full(len(e), n), m)
+            ok = (e["h"] == x["h"]) & (e["u"] != x["u"]) & (np.minimum(n, m) >= least) & (np.minimum(n - x["at"], m - e["at"]) >= least)
+            assert not ok.any() or int(x["u"]) in kept
+
+
+def test_intersections_of_pairs():
+    turn = np.random.default_rng(6)
+    sets = [np.unique(turn.integers(0, 300, turn.integers(1, 200))).astype(np.uint64) for _ in range(20)] + [np.arange(40000, dtype=np.uint64)] * 2
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(22), np.arange(22)))
+    assert jaccard_join.shared(sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    assert jaccard_join.shared([np.array([1], np.uint64), np.array([2], np.uint64)], np.array([0]), np.array([1])).tolist() == [0]
+
+
 def test_every_link(spark):
     words = [f"w{i}" for i in range(120)]
     rows = [(i, " ".join(w if k != 7 * i else f"x{i}" for k, w in enumerate(words))) for i in range(12)]
