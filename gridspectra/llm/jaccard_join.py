@@ -9,7 +9,7 @@ sets' Jaccard similarity reaches 3/4. The join is exact:
 2. Trees. Shingles are hashed into GROUPS; a set's counts per group are a point. In a block the points are
    indexed by an R-tree. Two sets, or all sets of two nodes, share at most the sum of the coordinate minima
    (of the nodes' upper corners), which prunes pairs of nodes and of points. What survives ties classes to clusters of candidates.
-3. Links. The whole set of a class is sent once, to its cluster. There a tree over the cluster's points finds the pairs again and
+3. Links. One text of a class is sent, to its cluster. There its set is made again, a tree over the cluster's points finds the pairs and
    they are verified on the sets. Pairs of classes that are in one component already are skipped, so a large group of near
    copies costs a number of pairs in proportion to its size and no table of pairs grows with the square of a group.
 
@@ -184,6 +184,24 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 ENTRY = np.dtype([("h", "<u8"), ("u", "<i8"), ("n", "<i4"), ("at", "<i4"), ("kind", "u1")])
 
 
+def _packed(e: np.ndarray) -> bytes:
+    """Entries in order of u, column by column and compressed: numbers of classes as steps, which are small."""
+    e = e[np.argsort(e["u"], kind="stable")]
+    planes = [np.int64(len(e)).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in (e["h"], np.diff(e["u"], prepend=0), e["n"], e["at"], e["kind"]))]
+    raw = b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+    out, at = np.empty(int.from_bytes(raw[:8], "little"), ENTRY), 8
+    for name in ENTRY.names:
+        out[name] = np.frombuffer(raw, ENTRY[name], len(out), at)
+        at += ENTRY[name].itemsize * len(out)
+    out["u"] = np.cumsum(out["u"])
+    return out
+
+
 def _fit(e: np.ndarray) -> np.ndarray:
     """Which entries (by h, then n) have a partner in their block whose size may fit.
 
@@ -226,7 +244,7 @@ def posts(members: DataFrame, buckets: int) -> DataFrame:
         order = np.argsort(to, kind="stable")
         used, at = np.unique(to[order], return_index=True)
         cut = [*at, len(order)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([e[order[a:b]].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([_packed(e[order[a:b]]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "entries"])
 
     def run(batches):
         def flush():
@@ -252,7 +270,7 @@ def posts(members: DataFrame, buckets: int) -> DataFrame:
             yield from flush()
 
     def met(t: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in t.column("entries")])
+        e = np.concatenate([_unpacked(x.as_py()) for x in t.column("entries")])
         e = e[np.lexsort((e["n"], e["h"]))]
         e = e[(_fit(e) & (e["kind"] == 0)) | (e["kind"] == 2)]
         return pa.table({"h": pa.array(np.ascontiguousarray(e["h"]).view(np.int64)), **{x: pa.array(e[x].astype(np.int64)) for x in ("u", "n", "at")}})
@@ -389,10 +407,10 @@ def _bit(v: bytes, doc_id) -> int:
     return int.from_bytes(hashlib.blake2b(v + str(doc_id).encode(), digest_size=8).digest(), "little") >> (64 - MAP_BITS)
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """v and the packed set of every class in `wanted` (v, doc_id: one text of the class).
+def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """v, n_bytes and the compressed text of every class in `wanted` (v, doc_id: one text of the class); texts are half the size of their sets.
 
-    The texts are read again and a bitmap says which to keep, so no text is moved; a row too many does no harm.
+    The texts are read again and a bitmap says which to send, so no other text is moved; a row too many does no harm.
     """
 
     def number(batches):
@@ -403,15 +421,22 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            v, members = [], []
-            for i, s in zip(batch.column("doc_id").to_pylist(), _sets(batch)):
+            v, size, packed = [], [], []
+            for i, text, s in zip(batch.column("doc_id").to_pylist(), batch.column("text"), _sets(batch)):
                 c = _class(s)
                 if len(s) and has(held.value, np.array([_bit(c, i)]))[0]:
                     v.append(c)
-                    members.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(members, pa.binary())], names=["v", "members"])
+                    raw = text.as_buffer()
+                    size.append(raw.size)
+                    packed.append(pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], names=["v", "n_bytes", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "v binary, n_bytes long, packed binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "v binary, members binary")
+def _sets_of(texts: list[bytes]) -> list[np.ndarray]:
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return list(shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets, WIDTH))
 
 
 def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -449,7 +474,7 @@ def cluster_links(t: pa.Table, every: bool = False) -> pa.Table:
     for x, y in zip(edge, edge[1:]):
         rows = order[x:y]
         v = t.column("v").take(rows).to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("members").take(rows).to_pylist()]
+        sets = [s for k in range(0, len(rows), 256) for s in _sets_of([pa.decompress(q, n, "zstd", asbytes=True) for q, n in zip(*(t.column(c).take(rows[k : k + 256]).to_pylist() for c in ("packed", "n_bytes")))])]
         points = np.stack([np.bincount((mix(s) >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
         sizes = np.array([len(s) for s in sets])
         cross, side = (np.array(t.column(c).take(rows).to_pylist(), bool) for c in ("cross", "side"))
@@ -492,11 +517,11 @@ def _joined(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, bool]:
     wanted = members.select("u", "v", "doc_id", "n").join(clusters, "u")
     # the numbers of one class are in one cluster; one text stands for them
     wanted = written(wanted.groupBy("v").agg(F.min("label").alias("label"), F.max("n").alias("n"), F.min("doc_id").alias("doc_id")))
-    sets = whole_sets(docs, wanted)
+    texts = whole_texts(docs, wanted)
     met = parted(wanted.select("v", "label", "n"), "label", F.col("n"), TILE_SHINGLES, "v")
     total = wanted.agg(F.sum("n")).first()[0] or 0
     bucket = F.pmod(F.xxhash64("label", "part"), F.lit(max(24, -(-total // (TILE_SHINGLES // 4)))))
-    links = written(sets.join(met, "v").groupBy(bucket).applyInArrow(lambda t: cluster_links(t, every), "a binary, b binary").where("a <> b").distinct())
+    links = written(texts.join(met, "v").groupBy(bucket).applyInArrow(lambda t: cluster_links(t, every), "a binary, b binary").where("a <> b").distinct())
     return members, links, not every and not met.where("cross").limit(1).count()
 
 
