@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .ragged import buffers, mix, shingle_sets, slices
+from .ragged import buffers, mix, packed, shingle_sets, slices, unpacked
 from .shared import table, written
 
 WIDTH, GROUPS, LEAF = 5, 64, 64
@@ -157,16 +157,16 @@ def classed(docs: DataFrame, levels) -> DataFrame:
 # ---- bitmaps
 
 
-def bitmap(bits: DataFrame) -> np.ndarray:
-    """MAP_BITS as bytes, from a table of bit numbers; what each segment gathers is bounded by its bits."""
-    part = (1 << MAP_BITS) // SEGMENTS
+def bitmap(bits: DataFrame, size: int = MAP_BITS) -> np.ndarray:
+    """2^size bits as bytes, from a table of bit numbers; what each segment gathers is bounded by its bits."""
+    part = (1 << size) // SEGMENTS
 
     def pack(t: pa.Table) -> pa.Table:
         own = np.zeros(part, bool)
         own[t.column("bit").to_numpy() % part] = True
         return pa.table({"segment": t.column("segment").slice(0, 1), "bits": [np.packbits(own).tobytes()]})
 
-    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    out = np.zeros((1 << size) // 8, np.uint8)
     got = bits.distinct().withColumn("segment", F.floor(F.col("bit") / part).cast("int")).groupBy("segment").applyInArrow(pack, "segment int, bits binary").toArrow()
     for k, x in zip(got.column("segment").to_pylist(), got.column("bits").to_pylist()):
         out[k * part // 8 : (k + 1) * part // 8] = np.frombuffer(x, np.uint8)
@@ -185,19 +185,16 @@ ENTRY = np.dtype([("h", "<u8"), ("u", "<i8"), ("n", "<i4"), ("at", "<i4"), ("kin
 
 
 def _packed(e: np.ndarray) -> bytes:
-    """Entries in order of u, column by column and compressed: numbers of classes as steps, which are small."""
+    """Entries in order of u: numbers of classes as steps, which are small."""
     e = e[np.argsort(e["u"], kind="stable")]
-    planes = [np.int64(len(e)).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in (e["h"], np.diff(e["u"], prepend=0), e["n"], e["at"], e["kind"]))]
-    raw = b"".join(planes)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return packed(e["h"], np.diff(e["u"], prepend=0), e["n"], e["at"], e["kind"])
 
 
 def _unpacked(x: bytes) -> np.ndarray:
-    raw = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
-    out, at = np.empty(int.from_bytes(raw[:8], "little"), ENTRY), 8
-    for name in ENTRY.names:
-        out[name] = np.frombuffer(raw, ENTRY[name], len(out), at)
-        at += ENTRY[name].itemsize * len(out)
+    columns = unpacked(x)
+    out = np.empty(len(columns[0]), ENTRY)
+    for name, c in zip(ENTRY.names, columns):
+        out[name] = c
     out["u"] = np.cumsum(out["u"])
     return out
 
@@ -240,7 +237,7 @@ def _thinned(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def posts(members: DataFrame, buckets: int) -> DataFrame:
     """h, u, n, at (place of h in the order) of every class in a block that has a partner of fitting size and place."""
 
-    def packed(e: np.ndarray, to: np.ndarray):
+    def dealt(e: np.ndarray, to: np.ndarray):
         order = np.argsort(to, kind="stable")
         used, at = np.unique(to[order], return_index=True)
         cut = [*at, len(order)]
@@ -254,9 +251,9 @@ def posts(members: DataFrame, buckets: int) -> DataFrame:
             e["at"] = np.concatenate([np.arange(k) for k in lengths])
             e["u"], e["n"] = (np.repeat([x[k] for x in held], lengths) for k in (1, 2))
             done, e = _thinned(e[np.lexsort((e["n"], e["h"]))])
-            yield packed(e, (mix(e["h"]) % np.uint64(buckets)).astype(np.int64))
+            yield dealt(e, (mix(e["h"]) % np.uint64(buckets)).astype(np.int64))
             if len(done):
-                yield packed(done, buckets + (mix(done["u"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
+                yield dealt(done, buckets + (mix(done["u"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))
 
         held, count = [], 0
         for batch in batches:
@@ -421,15 +418,15 @@ def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            v, size, packed = [], [], []
+            v, size, texts = [], [], []
             for i, text, s in zip(batch.column("doc_id").to_pylist(), batch.column("text"), _sets(batch)):
                 c = _class(s)
                 if len(s) and has(held.value, np.array([_bit(c, i)]))[0]:
                     v.append(c)
                     raw = text.as_buffer()
                     size.append(raw.size)
-                    packed.append(pa.compress(raw, "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], names=["v", "n_bytes", "packed"])
+                    texts.append(pa.compress(raw, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(size, pa.int64()), pa.array(texts, pa.binary())], names=["v", "n_bytes", "packed"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "v binary, n_bytes long, packed binary")
 
@@ -557,7 +554,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     labels = links.select(F.col("a").alias("v"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("v"), F.col("b").alias("label")).distinct()) if stars else components(links)
     classes = members.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels, "v", "left").select("v", "least", F.coalesce("label", "v").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    least = written(named.groupBy("label").agg(F.min("least").alias("component_id")))  # apart from the join, whose skew can then be split
     of_class = written(named.join(least, "label").select("v", "component_id"))
     rows = members.where("n > 0").join(of_class, "v").select("doc_id", "v", F.col("n").alias("n_shingles"), "component_id")
     return rows.unionByName(members.where("n = 0").select("doc_id", "v", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

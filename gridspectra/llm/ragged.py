@@ -54,6 +54,27 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         i = min(j, n)
 
 
+def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pieces of `data` laid end to end."""
+    at = np.cumsum(lengths) - lengths
+    return data[np.arange(int(lengths.sum())) + np.repeat(starts - at, lengths)]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed string."""
+    raw = b"".join(x for c in columns for x in (c.dtype.str.encode().ljust(8), len(c).to_bytes(8, "little"), np.ascontiguousarray(c).tobytes()))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True), 0, []
+    while at < len(raw):
+        kind, n = np.dtype(raw[at : at + 8].decode().strip()), int.from_bytes(raw[at + 8 : at + 16], "little")
+        out.append(np.frombuffer(raw, kind, n, at + 16))
+        at += 16 + n * kind.itemsize
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the words between ASCII white space, and each row's first word (n + 1 entries)."""
     if not len(data):
