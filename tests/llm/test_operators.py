@@ -313,8 +313,29 @@ def test_top_k_of_large_components(spark):
     make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(make(rows)).collect()]
     assert sorted(got) == [(0, 1, 1, 2**41 * 256 * 256), (0, 2, 2, 256 * 256 + 128 * 256)]
-    with pytest.raises(Exception, match="beyond 53 bits"):
+    with pytest.raises(Exception, match="beyond 64 bits"):
         topk.top_k(make([*rows, (3, [1e300, 0.0])])).collect()
+    low = topk.top_k(make([*rows, (3, [-1e300, 0.0]), (4, [-1.7e308, 1.0])]), k=2)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in low.collect()) == sorted(got)
+
+
+def test_top_k_of_all_sizes(spark):
+    import math
+    from fractions import Fraction
+
+    turn = random.Random(12)
+    rows = [(i, [turn.choice([-1, 1]) * turn.random() * 2.0 ** turn.choice([-3, 0, 8, 20 if i % 3 else 3, -60]) for _ in range(4)]) for i in range(160)]
+    rows += [(1000 + i, [-(2.0 ** (60 + i)), 0.0, 2.0**44, 1.0]) for i in range(3)] + [(2000, [4e6] * 64), (2050, [0.5] * 64), (2001, [-1.0] * 64)]
+    q = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want, held = set(), []
+    for i in (i for i in q if i % 50 == 0 and i < 1000 or i == 2050):
+        best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))[:3]
+        if all(abs(s) < 2**63 for s, _ in best):
+            held.append(rows[[r[0] for r in rows].index(i)])
+            want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    got = topk.top_k(make(rows).repartition(3), make(held), k=3)
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == want and len(held) > 2
 
 
 # ---- 6
