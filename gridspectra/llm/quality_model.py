@@ -5,7 +5,8 @@ and last characters) and pairs of shapes, and the share of repeated 3-word windo
 of their smoothed frequencies in the two classes, a linear hinge-loss model is fitted to them by dual
 coordinate descent, and a logistic curve over rows left out of the fit turns margins into scores.
 
-The model is fitted on the FIT_DOCS labelled rows of smallest hashed id, a documented bound; every whole text is scored.
+The model is fitted on the FIT_DOCS labelled documents of smallest hashed id, or as many of them as have FIT_FOUND indicators together,
+a documented bound; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import LOWER, M1, M2, M3, buffers, mix, slices, word_hashes, words
-from .shared import table
+from .shared import fresh, table, written
 
-FIT_DOCS, BITS, SMOOTHING, COST, EPOCHS, SEED = 8192, 19, 1.0, 1.0, 12, 5
+FIT_DOCS, FIT_FOUND, BITS, SMOOTHING, COST, EPOCHS, SEED = 8192, 1 << 25, 19, 1.0, 1.0, 12, 5
 THRESHOLD, HELD_OUT = 0.3, 5
 
 _KIND = np.arange(256, dtype=np.uint64)
@@ -148,10 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
             for i, j in slices(offsets):
                 rows, found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out += np.split(found, np.searchsorted(rows, np.arange(1, j - i)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["doc_id", "quality", "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "quality", "digest")), pa.array([x.astype(np.int32) for x in out], pa.list_(pa.int32()))], names=["doc_id", "quality", "digest", "found"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = joined.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(run, "doc_id long, quality int, found array<int>").toArrow()
+    # of the texts of a repeated id the one of smallest digest; then no more than the driver can hold, however long texts are
+    one = joined.withColumn("digest", F.sha2("text", 256)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "digest", "text")
+    found = written(one.mapInArrow(run, "doc_id long, quality int, digest string, found array<int>"))
+    first = found.groupBy("doc_id").agg(F.min(F.coalesce("digest", F.lit(""))).alias("least"), F.min_by(F.size("found"), F.coalesce("digest", F.lit(""))).alias("size"))
+    total = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    kept = first.withColumn("total", total).where(F.col("total") <= FIT_FOUND).select("doc_id", "least")
+    got = found.join(F.broadcast(kept), "doc_id").where(F.coalesce("digest", F.lit("")) == F.col("least")).dropDuplicates(["doc_id"]).select("doc_id", "quality", "found").toArrow()
     got = got.sort_by("doc_id")
     lists = got.column("found").combine_chunks()
     flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -160,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of `docs` with score. Null texts score as empty ones."""
+    """All rows and columns of `docs` with score, named by `fresh`. Null texts score as empty ones."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names, name = docs.columns, fresh(docs.columns, "score")
 
     def run(batches):
         for batch in batches:
@@ -171,9 +178,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in slices(offsets):
                 rows, found = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out[i:j] = held.value.scores(held.value.margins(rows, found, j - i))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -359,6 +359,62 @@ def test_classifier_edges(spark):
     assert quality_model.classify(frame(spark, []), some).count() == 0
 
 
+def test_scores_of_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, EDGES).withColumns({n: F.lit(f"mine {n}") for n in ("score", "held_out", "quality", "found")})
+    labels = spark.createDataFrame([(6, 1), (8, 0), (5, 1)], "doc_id long, quality int")
+    got = quality_model.score(docs, quality_model.train(docs, labels))
+    assert got.columns == [*docs.columns, "score_"] and got.where("score = 'mine score' and score_ between 0 and 1").count() == len(EDGES)
+    assert quality_model.classify(docs, labels).count() == len(EDGES)
+
+
+def plain_features(text):
+    """The indicators of a text, word by word."""
+    import math
+    import re
+
+    one = lambda b: ragged.word_hashes(np.frombuffer(b.lower() if b.isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in b), np.uint8), np.array([0]), np.array([len(b)]))[0]
+    pair = lambda x, y: ragged.mix(np.array([x]) * ragged.M3 + y)[0]
+    kind = lambda c: 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 1 if 97 <= c <= 122 or c >= 128 else c
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    with np.errstate(over="ignore"):
+        h = [one(b) for b in w]
+        shape = [ragged.mix(np.array([kind(b[0])], np.uint64) * ragged.M2 + np.uint64(kind(b[-1])) * ragged.M3 + ragged.M1)[0] for b in w]
+        out = {*h, *shape, *map(pair, h, h[1:]), *map(pair, shape, shape[1:])}
+        windows = list(zip(h, h[1:], h[2:]))
+        share = (len(windows) - len(set(windows))) / max(1, len(windows))
+        out.add(ragged.mix(np.array([math.ceil(share * 10)], np.uint64) + ragged.M2)[0])
+    return sorted({int(x) >> (64 - quality_model.BITS) for x in out})
+
+
+def test_scores_word_by_word(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality_model.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.limit(40).collect()] + [(-1, ""), (-2, "a a a a a a"), (-3, "É b1 C")]
+    got = {r.doc_id: r.score for r in quality_model.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        f = plain_features(t)
+        margin = sum(float(model.weight[x]) for x in f) / max(1e-12, sum(float(model.square[x]) for x in f)) ** 0.5 + model.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-min(30, max(-30, model.slope * margin + model.shift))))) < 1e-6
+
+
+def test_dual_descent_reaches_the_optimum(monkeypatch):
+    """The dual problem by projected gradient steps on the whole Gram matrix, against the descent by coordinates."""
+    monkeypatch.setattr(quality_model, "EPOCHS", 5000)
+    turn = np.random.default_rng(11)
+    x = turn.normal(size=(40, 6))
+    y = np.where(x[:, 0] + turn.normal(size=40) > 0, 1.0, -1.0)
+    w, bias = quality_model.dual_descent([np.arange(6)] * 40, list(x), y, 6)
+    z = np.hstack((x, np.ones((40, 1)))) * y[:, None]
+    gram, alpha = z @ z.T, np.zeros(40)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, quality_model.COST)
+    primal = lambda v: v @ v / 2 + quality_model.COST * np.maximum(0, 1 - z @ v).sum()
+    best, found = primal(alpha @ z), primal(np.append(w, bias))
+    assert abs(best - (alpha.sum() - alpha @ gram @ alpha / 2)) < 1e-6 * best and found < best * 1.001
+
+
 def test_dual_descent_separates():
     turn = np.random.default_rng(7)
     rows = [np.array([i % 2, 2 + turn.integers(0, 5)]) for i in range(60)]
@@ -421,6 +477,18 @@ def test_mixing(spark):
     assert mixing.replicate(frame(spark, EDGES), {"s0": 0.0}, 0.0).count() == 0
 
 
+def test_mixing_of_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    names = ["copy", "place", "steps", "rate", "lowest", "weight", "mix_u", "mix_at", "mix_times", "mix_source", "mix_lowest", "mix_steps", "mix_salt"]
+    docs = frame(spark, EDGES)
+    want = mixing.replicate(docs)
+    got = mixing.replicate(docs.withColumns({n: F.lit(f"mine {n}") for n in names}))
+    assert got.columns == [*docs.columns, *names, "copy_", "place_"]
+    assert got.select(*docs.columns, "copy_", "place_").exceptAll(want).count() == 0 and got.count() == want.count()
+    assert all(r[n] == f"mine {n}" for r in got.collect() for n in names)
+
+
 def test_poisson_steps(spark):
     import math
 
