@@ -8,10 +8,10 @@ that count. A second hash gives every copy its place in the global order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import fresh, table, written
 
 #: Copies of one document beyond which the distribution function is cut, as a function of the mean.
 TAIL = 12
@@ -67,29 +67,33 @@ def rates(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float =
     weight = F.lit(float(default))
     for name, w in weights.items():
         weight = F.when(F.col("source") == F.lit(name), F.lit(float(w))).otherwise(weight)
-    n = docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("weight", weight)
-    everything = Window.partitionBy(F.lit(0))
-    wanted = F.lit(float(total)) if total is not None else F.sum("n").over(everything).cast("double")
-    rate = F.when(F.sum("weight").over(everything) > 0, F.col("weight") / F.sum("weight").over(everything) * wanted / F.col("n")).otherwise(F.lit(0.0))
+    n = written(docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("weight", weight))
+    docs_in, weights_in = n.agg(F.sum("n"), F.sum("weight")).first()
+    wanted = F.lit(float(total if total is not None else docs_in or 0))
+    rate = F.col("weight") / F.lit(weights_in) * wanted / F.col("n") if weights_in else F.lit(0.0)
     return n.withColumn("rate", rate).select("source", "rate", lowest(F.col("rate")).alias("lowest"), steps(F.col("rate")).alias("steps"))
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default: float = DEFAULT_WEIGHT, total: int | None = None, seed: int = SEED, salts: int = 16) -> DataFrame:
-    """`docs` with each row as many times as its Poisson number says, shuffled, and the columns copy (from 1) and place.
+    """`docs` with each row as many times as its Poisson number says, shuffled, and the columns copy (from 1) and place, named by `fresh`.
 
     Rows with null id, source or text are drawn like others; equal rows draw the same number.
+    Copies are dealt to partitions by a hash of their place and sorted by it inside each: rows of one source or text land apart, and the order
+    by place, which no run of the job changes, can be had by a sort of the output where one file after another is read.
     The rates are written first, so the planner knows their size: few sources are broadcast and no text moves before the shuffle of
     the copies; many are joined on (source, salt), so that a source with a third of the rows is spread.
     """
     given = docs.columns
+    copy, place, u, at, times = (fresh(given, x) for x in ("copy", "place", "mix_u", "mix_at", "mix_times"))
+    source, low, sums, own_salt = (fresh(given, x) for x in ("mix_source", "mix_lowest", "mix_steps", "mix_salt"))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    per_source = written(rates(docs, weights, default, total)).select(F.col("source").alias("mix_source"), F.col("lowest").alias("mix_lowest"), F.col("steps").alias("mix_steps")).withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drawn = docs.withColumns({"mix_u": uniform("doc_id", F.md5(F.coalesce("text", F.lit(""))), F.lit(seed)), "mix_at": salt})
-    joined = drawn.join(per_source, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_at") == F.col("mix_salt")))
-    times = (F.col("mix_lowest") + F.size(F.filter("mix_steps", lambda c: c <= F.col("mix_u")))).cast("int")
-    copies = joined.withColumn("mix_times", times).filter("mix_times > 0").select(*[F.col(f"`{c}`") for c in given], F.explode(F.sequence(F.lit(1), F.col("mix_times"))).alias("copy"))
-    placed = copies.withColumn("place", uniform("doc_id", "copy", F.lit(seed), F.lit("place")))
-    return placed.repartition(F.col("place")).sortWithinPartitions("place", "doc_id", "copy")
+    per_source = written(rates(docs, weights, default, total)).select(F.col("source").alias(source), F.col("lowest").alias(low), F.col("steps").alias(sums)).withColumn(own_salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    drawn = docs.withColumns({u: uniform("doc_id", F.md5(F.coalesce("text", F.lit(""))), F.lit(seed)), at: salt})
+    joined = drawn.join(per_source, F.col("source").eqNullSafe(F.col(source)) & (F.col(at) == F.col(own_salt)))
+    count = (F.col(low) + F.size(F.filter(sums, lambda c: c <= F.col(u)))).cast("int")
+    copies = joined.withColumn(times, count).filter(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in given], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    placed = copies.withColumn(place, uniform("doc_id", copy, F.lit(seed), F.lit("place")))
+    return placed.repartition(F.col(place)).sortWithinPartitions(place, "doc_id", copy)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
