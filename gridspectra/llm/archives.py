@@ -30,6 +30,8 @@ from .shared import shared_dir, table, written
 ARCHIVE_BYTES = 8 << 20
 #: Payloads shorter than this are never revisits.
 REVISIT_BYTES = 100
+#: Tasks that a table of files is dealt to at most; beyond it a task takes several files, one after another.
+MOST_TASKS = 20_000
 DATE = "20240101000000"
 # Fixed values of the formats: field names of the ARC versions and the WARC revisit profile.
 ARC_FIELDS = {
@@ -221,6 +223,11 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
     return written(pages.select("page_id", "url", "html").mapInArrow(run, "path string"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """`files`, a written table of paths, one to a task (of up to MOST_TASKS): a table of paths is so small that it would be one task."""
+    return files.repartition(min(MOST_TASKS, max(1, files.count())))
+
+
 def _page(head: dict[str, str]) -> int | None:
     return int(head["x-page-id"]) if "x-page-id" in head else None
 
@@ -238,7 +245,7 @@ def scan_arcs(arcs: DataFrame) -> DataFrame:
                         rows.append((path, i, _page(fields), hashlib.sha256(payload).hexdigest(), len(payload)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], names=["path", "index", "page_id", "digest", "bytes"])
 
-    return arcs.mapInArrow(run, "path string, index long, page_id long, digest string, bytes long")
+    return spread(arcs).mapInArrow(run, "path string, index long, page_id long, digest string, bytes long")
 
 
 def write_warcs(arcs: DataFrame, folder: str) -> DataFrame:
@@ -246,7 +253,7 @@ def write_warcs(arcs: DataFrame, folder: str) -> DataFrame:
     seen = written(scan_arcs(arcs))
     long = seen.where(F.col("bytes") >= REVISIT_BYTES)
     at = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "path", "index")
-    first = long.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(long.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))  # apart from the join, whose skew can then be split
     repeats = long.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     per_file = repeats.groupBy("path").agg(F.collect_list(F.struct("index", F.col("first.path").alias("to"), F.col("first.index").alias("to_index"), F.col("first.page_id").alias("page"))).alias("repeats"))
 
@@ -259,7 +266,7 @@ def write_warcs(arcs: DataFrame, folder: str) -> DataFrame:
                 write_file(to, b"".join(map(_member, convert(name, parse_arc(members(read_file(row["path"]))), refers))))
                 yield pa.RecordBatch.from_pydict({"path": [to]})
 
-    return written(arcs.join(per_file, "path", "left").mapInArrow(run, "path string"))
+    return written(spread(written(arcs.join(per_file, "path", "left"))).mapInArrow(run, "path string"))
 
 
 def read_warcs(warcs: DataFrame) -> DataFrame:
@@ -287,7 +294,7 @@ def read_warcs(warcs: DataFrame) -> DataFrame:
                     rows.append((_page(fields), size, digest, kind, None if to in (None, "None") else int(to), head["WARC-Record-ID"], head["WARC-Target-URI"], head["WARC-Date"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=list(names))
 
-    return warcs.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, date string")
+    return spread(warcs).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, date string")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
