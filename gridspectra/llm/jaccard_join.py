@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ragged import buffers, mix, packed, shingle_sets, slices, unpacked
-from .shared import table, written
+from .shared import discard, table, written
 
 WIDTH, GROUPS, LEAF = 5, 64, 64
 #: Sizes that do not grow with the input: log2 of the counters of the sketch, of the bits of bitmaps, and their segments.
@@ -510,6 +510,7 @@ def _joined(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, bool]:
     crowded = parted(held, "h", F.lit(1), TILE, "u").join(counts, "u")
     bucket = F.pmod(F.xxhash64("h", "part"), F.lit(max(24, -(-held.count() * 4 // BUCKET))))
     ties = written(crowded.groupBy(bucket).applyInArrow(candidates, "a long, b long").distinct())
+    discard(held)
     clusters = components(ties).select(F.col("v").alias("u"), "label")
     wanted = members.select("u", "v", "doc_id", "n").join(clusters, "u")
     # the numbers of one class are in one cluster; one text stands for them
