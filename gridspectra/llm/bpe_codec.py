@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .archives import read_file, write_file
 from .bpe import Vocabulary, letters
-from .shared import shared_dir, table, written
+from .shared import released, shared_dir, table, written
 
 #: Most words of the lexicon, their most bytes, and words a worker remembers before it forgets all.
 LEXICON_WORDS, WORD_BYTES, REMEMBERED = 1 << 16, 64, 3 << 17
@@ -251,7 +251,7 @@ def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
                     seen.clear()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def make_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WORDS) -> str:
@@ -293,7 +293,7 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -307,7 +307,7 @@ def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, ids array<int>, decoded string")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

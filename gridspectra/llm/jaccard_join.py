@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .ragged import buffers, mix, packed, shingle_sets, slices, unpacked
-from .shared import discard, table, written
+from .shared import discard, release, released, table, written
 
 WIDTH, GROUPS, LEAF = 5, 64, 64
 #: Sizes that do not grow with the input: log2 of the counters of the sketch, of the bits of bitmaps, and their segments.
@@ -92,7 +92,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(x.as_py()), np.int32)
         return pa.table({"segment": t.column("segment").slice(0, 1), "total": pa.array([int(total.sum())], pa.int64()), "counts": [total.tobytes()]})
 
-    summed = written(docs.select("text").mapInArrow(run, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, total long, counts binary"))
+    summed = written(docs.select("text").mapInArrow(released(run), "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, total long, counts binary"))
     unit = max(1.0, (summed.agg(F.sum("total")).first()[0] or 0) / size / 64)
 
     def scale(batches):
@@ -151,7 +151,7 @@ def classed(docs: DataFrame, levels) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(v, pa.binary()), pa.array(n, pa.int64()), pa.array(u, pa.int64()), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "v", "n", "u", "prefix", "counts"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, v binary, n long, u long, prefix binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, v binary, n long, u long, prefix binary, counts binary")
 
 
 # ---- bitmaps
@@ -272,7 +272,7 @@ def posts(members: DataFrame, buckets: int) -> DataFrame:
         e = e[(_fit(e) & (e["kind"] == 0)) | (e["kind"] == 2)]
         return pa.table({"h": pa.array(np.ascontiguousarray(e["h"]).view(np.int64)), **{x: pa.array(e[x].astype(np.int64)) for x in ("u", "n", "at")}})
 
-    return members.where("u is not null").select("u", "n", "prefix").mapInArrow(run, "bucket long, entries binary").groupBy("bucket").applyInArrow(met, "h long, u long, n long, at long")
+    return members.where("u is not null").select("u", "n", "prefix").mapInArrow(released(run), "bucket long, entries binary").groupBy("bucket").applyInArrow(met, "h long, u long, n long, at long")
 
 
 class Tree:
@@ -376,6 +376,8 @@ def candidates(t: pa.Table) -> pa.Table:
         np.minimum.at(first, local, np.arange(b - a))
         unite(labels, number[own], number[a + first[local]])
     tied = np.flatnonzero(labels != np.arange(len(vertex)))
+    del points
+    release()
     return pa.table({"a": vertex[tied], "b": vertex[labels[tied]]})
 
 
@@ -428,7 +430,7 @@ def whole_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     texts.append(pa.compress(raw, "zstd", asbytes=True))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(size, pa.int64()), pa.array(texts, pa.binary())], names=["v", "n_bytes", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "v binary, n_bytes long, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "v binary, n_bytes long, packed binary")
 
 
 def _sets_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -536,7 +538,7 @@ def with_class(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(s) for s in _sets(batch)], pa.binary())], names=[*batch.schema.names, "v"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("v", T.BinaryType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("v", T.BinaryType())]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ragged import LOWER, M1, M2, M3, buffers, mix, slices, word_hashes, words
-from .shared import fresh, table, written
+from .shared import fresh, released, table, written
 
 FIT_DOCS, FIT_FOUND, BITS, SMOOTHING, COST, EPOCHS, SEED = 8192, 1 << 25, 19, 1.0, 1.0, 12, 5
 THRESHOLD, HELD_OUT = 0.3, 5
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> Model:
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     # of the texts of a repeated id the one of smallest digest; then no more than the driver can hold, however long texts are
     one = joined.withColumn("digest", F.sha2("text", 256)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "digest", "text")
-    found = written(one.mapInArrow(run, "doc_id long, quality int, digest string, found array<int>"))
+    found = written(one.mapInArrow(released(run), "doc_id long, quality int, digest string, found array<int>"))
     first = found.groupBy("doc_id").agg(F.min(F.coalesce("digest", F.lit(""))).alias("least"), F.min_by(F.size("found"), F.coalesce("digest", F.lit(""))).alias("size"))
     total = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     kept = first.withColumn("total", total).where(F.col("total") <= FIT_FOUND).select("doc_id", "least")
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .jaccard_join import BUCKET, MAP_BITS, bitmap, has
 from .ragged import M1, M2, M3, buffers, gathered, mix, packed, slices, unpacked
-from .shared import fresh, table, written
+from .shared import fresh, release, released, table, written
 
 WINDOW, GRAM, SHARD, STEP = 100, 32, 1 << 21, 128
 #: Bytes scanned for anchors at once; bytes of contexts that a task sorts at once; log2 of the bits of a bitmap at most.
@@ -240,7 +240,7 @@ def twice(rows: DataFrame, buckets: int, size: int) -> np.ndarray:
         h.sort()
         return pa.table({"bit": np.unique(_bits_of(h[1:][h[1:] == h[:-1]], size))})
 
-    return bitmap(rows.select("text").mapInArrow(run, "bucket long, h binary").groupBy("bucket").applyInArrow(found, "bit long"), size)
+    return bitmap(rows.select("text").mapInArrow(released(run), "bucket long, h binary").groupBy("bucket").applyInArrow(found, "bit long"), size)
 
 
 def sorted_starts(flat: np.ndarray, offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,7 +329,7 @@ def sent_contexts(rows: DataFrame, bits, size: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, "bucket long, packed binary")
+    return rows.mapInArrow(released(run), "bucket long, packed binary")
 
 
 def settle(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -380,6 +380,7 @@ def removed_windows(docs: DataFrame) -> DataFrame:
             out = settle(blobs)
         else:
             out = joined_runs(*(np.concatenate(x) for x in zip(*(unpacked(x) for x in blobs))))
+        release()
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("id", "rk", "s", "k"), out)})
 
     return sent_contexts(rows, bits, size, buckets).groupBy("bucket").applyInArrow(run, "id long, rk long, s long, k long")
@@ -419,7 +420,7 @@ def cut(docs: DataFrame, runs: DataFrame, with_text: bool = True) -> DataFrame:
 
     own_types = [pa.field(n, pa.int64() if x < 3 else pa.string()) for x, n in enumerate(more)]
     kinds = [T.LongType()] * 3 + [T.StringType()] * 2
-    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(more, kinds))]))
+    return joined.mapInArrow(released(run), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(more, kinds))]))
 
 
 def deduplicate(docs: DataFrame, with_text: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Vocabulary, byte_letters
 from .ragged import buffers, slices, word_hashes
-from .shared import table
+from .shared import released, table
 
 LIMIT = 1024
 #: Characters in a chunk; kept words and kept states, beyond which a worker forgets and starts again.
@@ -276,7 +276,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
