@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Vocabulary, byte_letters
-from .ragged import buffers, slices, word_hashes
+from .ragged import buffers, gathered, slices, word_hashes
 from .shared import released, table
 
 LIMIT = 1024
-#: Characters in a chunk; kept words and kept states, beyond which a worker forgets and starts again.
-CHUNK, MOST_WORDS, MOST_STATES = 256, 1 << 20, 1 << 17
+#: Characters in a chunk; kept words, their bytes and kept states, beyond which a worker forgets and starts again.
+CHUNK, MOST_WORDS, MOST_BYTES, MOST_STATES = 256, 1 << 20, 1 << 25, 1 << 17
 
 # Classes of characters.
 LETTER, STMD, R, E, V, L, NUMBER, OTHER, QUOTE, BLANK, SPACE, END = range(12)
@@ -180,40 +180,71 @@ class Counter:
         return out
 
     def count(self, word: bytes) -> int:
-        if len(self.states) > MOST_STATES:
-            self.reset()
         s = total = 0
         for byte in word:
-            s, emitted = self.next.get(s << 8 | byte) or self.compile(s, byte)
+            if (step := self.next.get(s << 8 | byte)) is None:
+                if len(self.states) > MOST_STATES:  # forget all but the state the word is in
+                    here = self.states[s]
+                    self.reset()
+                    if (s := self.number.get(here, -1)) < 0:
+                        s = self.number[here] = len(self.states)
+                        self.states.append(here)
+                step = self.compile(s, byte)
+            s, emitted = step
             total += emitted
         return total
 
 
 class Tokens:
-    """Counts for texts; keeps the counts of words it has met, by 64-bit hash."""
+    """Counts for texts; keeps the counts of words it has met, found by 64-bit hash and compared byte by byte."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.counter, self.specials = Counter(vocabulary), list(vocabulary.specials)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.forget()
+
+    def forget(self) -> None:
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.lengths, self.bytes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint8), 0
+
+    def keep(self, hashes: np.ndarray, words: list[bytes], counts: np.ndarray) -> None:
+        size = sum(map(len, words))
+        if self.used + size > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes, np.zeros(max(size, len(self.bytes)), np.uint8)))
+        self.bytes[self.used : self.used + size] = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.array([len(w) for w in words], np.int64)
+        both = np.concatenate((self.hashes, hashes))
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.counts = both[order], np.concatenate((self.counts, counts))[order]
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(lengths) - lengths))[order]
+        self.lengths = np.concatenate((self.lengths, lengths))[order]
+        self.used += size
 
     def of_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, np.int64)
         h = word_hashes(data, starts, lengths)
         at = np.searchsorted(self.hashes, h)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == h[known]
+        word = lambda i: data[starts[i] : starts[i] + lengths[i]].tobytes()
         if not known.all():
-            new, first = np.unique(h[~known], return_index=True)
-            where = np.flatnonzero(~known)[first]
-            counts = np.array([self.counter.count(data[starts[i] : starts[i] + lengths[i]].tobytes()) for i in where], np.int64)
-            if len(self.hashes) > MOST_WORDS:
-                self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if len(self.hashes) > MOST_WORDS or self.used > MOST_BYTES:
+                self.forget()
                 return self.of_words(data, starts, lengths)
-            both = np.concatenate((self.hashes, new))
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.counts = both[order], np.concatenate((self.counts, counts))[order]
+            new, first = np.unique(h[~known], return_index=True)
+            words = [word(i) for i in np.flatnonzero(~known)[first]]
+            self.keep(new, words, np.array([self.counter.count(w) for w in words], np.int64))
             at = np.searchsorted(self.hashes, h)
-        return self.counts[at]
+        out = self.counts[at]
+        same = self.lengths[at] == lengths
+        own = np.flatnonzero(same)
+        differs = gathered(data, starts[own], lengths[own]) != gathered(self.bytes, self.starts[at[own]], lengths[own])
+        if differs.any():
+            same[own] = ~np.logical_or.reduceat(differs, np.cumsum(lengths[own]) - lengths[own])
+        for i in np.flatnonzero(~same):  # another word of the same hash
+            out[i] = self.counter.count(word(i))
+        return out
 
     def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text of a batch."""

@@ -56,6 +56,18 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(frame(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("states", [3, 1 << 17])
+def test_counts_with_colliding_words_and_few_states(monkeypatch, states):
+    monkeypatch.setattr(token_counts, "word_hashes", lambda data, starts, lengths: (lengths % 2).astype(np.uint64))
+    monkeypatch.setattr(token_counts, "MOST_STATES", states)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = token_counts.Tokens(Vocabulary.parse(f.read()))
+    rows = texts(3, 60) + ["x" * 3000 + "ab" * 500, ""]
+    flat, offsets = ragged.buffers(pa.array(rows, pa.string()))
+    for _ in range(2):
+        assert tokens.of_texts(flat, offsets).tolist() == [len(library("byte_bpe_50k.json").encode(t, add_special_tokens=False).ids) for t in rows]
+
+
 def test_splitter_scan_equals_one_walk():
     turn = np.random.default_rng(2)
     to, mark = token_counts.splitter()
