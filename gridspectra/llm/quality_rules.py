@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, written
 
 #: A word; the complement of ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,9 +127,17 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
     return each.groupBy("rule").agg(some(has).alias("n_fail"), some(has & ~other).alias("n_only"), some(~other).alias("n_kept_without")).withColumn("version", F.lit(policy.version))
 
 
+def only_rule(policy: Policy) -> Column:
+    """Of a document's failures under the policy the bit, where there is one alone, else 0: without that rule the policy keeps it."""
+    bits = F.col("failed").bitwiseAND(F.lit(policy.mask))
+    return F.when(F.bit_count(bits) == 1, bits).otherwise(F.lit(0).cast("long"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(apply_policy(ledger(table(spark, sf_dir, "documents")), BASE, "base_ok"), POLICIES["v2"])
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), "kept", "n_lines", "failed")
+    """The ledger is stored; the policies' verdicts and the ablation of each document are bit operations on what was stored."""
+    book = written(ledger(table(spark, sf_dir, "documents")))
+    book = apply_policy(apply_policy(book, BASE, "base_ok"), POLICIES["v2"]).withColumn("only_rule", only_rule(POLICIES["v2"]))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), "kept", "n_lines", "failed", "only_rule")
 
 
 _FAILED = " + ".join(f"case when {fails} then {BIT[name]} else 0 end" for name, fails in RULES.items())
@@ -144,5 +152,6 @@ m as (
     len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_lines, coalesce(l.n - l.d, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words
   from split s left join covered c using (doc_id) left join lines l using (doc_id)),
 f as (select *, ({_FAILED})::bigint as failed from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {BASE.mask} <> 0 as base_failed, failed & {POLICIES["v2"].mask} = 0 as kept, n_lines, failed from f
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {BASE.mask} <> 0 as base_failed, failed & {POLICIES["v2"].mask} = 0 as kept, n_lines, failed,
+  (case when bit_count(failed & {POLICIES["v2"].mask}) = 1 then failed & {POLICIES["v2"].mask} else 0 end)::bigint as only_rule from f
 """
