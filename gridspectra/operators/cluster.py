@@ -51,11 +51,24 @@ def multi_region(eigens: DataFrame, n: int = 4, adaptive: bool = False, vectors:
     return masks.background_first(cells, side, side) if infer_background else cells
 
 
+def baseline_regions(features: DataFrame, n: int = 4, side: int = 10, infer_background: bool = True) -> DataFrame:
+    """Label map of k-means over the patch features themselves, in place of eigenvectors."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("patch")
+        label = lloyd(np.stack(pdf["k"].to_list()), n)
+        i = np.arange(len(label))
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "r": (i // side).astype(np.int32), "c": (i % side).astype(np.int32), "label": label.astype(np.int32)})
+
+    cells = features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, "image_id int, r int, c int, label int")
+    return masks.background_first(cells, side, side) if infer_background else cells
+
+
 def box_features(boxes: DataFrame, patches: DataFrame) -> DataFrame:
     """Mean patch feature inside each box (in patch units): stands in for running a model on crops."""
     inside = (F.col("c") >= F.col("xmin")) & (F.col("c") < F.col("xmax")) & (F.col("r") >= F.col("ymin")) & (F.col("r") < F.col("ymax"))
-    met = boxes.join(patches.select("image_id", "r", "c", F.posexplode("k").alias("d", "x")), "image_id").where(inside)
-    means = met.groupBy("image_id", "label", "d").agg(F.avg("x").alias("x"))
+    met = boxes.join(patches.select("image_id", "r", "c", "k"), "image_id").where(inside)  # vectors are taken apart after the join
+    means = met.select("image_id", "label", F.posexplode("k").alias("d", "x")).groupBy("image_id", "label", "d").agg(F.avg("x").alias("x"))
     return means.groupBy("image_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("features"))
 
 
@@ -67,15 +80,16 @@ def pca(features: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="v", outputCol="p").fit(v).transform(v).withColumn("features", vector_to_array("p")).drop("v", "p")
 
 
-def box_clusters(features: DataFrame, n: int = 20, seed: int = 0, pca_dim: int = 0) -> DataFrame:
-    """Cluster of each box by k-means over normalized features."""
+def box_clusters(features: DataFrame, n: int = 20, seed: int = 0, pca_dim: int = 0, parts: int | None = None) -> DataFrame:
+    """Cluster of each box by k-means over normalized features, dealt to `parts` partitions (by default as many as shuffles have)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     own = features.withColumn("features", normalize("features"))
     own = pca(own, pca_dim) if pca_dim else own
-    v = own.withColumn("v", array_to_vector("features")).repartition(8, "image_id").sortWithinPartitions("image_id", "label").cache()
+    v = own.withColumn("v", array_to_vector("features")).repartition(parts or int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id").sortWithinPartitions("image_id", "label").cache()
     model = KMeans(k=n, seed=seed, featuresCol="v", predictionCol="cluster", maxIter=50).fit(v)
+    v.unpersist()
     return model.transform(v).select("image_id", "label", "cluster")
 
 

@@ -55,12 +55,15 @@ def knn_affinity(patches: DataFrame, passes: tuple[tuple[int, float], ...] = ((2
 
 
 def window_affinity(patches: DataFrame, sigma: float = 0.033, radius: int = 1) -> DataFrame:
-    """exp(-|color difference|^2 / sigma^2) between cells at most `radius` apart, themselves included."""
+    """exp(-|color difference|^2 / sigma^2) between cells at most `radius` apart, themselves included.
+
+    A cell names its neighbours' places, so the join is by place: (2 * radius + 1)^2 rows a cell, not all pairs of an image.
+    """
+    steps = F.sequence(F.lit(-radius), F.lit(radius))
     a = patches.select("image_id", F.col("patch").alias("i"), "r", "c", F.array("e1", "e2", "e3").alias("x"))
-    b = a.select(F.col("image_id").alias("other"), F.col("i").alias("j"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("x").alias("y"))
-    near = (F.abs(F.col("r") - F.col("r2")) <= radius) & (F.abs(F.col("c") - F.col("c2")) <= radius)
+    near = a.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps)).select("image_id", "i", "x", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
     d = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, (F.col("image_id") == F.col("other")) & near).select("image_id", "i", "j", F.exp(-d / (sigma * sigma)).alias("w"))
+    return near.join(a.select("image_id", F.col("i").alias("j"), "r", "c", F.col("x").alias("y")), ["image_id", "r", "c"]).select("image_id", "i", "j", F.exp(-d / (sigma * sigma)).alias("w"))
 
 
 def patch_scoring(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import infer_patch
+
 BACKGROUND = 0
 
 
@@ -54,7 +56,9 @@ def segment_boxes(cells: DataFrame, scale: int = 1, skip_background: bool = True
 def _step(cells: DataFrame, erode: bool) -> DataFrame:
     rows, cols = (Window.partitionBy("image_id", "label", a).orderBy(b) for a, b in (("r", "c"), ("c", "r")))
     outside = F.lit(1 if erode else 0)
-    near = [F.coalesce(f("x").over(w), outside) for w in (rows, cols) for f in (F.lag, F.lead)]
+    # a cell that is missing is outside: the next cell of the table counts only where it lies beside
+    beside = lambda f, w, at, by: F.when(f(at).over(w) == F.col(at) + by, f("x").over(w))
+    near = [F.coalesce(beside(f, w, at, by), outside) for w, at in ((rows, "c"), (cols, "r")) for f, by in ((F.lag, -1), (F.lead, 1))]
     new = (F.least if erode else F.greatest)("x", *near)
     stepped = cells.withColumn("y", new)
     any_left = F.max("y").over(Window.partitionBy("image_id", "label")) > 0
@@ -88,6 +92,28 @@ def boxes(cells: DataFrame, n_erode: int = 2, n_dilate: int = 3, scale: int = 1,
     return segment_boxes(moved, scale, False)
 
 
+def to_image(boxes: DataFrame, images: DataFrame, cells: str | None = None, scale: int = 16) -> DataFrame:
+    """Boxes (image_id, x1, y1, x2, y2) in patches as pixels, far sides clipped to the image (image_id, h, w).
+
+    With `cells`, the column that counts a mask's cells, the patch size is inferred from it, else it is `scale`.
+    """
+    p = infer_patch(F.col(cells), F.col("h"), F.col("w")) if cells else F.lit(scale)
+    met = boxes.join(images.select("image_id", "h", "w"), "image_id").withColumn("p", p)
+    near = [(F.col(c) * F.col("p")).cast("int").alias(c) for c in ("x1", "y1")]
+    far = [F.least(F.col(c) * F.col("p"), F.col(side)).cast("int").alias(c) for c, side in (("x2", "w"), ("y2", "h"))]
+    return met.select("image_id", *near, *far)
+
+
+def with_class(cells: DataFrame, label: int) -> DataFrame:
+    """All cells of the images whose map holds the label."""
+    return cells.join(cells.where(F.col("label") == label).select("image_id").distinct(), "image_id", "left_semi")
+
+
+def first_channel_mask(red: Column) -> Column:
+    """A mask file's cells from the first channel's bytes: above one half of 255."""
+    return red / F.lit(255.0) > 0.5
+
+
 def label_components(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     """Components of the equal, non-negative cells of a label array: the smallest linear index of each, -1 elsewhere.
 

@@ -26,6 +26,16 @@ def pin_sign(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def turned(eigens: DataFrame, vector: str = "eigenvector") -> DataFrame:
+    """The rule of `pin_sign` over a table of vectors, one to a row."""
+    v = F.col(vector)
+    share = F.size(F.filter(v, lambda x: x > 0)) / F.size(v)
+    far = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    largest = F.element_at(F.filter(v, lambda x: F.abs(x) == far), 1)
+    turn = ((share > 0.5) & (share < 1.0)) | (share.isin(0.0, 0.5, 1.0) & (largest < 0))
+    return eigens.withColumn(vector, F.when(turn, F.transform(v, lambda x: -x)).otherwise(v))
+
+
 def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool = True, extra: np.ndarray | None = None, color: float = 0.0):
     """Smallest k of (D - W) v = l D v (or of D - W): W the clipped, scaled Gram matrix and `color` times another affinity."""
     if normalize:
@@ -115,8 +125,11 @@ def _component_box(pdf_to_mask: Callable, scale: int, diagonal: bool) -> Callabl
 BOX = "image_id int, x1 int, y1 int, x2 int, y2 int"
 
 
-def mask_box(cells: DataFrame, scale: int = 16) -> DataFrame:
-    """Box of the largest 8-connected part of each mask (image_id, r, c, label); an empty mask is full, one of more than half is turned."""
+def mask_box(cells: DataFrame, scale: int = 16, images: DataFrame | None = None) -> DataFrame:
+    """Box of the largest 8-connected part of each mask (image_id, r, c, label); an empty mask is full, one of more than half is turned.
+
+    With `images` (image_id, h, w), the patch size is inferred from the number of cells and boxes are clipped to the image.
+    """
 
     def mask(pdf):
         m = np.zeros((pdf["r"].max() + 1, pdf["c"].max() + 1), bool)
@@ -127,33 +140,61 @@ def mask_box(cells: DataFrame, scale: int = 16) -> DataFrame:
             m = ~m
         return m, None
 
-    return cells.groupBy("image_id").applyInPandas(_component_box(mask, scale, True), BOX)
+    found = cells.groupBy("image_id").applyInPandas(_component_box(mask, scale if images is None else 1, True), BOX)
+    if images is None:
+        return found
+    return masks.to_image(found.join(cells.groupBy("image_id").agg(F.count("*").alias("cells")), "image_id"), images, "cells")
 
 
-def lost_box(features: DataFrame, k: int = 100, scale: int = 16, side: int = 10) -> DataFrame:
-    """Box of the 4-connected part around the seed of the patches whose summed affinity with its similar ones is positive."""
-    edges = graph.gram(features)
-    sums = graph.similarity_sum(edges, k)
-    seeds = graph.seed_and_similar(edges, k).select("image_id", "seed").distinct()
-    cells = sums.join(seeds.withColumnRenamed("image_id", "seed_image"), F.col("image_id") == F.col("seed_image")).drop("seed_image")
+def lost_box(features: DataFrame, k: int = 100, scale: int = 16, side: int = 10, images: DataFrame | None = None) -> DataFrame:
+    """Box of the 4-connected part around the seed of the patches whose summed affinity with its similar ones is positive.
+
+    An image's products stay in its kernel. With `images` (image_id, h, w), boxes are clipped to them.
+    """
 
     def mask(pdf):
-        m = np.zeros((side, side), bool)
-        m[pdf["j"] // side, pdf["j"] % side] = pdf["m"] > 0
-        seed = (int(pdf["seed"].iloc[0]) // side, int(pdf["seed"].iloc[0]) % side)
-        if not m[seed]:
+        pdf.sort_values("patch", inplace=True)
+        f = np.stack(pdf["k"].to_list()).astype(np.float64)
+        a = f @ f.T
+        alike = (a > 0).sum(axis=1) - (np.diag(a) > 0)
+        potentials = np.argsort(alike, kind="stable")[:k]
+        seed = int(potentials[0])
+        similar = potentials[a[seed, potentials] > 0]
+        m = (a[similar].sum(axis=0) > 0).reshape(-1, side)
+        at = (seed // side, seed % side)
+        if not m[at]:
             raise ValueError("the seed is in the background")
-        return m, seed
+        return m, at
+
+    run = _component_box(mask, 1 if images is not None else scale, False)
+    found = features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, BOX)
+    return found if images is None else masks.to_image(found, images, scale=scale)
 
-    return cells.groupBy("image_id").applyInPandas(_component_box(mask, scale, False), BOX)
 
+def attention_box(attention: DataFrame, keep: float = 0.6, scale: int = 16, compat: bool = False) -> DataFrame:
+    """Box of the largest 4-connected part of the patches that hold most attention.
 
-def attention_box(attention: DataFrame, keep: float = 0.6, scale: int = 16) -> DataFrame:
-    """Box of the largest 4-connected part of the patches that hold most attention."""
+    `compat` leaves the last part (in raster order) out of the choice, and takes the cells outside all parts where there is but one.
+    """
 
     def mask(pdf):
         m = np.zeros((pdf["r"].max() + 1, pdf["c"].max() + 1), bool)
         m[pdf["r"], pdf["c"]] = pdf["on"]
+        if compat:
+            comp = masks.label_components(np.where(m, 1, -1), False)
+            ids, n = np.unique(comp[comp >= 0], return_counts=True)
+            m = comp == ids[n[:-1].argmax()] if len(ids) > 1 else ~m
         return m, None
 
-    return graph.attention_mask(attention, keep).groupBy("image_id").applyInPandas(_component_box(mask, scale, False), BOX)
+    # what lies outside all parts is one box, connected or not
+    box = _cells_box(mask, scale) if compat else _component_box(mask, scale, False)
+    return graph.attention_mask(attention, keep).groupBy("image_id").applyInPandas(box, BOX)
+
+
+def _cells_box(pdf_to_mask: Callable, scale: int) -> Callable:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = np.nonzero(pdf_to_mask(pdf)[0])
+        box = (c.min() * scale, r.min() * scale, (c.max() + 1) * scale, (r.max() + 1) * scale) if len(r) else (None,) * 4
+        return pd.DataFrame([[pdf["image_id"].iloc[0], *box]], columns=["image_id", "x1", "y1", "x2", "y2"])
+
+    return run

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gridspectra.functions import boxes as B
 from gridspectra.functions import names as N
 from gridspectra.functions import vectors as V
-from gridspectra.operators import cluster, graph, grid, masks, metrics, spectral
+from gridspectra.operators import cluster, graph, grid, masks, metrics, records, spectral
+from gridspectra.plans import entries
 from gridspectra.sources import annotations as A
 from gridspectra.sources import files
 from gridspectra.sources import fixtures as X
@@ -286,12 +287,9 @@ def _(s, d):
     return r6(grid.bilinear_resize(X.feat(s, d).select("image_id", "r", "c", "e1"), "e1", (SIDE, SIDE), (16, 16)), "e1")
 
 
-@query("center_crop", " select image_id, r, c - 1 as c, label from seg where r < 7 and c between 1 and 7")
+@query("center_crop", ", g as (select distinct image_id, r, c from (select image_id from seg), (select i::int as r from range(17) t(i)), (select j::int as c from range(10) u(j))) select image_id, r - 4 as r, c, coalesce(label, 0) as label from g left join seg using (image_id, r, c) where r between 4 and 13")
 def _(s, d):
-    return grid.center_crop(X.seg(s, d).where("r < 7"), (7, SIDE)).withColumn("c", F.col("c") + 1).select("image_id", "r", (F.col("c") - 1).alias("c"), "label")
-
-
-ORACLES["center_crop"] = f"with {X.SQL} select image_id, r, c - 2 as c, label from seg where r < 7 and c between 2 and 8"
+    return grid.center_crop(grid.pad(X.seg(s, d), "label", 17, SIDE), (17, SIDE))
 
 
 @query("patch_grid", " select image_id, patch, r, c from feat")
@@ -473,17 +471,28 @@ def _(s, d):
 # ---- spectral kernels; the twins state what must hold of every image
 
 
-@query("laplacian_eigs", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual, true as in_range, k = 0 as is_zero from i, range(5) t(k)")
+_AFF = """, un as (select image_id, patch, list_transform(k, lambda x: x / sqrt(list_inner_product(k, k))) as k from feat),
+w0 as (select a.image_id, a.patch as i, b.patch as j, greatest(list_inner_product(a.k, b.k), 0) as w from un a join un b using (image_id)),
+aff as (select image_id, i, j, w / max(w) over (partition by image_id) as w from w0)"""
+# All eigenpairs of an image fix, patch by patch, the diagonals of what they are made of:
+# sum v^2 = 1 / d and sum l v^2 = (d - w_ii) / d^2 for (D - W) v = l D v.
+_DIAGONALS = "select image_id, i::int as patch, round(1 / d, 5) + 0.0 as weight, round((d - w_ii) / (d * d), 5) + 0.0 as weighted from (select image_id, i, sum(w) as d, sum(case when i = j then w end) as w_ii from {src} group by all)"
+
+
+def _diagonals(e: DataFrame, power: int = 1) -> DataFrame:
+    v = e.select("image_id", "eigenvalue", F.posexplode("eigenvector").alias("patch", "v"))
+    total = lambda p: (F.round(F.sum(F.pow("eigenvalue", F.lit(p)) * F.col("v") * F.col("v")), 5) + 0.0)
+    return v.groupBy("image_id", "patch").agg(total(power - 1).alias("weight"), total(power).alias("weighted"))
+
+
+@query("laplacian_eigs", _AFF + " " + _DIAGONALS.format(src="aff"))
 def _(s, d):
-    e = spectral.eigen(X.feat(s, d), "laplacian", 5)
-    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"), F.col("eigenvalue").between(-1e-9, 2 + 1e-9).alias("in_range"), (F.abs("eigenvalue") < 1e-9).alias("is_zero"))
+    return _diagonals(spectral.eigen(X.feat(s, d), "laplacian", SIDE * SIDE))
 
 
-@query("affinity_eigs", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual, true as falling from i, range(5) t(k)")
+@query("affinity_eigs", _AFF + " select image_id, i::int as patch, round(sum(case when i = j then w end), 5) + 0.0 as weight, round(sum(w * w), 5) + 0.0 as weighted from w0 group by all")
 def _(s, d):
-    e = spectral.eigen(X.feat(s, d), "affinity", 5)
-    before = F.lag(F.abs("eigenvalue")).over(Window.partitionBy("image_id").orderBy("k"))
-    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"), F.coalesce(before >= F.abs("eigenvalue"), F.lit(True)).alias("falling"))
+    return _diagonals(spectral.eigen(X.feat(s, d), "affinity", SIDE * SIDE), 2)
 
 
 @query("affinity_svd", _GRAM + " select image_id, round(sum(w * w), 2) as fourth from gram group by 1")
@@ -492,18 +501,23 @@ def _(s, d):
     return e.groupBy("image_id").agg(F.round(F.sum(F.pow("eigenvalue", 4)), 2).alias("fourth"))
 
 
-@query("color_laplacian", ", i as (select distinct image_id from feat) select image_id, k::int as k, 0.0::double as residual from i, range(3) t(k)")
+_COLOR = _AFF + _knn(20, 2.0, "k1") + _knn(10, 0.1, "k2") + """, e as (select * from k1 union all select * from k2), near as (select image_id, i, j, count(*) as n from (select image_id, i, j from e union all select image_id, j, i from e) group by all),
+both_ as (select a.image_id, a.i, a.j, a.w + 10 * coalesce(n, 0) as w from aff a left join near using (image_id, i, j))"""
+
+
+@query("color_laplacian", _COLOR + " " + _DIAGONALS.format(src="both_"))
 def _(s, d):
     f = X.feat(s, d)
-    e = spectral.with_color(f, graph.knn_affinity(f), 10.0, 3)
-    return e.select("image_id", "k", (F.round("residual", 6) + 0.0).alias("residual"))
+    return _diagonals(spectral.with_color(f, graph.knn_affinity(f), 10.0, SIDE * SIDE))
 
 
-@query("sign_rule", ", i as (select distinct image_id from feat) select image_id, k::int as k, true as ok from i, range(5) t(k)")
+@query("sign_rule", """, v as (select image_id, k, list(x order by patch) as v from (select image_id, patch, unnest([1, 2, 3]) as k, unnest([e1, e2, abs(e3)]) as x from feat) group by all),
+t as (select *, len(list_filter(v, lambda x: x > 0)) / len(v) as share, list_max(list_transform(v, lambda x: abs(x))) as far from v)
+select image_id, k, i - 1 as patch, round(case when share > 0.5 and share < 1 or share in (0, 0.5, 1) and list_filter(v, lambda x: abs(x) = far)[1] < 0 then -v[i] else v[i] end, 6) + 0.0 as v from t, (select unnest(range(1, 101))::int as i)""")
 def _(s, d):
-    e = spectral.eigen(X.feat(s, d), "laplacian", 5)
-    share = F.size(F.filter("eigenvector", lambda x: x > 0)) / F.size("eigenvector")
-    return e.select("image_id", "k", ((share <= 0.5) | (share == 1.0)).alias("ok"))
+    each = X.feat(s, d).select("image_id", "patch", F.posexplode(F.array("e1", "e2", F.abs("e3"))).alias("k", "x")).withColumn("k", F.col("k") + 1)
+    held = each.groupBy("image_id", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("patch", "x"))), lambda p: p["x"]).alias("v"))
+    return r6(spectral.turned(held, "v").select("image_id", "k", F.posexplode("v").alias("patch", "v")), "v")
 
 
 @query("single_region_seg")
@@ -511,9 +525,12 @@ def _(s, d):
     return spectral.single_region(spectral.eigen(X.feat(s, d), "laplacian", 5))
 
 
-@query("eigengap_clusters")
+@query("eigengap_clusters", """, e as (select image_id, patch as k, sum(abs(e1)) over (partition by image_id order by patch) as l from feat where patch < 12),
+g as (select image_id, k, lead(l) over (partition by image_id order by k) - l as gap from e)
+select image_id, k + 1 as n_clusters from (select *, row_number() over (partition by image_id order by gap desc, k) as n from g where k > 0 and gap is not null) where n = 1""")
 def _(s, d):
-    return graph.eigengap_clusters(spectral.eigen(X.feat(s, d), "laplacian", 6))
+    rising = F.sum(F.abs("e1")).over(Window.partitionBy("image_id").orderBy("patch"))
+    return graph.eigengap_clusters(X.feat(s, d).where("patch < 12").select("image_id", F.col("patch").alias("k"), rising.alias("eigenvalue")))
 
 
 @query("eigen_bbox")
@@ -521,16 +538,53 @@ def _(s, d):
     return spectral.mask_box(spectral.single_region(spectral.eigen(X.feat(s, d), "laplacian", 2)))
 
 
-@query("lost_bbox")
+_LOST = _SEED + """, mm as (select g.image_id, g.j, sum(g.w) as m from gram g join sim using (image_id, i) group by all), pos as (select image_id, j as i from mm where m > 0),
+nb as (select a.image_id, a.i, b.i as j from pos a join pos b on a.image_id = b.image_id and abs(a.i // 10 - b.i // 10) + abs(a.i % 10 - b.i % 10) = 1),
+part as (select image_id, seed as i from sd union select p.image_id, nb.j from part p join nb on nb.image_id = p.image_id and nb.i = p.i),
+lost as (select image_id, (16 * min(i % 10))::int as x1, (16 * min(i // 10))::int as y1, (16 * (max(i % 10) + 1))::int as x2, (16 * (max(i // 10) + 1))::int as y2 from part group by 1)"""
+_SIZES = ", sizes as (select distinct image_id, 150 + image_id % 11 as h, 150 + image_id % 7 as w from feat)"
+_CLIPPED = _SIZES + ", clipped as (select image_id, x1, y1, least(x2, w)::int as x2, least(y2, h)::int as y2 from lost join sizes using (image_id))"
+
+
+def _sizes(s, d):
+    return X.feat(s, d).select("image_id").distinct().select("image_id", (150 + F.col("image_id") % 11).alias("h"), (150 + F.col("image_id") % 7).alias("w"))
+
+
+@query("lost_bbox", "!" + _LOST + " select * from lost")
 def _(s, d):
     return spectral.lost_box(X.feat(s, d), 50)
 
 
-@query("dinoseg_bbox")
+@query("lost_bbox_clipped", "!" + _LOST + _CLIPPED + " select * from clipped")
+def _(s, d):
+    return spectral.lost_box(X.feat(s, d), 50, images=_sizes(s, d))
+
+
+@query("box_to_image", """, im as (select image_id, 80 + image_id % 8 + 80 * (image_id % 2) as h, 80 + image_id % 5 + 80 * (image_id % 2) as w, 8 * (1 + image_id % 2) as p from (select distinct image_id from feat))
+select b.image_id, min(c) * p as x1, min(r) * p as y1, least((max(c) + 3) * p, w)::int as x2, least((max(r) + 3) * p, h)::int as y2 from blk b join im using (image_id) where label = 4 group by b.image_id, p, w, h""")
+def _(s, d):
+    images = X.feat(s, d).select("image_id").distinct().select("image_id", *[(80 + F.col("image_id") % n + 80 * (F.col("image_id") % 2)).alias(c) for c, n in (("h", 8), ("w", 5))])
+    own = masks.segment_boxes(X.blk(s, d)).where("label = 4").select("image_id", F.col("xmin").alias("x1"), F.col("ymin").alias("y1"), (F.col("xmax") + 2).alias("x2"), (F.col("ymax") + 2).alias("y2"), F.lit(SIDE * SIDE).alias("cells"))
+    return masks.to_image(own, images, "cells")
+
+
+_ATT = """, hots as (select image_id, patch as i, sum(w) over (partition by image_id order by w, patch rows unbounded preceding) / sum(w) over (partition by image_id) > 0.4 as hot from att), pos as (select image_id, i from hots where hot),
+nb as (select a.image_id, a.i, b.i as j from pos a join pos b on a.image_id = b.image_id and abs(a.i // 10 - b.i // 10) + abs(a.i % 10 - b.i % 10) <= 1),
+reach as (select image_id, i, i as j from nb union select x.image_id, x.i, nb.j from reach x join nb on nb.image_id = x.image_id and nb.i = x.j),
+comp as (select image_id, i, min(j) as part from reach group by all), sz0 as (select image_id, part, count(*) as n from comp group by all), sz as (select *, row_number() over (partition by image_id order by part desc) as last, count(*) over (partition by image_id) as parts from sz0)"""
+_ATT_BOX = "select image_id, (16 * min(i % 10))::int as x1, (16 * min(i // 10))::int as y1, (16 * (max(i % 10) + 1))::int as x2, (16 * (max(i // 10) + 1))::int as y2 from {src} group by 1"
+
+
+@query("dinoseg_bbox", "!" + _ATT + ", one as (select image_id, part from (select *, row_number() over (partition by image_id order by n desc, part) as k from sz) where k = 1), own as (select image_id, i from comp join one using (image_id, part)) " + _ATT_BOX.format(src="own"))
 def _(s, d):
     return spectral.attention_box(X.att(s, d))
 
 
+@query("dinoseg_bbox_compat", "!" + _ATT + ", one as (select image_id, part from (select *, row_number() over (partition by image_id order by n desc, part) as k from sz where last > 1) where k = 1), own as (select image_id, i from comp join one using (image_id, part) union all select a.image_id, a.i from hots a join (select distinct image_id from sz where parts = 1) using (image_id) where not hot) " + _ATT_BOX.format(src="own"))
+def _(s, d):
+    return spectral.attention_box(X.att(s, d), compat=True)
+
+
 @query("multi_region_seg")
 def _(s, d):
     return cluster.multi_region(spectral.eigen(X.feat(s, d), "laplacian", 5))
@@ -546,9 +600,14 @@ def _box_features(s, d):
     return cluster.box_features(own, X.feat(s, d))
 
 
-@query("bbox_features", ", b as (select image_id, label, min(c) as x1, min(r) as y1, max(c) as x2, max(r) as y2 from blk where label <> 0 group by all) select b.image_id, b.label, round(avg(e1), 6) as first, 64 as d from b join feat f on f.image_id = b.image_id and f.c between x1 and x2 and f.r between y1 and y2 group by all")
+@query("bbox_features", ", b as (select image_id, label, min(c) as x1, min(r) as y1, max(c) as x2, max(r) as y2 from blk where label <> 0 group by all), u as (select image_id, r, c, unnest(range(64))::int as d, unnest(k) as x from feat) select b.image_id, b.label, d, round(avg(x), 6) + 0.0 as x from b join u f on f.image_id = b.image_id and f.c between x1 and x2 and f.r between y1 and y2 group by all")
 def _(s, d):
-    return r6(_box_features(s, d).select("image_id", "label", F.element_at("features", 1).alias("first"), F.size("features").alias("d")), "first")
+    return r6(_box_features(s, d).select("image_id", "label", F.posexplode("features").alias("d", "x")), "x")
+
+
+@query("baseline_regions")
+def _(s, d):
+    return cluster.baseline_regions(X.feat(s, d))
 
 
 @query("bbox_clusters")
@@ -556,16 +615,99 @@ def _(s, d):
     return cluster.box_clusters(_box_features(s, d), 5)
 
 
-@query("pca_project")
+@query("pca_project", ", b as (select image_id, label, min(c) as x1, min(r) as y1, max(c) as x2, max(r) as y2 from blk where label <> 0 group by all), u as (select image_id, r, c, unnest(range(64)) as d, unnest(k) as x from feat), m as (select b.image_id, b.label, d, avg(x) as x from b join u f on f.image_id = b.image_id and f.c between x1 and x2 and f.r between y1 and y2 group by all) select image_id, label, round(sum(x * x), 6) as square from m group by all")
 def _(s, d):
-    return cluster.pca(_box_features(s, d), 4).select("image_id", "label", F.size("features").alias("d"))
+    # all 64 directions are a turn of the space, which keeps lengths
+    return r6(cluster.pca(_box_features(s, d), 64).select("image_id", "label", F.aggregate("features", F.lit(0.0), lambda t, x: t + x * x).alias("square")), "square")
 
 
-@query("semantic_segmap")
+@query("semantic_segmap", " select image_id, r, c, (case when label = 0 then 0 else (label * 3 + image_id) % 5 + 1 end)::int as label from blk")
+def _(s, d):
+    b = X.blk(s, d)
+    clusters = b.select("image_id", "label").distinct().where("label <> 0").withColumn("cluster", ((F.col("label") * 3 + F.col("image_id")) % 5).cast("int"))
+    return cluster.semantic_maps(b, clusters, 1).select("image_id", "r", "c", "label")
+
+
+@query("semantic_segmap_kmeans")
 def _(s, d):
     return cluster.semantic_maps(X.blk(s, d), cluster.box_clusters(_box_features(s, d), 5), 1)
 
 
+# ---- records
+
+
+@query("split_qkv", " select image_id, patch - 1 as patch, k[25] as first, k[48] as last from feat where patch > 0")
+def _(s, d):
+    tokens = X.feat(s, d).select("image_id", F.col("patch").alias("token"), F.concat(F.slice("k", 1, 48), F.slice("k", 1, 24)).alias("qkv"))
+    k = records.split_qkv(tokens, 24)
+    return k.select("image_id", "patch", F.element_at("k", 1).alias("first"), F.element_at("k", -1).alias("last"))
+
+
+@query("mask_binarize", " select image_id, r, c, floor((e1 + 1) * 127.5) / 255 > 0.5 as x from feat")
+def _(s, d):
+    return X.feat(s, d).select("image_id", "r", "c", masks.first_channel_mask(F.floor((F.col("e1") + 1) * 127.5)).alias("x"))
+
+
+@query("contains_class", ", lab as (select *, (case when image_id % 2 = 0 then label else least(label, 2) end)::int as l from seg) select image_id, r, c, l as label from lab where image_id in (select image_id from lab where l = 3)")
+def _(s, d):
+    lab = X.seg(s, d).withColumn("label", F.when(F.col("image_id") % 2 == 0, F.col("label")).otherwise(F.least("label", F.lit(2))))
+    return masks.with_class(lab, 3)
+
+
+@query("total_boxes", " select count(*) as n from gtb")
+def _(s, d):
+    return records.total_boxes(X.gtb(s, d).groupBy("image_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("bboxes")))
+
+
+@query("rows_to_lists", " select image_id, list(cls order by cls) as cls, list(x1 order by cls) as x1 from gtb group by 1")
+def _(s, d):
+    return records.to_lists(X.gtb(s, d).withColumn("place", F.col("cls")), "place", "cls", "x1", keys=("image_id",))
+
+
+@query("lists_to_rows", " select image_id, (row_number() over (partition by image_id order by cls) - 1)::int as place, cls, x1 from gtb")
+def _(s, d):
+    lists = records.to_lists(X.gtb(s, d).withColumn("place", F.col("cls")), "place", "cls", "x1", keys=("image_id",))
+    return records.to_rows(lists, "cls", "x1", keys=("image_id",))
+
+
+@query("parse_matching", ", o as (select o_orderkey, (o_orderkey % 10)::int as a, (o_custkey % 10)::int as b from orders) select o_orderkey, 0 as place, a as pred, b as target from o union all select o_orderkey, 1, b, a from o")
+def _(s, d):
+    a, b = F.col("o_orderkey") % 10, F.col("o_custkey") % 10
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.format_string("[(%d, %d), (%d, %d)]", a, b, b, a)).otherwise(F.format_string("[[%d, %d], [%d, %d]]", a, b, b, a))
+    return X.table(s, d, "orders").select("o_orderkey", F.posexplode(records.parse_matching(text)).alias("place", "m")).select("o_orderkey", "place", "m.pred", "m.target")
+
+
+# ---- whole runs
+
+
+@query("entry_semantic", _MAPPED + _JAC.format(src="(select * from mapped where target <> 255)") + f", j as ({_JC}) select cls, tp, fp, fn, jaccard, round(avg(jaccard) over (), 5) as miou from j")
+def _(s, d):
+    p = X.pix(s, d)
+    out = entries.evaluate_semantic(p.drop("target"), p.drop("pred"), CLASSES)
+    return r6(out, "jaccard").withColumn("miou", F.round("miou", 5))
+
+
+@query("entry_objects", f" select dataset, round(avg(acc), 6) as acc, round(avg(iou), 6) as iou, count(*) as images from (select image_id % 4 as dataset, image_id, avg((pred = target)::int) as acc, {_IOU2} as iou from bin group by all) group by 1")
+def _(s, d):
+    b = X.binary(s, d).withColumn("dataset", F.col("image_id") % 4)
+    preds = b.select("dataset", "image_id", "r", "c", (F.col("pred").cast("int") * F.when(F.col("image_id") % 2 == 0, 255).otherwise(1)).alias("pred")).where("pred > 0")
+    return r6(entries.evaluate_objects(preds, b.drop("pred")), "acc", "iou")
+
+
+_LOCATED = _LOST + _CLIPPED + """, m as (select image_id, c.x1, c.y1, c.x2, c.y2, greatest(least(c.x2, g.x2) - greatest(c.x1, g.x1), 0)::double * greatest(least(c.y2, g.y2) - greatest(c.y1, g.y1), 0) as inter,
+(c.x2 - c.x1) * (c.y2 - c.y1 + 1e-7::double) as a1, (g.x2 - g.x1) * (g.y2 - g.y1 + 1e-7::double) as a2 from clipped c join gtb g using (image_id))"""
+
+
+@query("entry_localize", "!" + _LOCATED + " select image_id, x1, y1, x2, y2, round(max(inter / (a1 + a2 - inter + 1e-7::double)), 6) as iou, max(inter / (a1 + a2 - inter + 1e-7::double)) >= 0.5 as hit from m group by all")
+def _(s, d):
+    return r6(entries.localize(X.feat(s, d), X.gtb(s, d), _sizes(s, d), k=50), "iou")
+
+
+@query("entry_extract")
+def _(s, d):
+    return entries.extract(X.feat(s, d), n_clusters=5)["maps"]
+
+
 # ---- splits, sets, names
 
 

@@ -114,3 +114,24 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, *partitions:
 
 def write_result_line(rate: DataFrame, path: str) -> None:
     rate.select(F.format_string("corloc,%.1f,,", F.col("corloc"))).write.mode("overwrite").text(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line; null fields are kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_names(names: DataFrame, path: str, name: str = "name") -> None:
+    """A text list, one name a line, sorted by ranges over its files."""
+    names.select(F.col(name).cast("string")).orderBy(name).write.mode("overwrite").text(path)
+
+
+def png_files(maps: DataFrame) -> DataFrame:
+    """Label maps (id, r, c, label) as gray PNG files: id, name, content. One image is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((pdf["r"].max() + 1, pdf["c"].max() + 1), np.uint8)
+        m[pdf["r"], pdf["c"]] = pdf["label"]
+        return pd.DataFrame({"id": pdf["id"].iloc[:1], "name": [f"{pdf['id'].iloc[0]}.png"], "content": [encode_png(m)]})
+
+    return maps.groupBy("id").applyInPandas(run, "id string, name string, content binary")

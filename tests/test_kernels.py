@@ -192,3 +192,94 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("pixel_counts").collect()] == [(2, 1, 2)]
+
+
+def test_missing_cells_are_outside(spark):
+    from gridspectra.operators import masks
+
+    cells = spark.createDataFrame([(0, 1, 0, c, 1) for c in (0, 1, 2, 5, 6, 7, 8)], "image_id int, label int, r int, c int, x int")
+    assert {r.c for r in masks.dilate(cells).where("x = 1").collect()} == {0, 1, 2, 5, 6, 7, 8}
+    grown = spark.createDataFrame([(0, 1, 0, c, x) for c, x in ((0, 1), (3, 0), (4, 0))], "image_id int, label int, r int, c int, x int")
+    assert {r.c: r.x for r in masks.dilate(grown).collect()} == {0: 1, 3: 0, 4: 0}
+
+
+def test_turned_signs_are_those_of_the_kernel(spark):
+    import numpy as np
+
+    from gridspectra.operators import spectral
+
+    turn = np.random.default_rng(2)
+    v = [*turn.normal(size=(20, 6)), np.array([1.0, 2, 3, 4, 5, 6]), -np.ones(6), np.array([1.0, -2, 3, -4, 5, -6]), np.zeros(6)]
+    got = spectral.turned(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k int, eigenvector array<double>")).orderBy("k").collect()
+    want = spectral.pin_sign(np.stack(v).T).T
+    assert all(np.array_equal(np.array(r.eigenvector) + 0.0, w + 0.0) for r, w in zip(got, want))
+
+
+def test_matching_text(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from gridspectra.operators import records
+
+    parse = lambda t: spark.createDataFrame([(t,)], "t string").select(records.parse_matching(F.col("t")).alias("m")).collect()[0].m
+    assert [tuple(x) for x in parse("[(0, 3), (1, 2)]")] == [(0, 3), (1, 2)] and parse("[]") == []
+    for bad in ("nonsense", "[[1]]", "[[1, null]]", None):
+        with pytest.raises(Exception):
+            parse(bad)
+
+
+def test_json_names_and_png_sinks(spark, tmp_path):
+    import json
+
+    from gridspectra.sources import files
+
+    files.write_json(spark.createDataFrame([(1, None)], "a int, b string").coalesce(1), str(tmp_path / "j"))
+    assert [json.loads(x) for f in (tmp_path / "j").glob("part*") for x in f.read_text().splitlines()] == [{"a": 1, "b": None}]
+    files.write_names(spark.createDataFrame([("b",), ("a",)], "name string"), str(tmp_path / "n"))
+    assert [x for f in sorted((tmp_path / "n").glob("part*")) for x in f.read_text().splitlines()] == ["a", "b"]
+    cells = spark.createDataFrame([("x", r, c, 10 * r + c) for r in range(3) for c in range(4)], "id string, r int, c int, label int")
+    back = files.label_maps(files.png_files(cells).select("id", "content"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+
+
+def test_whole_extraction(spark):
+    from gridspectra.plans import entries
+    from gridspectra.sources import fixtures
+
+    out = entries.extract(fixtures.feat(spark, "/root/testdata/sf0.001"), n_clusters=3)
+    assert set(out) == {"eigens", "regions", "boxes", "features", "clusters", "maps"}
+    assert {r.label for r in out["maps"].select("label").distinct().collect()} <= {0, 1, 2, 3} and out["maps"].count() == 500
+    assert entries.extract(fixtures.feat(spark, "/root/testdata/sf0.001"), n_clusters=3, baseline=True)["maps"].count() == 500
+
+
+def test_localization_by_eigenvector(spark):
+    from pyspark.sql import functions as F
+
+    from gridspectra.plans import entries
+    from gridspectra.sources import fixtures
+
+    f = fixtures.feat(spark, "/root/testdata/sf0.001")
+    images = f.select("image_id").distinct().select("image_id", F.lit(155).alias("h"), F.lit(157).alias("w"))
+    found = entries.localize(f, fixtures.gtb(spark, "/root/testdata/sf0.001"), images, "eigen")
+    assert all(r.x2 <= 157 and r.y2 <= 155 and 0 <= r.iou <= 1 for r in found.collect())
+    rate = entries.corloc(found).collect()[0]
+    assert rate.images == 5 and 0 <= rate.corloc <= 100
+
+
+def test_inferred_patch_of_a_mask_box(spark):
+    from gridspectra.operators import spectral
+
+    cells = spark.createDataFrame([(i, r, c, int(r < 3 and c < 3)) for i in (0, 1) for r in range(10) for c in range(10)], "image_id int, r int, c int, label int")
+    images = spark.createDataFrame([(0, 84, 81), (1, 165, 160)], "image_id int, h int, w int")
+    assert sorted(map(tuple, spectral.mask_box(cells, images=images).collect())) == [(0, 0, 0, 24, 24), (1, 0, 0, 48, 48)]
+
+
+def test_odd_predictions_are_an_error(spark):
+    import pytest
+
+    from gridspectra.plans import entries
+
+    make = lambda v, n: spark.createDataFrame([("a", 0, 0, 0, v)], f"dataset string, image_id int, r int, c int, {n} int")
+    assert entries.evaluate_objects(make(255, "pred"), make(1, "target")).collect()[0].iou == 1.0
+    with pytest.raises(Exception, match="neither 0, 1 nor 255"):
+        entries.evaluate_objects(make(7, "pred"), make(1, "target")).collect()
