@@ -20,6 +20,8 @@ def byte_letters() -> tuple[str, ...]:
 
 
 def letters(data: bytes) -> str:
+    if data.isalnum():  # ASCII letters and digits stand for themselves
+        return data.decode()
     table = byte_letters()
     return "".join([table[b] for b in data])
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import mmap
 import unicodedata
+import zlib
 from collections import Counter
 from functools import cache, lru_cache
 
@@ -22,10 +23,17 @@ from pyspark.sql import functions as F
 
 from .archives import read_file, write_file
 from .bpe import Vocabulary, letters
+from .ragged import LOWER, buffers, slices, word_hashes, words
 from .shared import released, shared_dir, table, written
 
 #: Most words of the lexicon, their most bytes, and words a worker remembers before it forgets all.
 LEXICON_WORDS, WORD_BYTES, REMEMBERED = 1 << 16, 64, 3 << 17
+#: Marks of checksums beside the automaton: sixteen to a word.
+MARK_BITS = 20
+MARKS = (1 << MARK_BITS) - 1
+#: Bytes that part the words of the lexicon: all but ASCII letters and those of characters beyond ASCII.
+BREAK = np.ones(256, dtype=bool)
+BREAK[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def word_pattern(letter: str = r"\p{L}", number: str = r"\p{N}", other: str = r"[^\s\p{L}\p{N}]") -> str:
@@ -87,7 +95,9 @@ def build(words: list[bytes], outputs: list[list[int]]) -> bytes:
             adds.append(at)
             at += sizes[to]
         first.append(len(labels))
-    parts = [np.array(first, "<u4"), np.array(targets, "<u4"), np.array(adds, "<u4"), np.cumsum([0, *map(len, outputs)]).astype("<u4"), np.array([i for o in outputs for i in o], "<u4"), np.array(labels, "u1"), np.array(ends, "u1")]
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[[zlib.crc32(w) & MARKS for w in words]] = True
+    parts = [np.array(first, "<u4"), np.array(targets, "<u4"), np.array(adds, "<u4"), np.cumsum([0, *map(len, outputs)]).astype("<u4"), np.array([i for o in outputs for i in o], "<u4"), np.array(labels, "u1"), np.array(ends, "u1"), marks.view("u1")]
     return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(p.tobytes() for p in parts)
 
 
@@ -95,14 +105,17 @@ class Lexicon:
     """Reads what `build` makes."""
 
     def __init__(self, data):
-        lengths, at, parts = np.frombuffer(data, "<u8", 7), 56, []
-        for n, kind in zip(lengths, ("<u4",) * 5 + ("u1",) * 2):
+        lengths, at, parts = np.frombuffer(data, "<u8", 8), 64, []
+        for n, kind in zip(lengths, ("<u4",) * 5 + ("u1",) * 3):
             parts.append(np.frombuffer(data, kind, int(n), at))
             at += parts[-1].nbytes
-        self.first, self.targets, self.adds, self.at, self.ids, self.labels, self.ends = map(memoryview, parts)
+        self.first, self.targets, self.adds, self.at, self.ids, self.labels, self.ends, self.marks = map(memoryview, parts)
         self.root = len(self.ends) - 1
 
     def find(self, word: bytes) -> list[int] | None:
+        """The word's ids, or None. A table of marks turns most of the words away that the automaton lacks, before any of its states is read."""
+        if not self.marks[zlib.crc32(word) & MARKS]:
+            return None
         s, index = self.root, 0
         for byte in word:
             lo, end = self.first[s], self.first[s + 1]
@@ -233,19 +246,30 @@ def codec_of(vocabulary: str, lexicon: str) -> Codec:
     return Codec(Vocabulary.parse(vocabulary), mapped(lexicon))
 
 
-def word_counts(docs: DataFrame, specials: list[str]) -> DataFrame:
-    """word, n over the words of all texts of up to WORD_BYTES bytes. Tasks add up their own words first, in pieces of bounded size."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n over all texts: runs of ASCII letters and characters beyond ASCII, lower-cased in ASCII, of up to WORD_BYTES bytes.
+
+    That is the splitter's idea of a word for nearly all of them; one it splits otherwise is only merged when met. Tasks add up their own words
+    first, by hash inside a slice and in pieces of bounded size.
+    """
 
     def run(batches):
-        splitter, seen = Splitter(dict.fromkeys(specials, 0)), Counter()
+        seen: Counter[bytes] = Counter()
 
         def flush():
-            kept = [(w, n) for w, n in seen.items() if len(w.encode()) <= WORD_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                seen.update(splitter.pieces(text.as_py() or ""))
+            data, offsets = buffers(batch.column("text"))
+            for i, j in slices(offsets):
+                part = LOWER[data[offsets[i] : offsets[j]]]
+                starts, lengths, _ = words(part, offsets[i : j + 1] - offsets[i], BREAK)
+                short = lengths <= WORD_BYTES
+                starts, lengths = starts[short], lengths[short]
+                _, first, n = np.unique(word_hashes(part, starts, lengths), return_index=True, return_counts=True)
+                raw = part.tobytes()
+                for s, k, c in zip(starts[first].tolist(), lengths[first].tolist(), n.tolist()):
+                    seen[raw[s : s + k]] += c
                 if len(seen) > REMEMBERED:
                     yield flush()
                     seen.clear()
@@ -259,7 +283,7 @@ def make_lexicon(docs: DataFrame, vocabulary: Vocabulary, most: int = LEXICON_WO
 
     Frequencies are classed by eighths of their binary logarithm; only the few classes and the chosen words reach the driver.
     """
-    counts = written(word_counts(docs, list(vocabulary.specials)).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
+    counts = written(word_counts(docs).withColumn("level", F.floor(8 * F.log2("n")).cast("int")))
     room, least = most, None
     for level, words in sorted(((r.level, r.words) for r in counts.groupBy("level").agg(F.count("*").alias("words")).collect()), reverse=True):
         if (room := room - words) < 0:
