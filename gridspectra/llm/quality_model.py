@@ -109,13 +109,17 @@ def logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray) -> Model:
-    """From indicator lists and 0/1 labels; every fifth row draws the curve. Without rows, all scores are one half."""
+    """From indicator lists and 0/1 labels; every fifth row of either class draws the curve, or all rows where a class has fewer than five. Without rows, all scores are one half."""
     size = 1 << BITS
     y = np.where(label > 0, 1.0, -1.0)
     if not len(y) or (y > 0).all() or (y < 0).all():
         share = 0.5 if not len(y) else float((y > 0).mean())
         return Model(np.zeros(size, np.float32), np.ones(size, np.float32), 0.0, 0.0, 3.0 * (2 * share - 1))
-    curve = np.arange(len(y)) % 5 == 4
+    curve = np.zeros(len(y), bool)
+    for side in (-1.0, 1.0):  # of either class, however rare
+        curve[np.flatnonzero(y == side)[4::5]] = True
+    if len(np.unique(y[curve])) < 2:
+        curve[:] = False
     seen = np.full((2, size), SMOOTHING)
     for r, c in zip((rows[i] for i in np.flatnonzero(~curve)), (y[~curve] > 0).astype(int)):
         seen[c, r] += 1
