@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .ragged import buffers, mix, packed, shingle_sets, slices, unpacked
-from .shared import discard, release, released, table, written
+from .shared import discard, fresh, release, released, table, written
 
 WIDTH, GROUPS, LEAF = 5, 64, 64
 #: Sizes that do not grow with the input: log2 of the counters of the sketch, of the bits of bitmaps, and their segments.
@@ -531,14 +532,14 @@ def link_counts(links: DataFrame) -> DataFrame:
 
 
 def with_class(docs: DataFrame) -> DataFrame:
-    """`docs` with v, the class of the text."""
-    from pyspark.sql import types as T
+    """`docs` with v, the class of the text, named by `fresh`."""
+    name = fresh(docs.columns, "v")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(s) for s in _sets(batch)], pa.binary())], names=[*batch.schema.names, "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_class(s) for s in _sets(batch)], pa.binary())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("v", T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,16 @@
 """The pipeline's stages against plain versions on one small corpus."""
 
+import bisect
 import collections
+import hashlib
 
+import numpy as np
 from conftest import DATA
-from test_operators import plain_cut, plain_links
+from pyspark.sql import functions as F
+from test_operators import EDGES, LONG, frame, library, plain_cut, plain_links, poisson
 
 import corpus_pipeline
+from gridspectra.llm import mixing
 
 
 def test_stages(spark):
@@ -40,3 +45,58 @@ def test_namesakes_of_near_copies_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def plain_left(rows):
+    """(doc_id, text, source) without what occurs before; rows of which nothing is left go."""
+    first, out = {}, []
+    for d, t, _ in sorted(rows, key=lambda r: r[0]):
+        b = t.encode()
+        for i in range(len(b) - 99):
+            first.setdefault(b[i : i + 100], (d, i))
+    for d, t, source in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if first[b[i : i + 100]] != (d, i):
+                gone[i : i + 100] = True
+        if not gone.any() or not gone.all():
+            out.append((d, bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "replace"), source))
+    return out
+
+
+def test_run(spark):
+    """All stages after the classifier, whose decisions are taken from its stage, against plain versions."""
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = [(r.doc_id, r.text, r.source) for r in corpus_pipeline.quality(spark, docs, sf).collect()]
+    assert 100 < len(good) < docs.count()
+    stay = {d for d, _, c in plain_links([r[:2] for r in good]) if d == c}
+    left = plain_left([r for r in good if r[0] in stay])
+    n = collections.Counter(r[2] for r in left)
+    weight = {s: mixing.WEIGHTS.get(s, mixing.DEFAULT_WEIGHT) for s in n}
+    curve = {s: poisson(weight[s] / sum(weight.values()) * len(left) / n[s]) for s in n}
+    codec, want = library("word_bpe_49k.json"), collections.Counter()
+    for d, t, source in left:
+        u = int(hashlib.md5(f"{d}\x1f{hashlib.md5(t.encode()).hexdigest()}\x1f{mixing.SEED}".encode()).hexdigest()[:13], 16) / 2**52
+        ids = codec.encode(t, add_special_tokens=False).ids
+        row = (d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        want[row] += bisect.bisect_right(curve[source], u)
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == +want and sum(got.values()) > 50
+
+
+def test_stages_of_odd_rows(spark):
+    """Null ids and texts, empty, long and repeated rows, columns named like inner ones; and no rows at all."""
+    names = ["score", "component_id", "v", "n_shingles", "label", "least", "u", "id", "rk", "s", "k", "n_removed", "n_bytes", "kept_text", "copy", "place", "rate", "steps", "some", "all", "gone"]
+    docs = frame(spark, [r for r in EDGES if r[1] is not LONG] + [(4, LONG[:5000]), (5, LONG[:5000]), (5, "another text of the same id"), (None, None)])
+    docs = docs.withColumns({n: F.lit(f"mine {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, f"{DATA}/sf0.001")
+        rows = got.collect()
+        assert got.columns == docs.columns and all(r[n] == f"mine {n}" for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), f"{DATA}/sf0.001").count() == 0
+    near = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert "another text of the same id" in {r.text for r in near} and sum(r.text == LONG[:5000] for r in near) == 1
+    assert corpus_pipeline.encode(spark, docs, "").count() == docs.count()
+    assert corpus_pipeline.encode(spark, docs.limit(0), "").count() == 0
