@@ -76,6 +76,11 @@ def patch_grid(patches: DataFrame, w: Column | int) -> DataFrame:
     return patches.withColumns({"r": F.floor(F.col("patch") / width).cast("int"), "c": (F.col("patch") % width).cast("int")})
 
 
+def segmap_width(cells: Column, h: Column, w: Column) -> Column:
+    """Width of a row-major label map of `cells` cells of an image of h x w patches: w, or 2 * w on the doubled grid; else an error."""
+    return F.when(cells == h * w, w).when(cells == 4 * h * w, 2 * w).otherwise(F.raise_error(F.lit("a label map fits no patch grid")).cast("int"))
+
+
 def infer_patch(length: Column, h: Column, w: Column) -> Column:
     """Patch size that fits a mask of `length` cells of an h x w image: 8, 16, 16 at double grid, 32 at fourfold grid; else an error."""
     cells = lambda p: F.floor(h / p) * F.floor(w / p)

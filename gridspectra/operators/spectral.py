@@ -36,11 +36,37 @@ def turned(eigens: DataFrame, vector: str = "eigenvector") -> DataFrame:
     return eigens.withColumn(vector, F.when(turn, F.transform(v, lambda x: -x)).otherwise(v))
 
 
-def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool = True, extra: np.ndarray | None = None, color: float = 0.0):
-    """Smallest k of (D - W) v = l D v (or of D - W): W the clipped, scaled Gram matrix and `color` times another affinity."""
+def _taps(n: int, m: int) -> np.ndarray:
+    """Bilinear weights (m x n) of n cells for m; centre-aligned, not below the first or beyond the last."""
+    x = np.maximum((np.arange(m) + 0.5) * (n / m) - 0.5, 0.0)
+    low = np.floor(x).astype(int)
+    out = np.zeros((m, n))
+    np.add.at(out, (np.arange(m), np.minimum(low, n - 1)), 1 - (x - low))
+    np.add.at(out, (np.arange(m), np.minimum(low + 1, n - 1)), x - low)
+    return out
+
+
+def upsampled(f: np.ndarray, size: tuple[int, int], to: tuple[int, int]) -> np.ndarray:
+    """Row-major features of a grid of `size` at `to`, bilinear."""
+    if len(f) != size[0] * size[1]:
+        raise ValueError(f"{len(f)} patches are no grid of {size[0]} x {size[1]}")
+    if size == to:
+        return f
+    return np.einsum("ar,bc,rcd->abd", _taps(size[0], to[0]), _taps(size[1], to[1]), f.reshape(*size, -1), optimize=True).reshape(to[0] * to[1], -1)
+
+
+def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool = True, extra: np.ndarray | None = None, color: float = 0.0, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None, clip: bool = True):
+    """Smallest k of (D - W) v = l D v (or of D - W): W the scaled Gram matrix, clipped at 0 unless told otherwise, and `color` times another affinity.
+
+    With `to`, normalized features are first brought from a grid of `size` to one of `to`.
+    """
     if normalize:
         f = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
-    w = np.maximum(f @ f.T, 0.0)
+    if to is not None:
+        f = upsampled(f, size, to)
+    w = f @ f.T
+    if clip:
+        w = np.maximum(w, 0.0)
     w /= max(float(w.max()), 1e-300)
     if extra is not None and color > 0:
         w = w + color * extra
@@ -89,14 +115,17 @@ def eigen(features: DataFrame, which: str = "laplacian", k: int = 20, **options)
     return features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, EIGEN)
 
 
-def with_color(features: DataFrame, color: DataFrame, weight: float, k: int = 20, lapnorm: bool = True) -> DataFrame:
-    """Laplacian eigenvectors of feature affinity plus `weight` times a color affinity (image_id, i, j, w)."""
+def with_color(features: DataFrame, color: DataFrame, weight: float, k: int = 20, lapnorm: bool = True, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None) -> DataFrame:
+    """Laplacian eigenvectors of feature affinity plus `weight` times a color affinity (image_id, i, j, w).
+
+    With `to`, features are brought from a grid of `size` to one of `to`, whose cells the color affinity is between.
+    """
 
     def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("patch")
-        extra = np.zeros((len(own), len(own)))
+        extra = np.zeros((to[0] * to[1] if to else len(own),) * 2)
         np.add.at(extra, (edges["i"].to_numpy(), edges["j"].to_numpy()), edges["w"].to_numpy())
-        value, v, rest = laplacian_eigen(np.stack(own["k"].to_list()).astype(np.float64), k, True, lapnorm, extra, weight)
+        value, v, rest = laplacian_eigen(np.stack(own["k"].to_list()).astype(np.float64), k, True, lapnorm, extra, weight, size, to)
         return pd.DataFrame({"image_id": own["image_id"].iloc[0], "k": np.arange(len(value), dtype=np.int32), "eigenvalue": value, "eigenvector": list(v.T), "residual": rest})
 
     edges = color.select(F.col("image_id").alias("edge_image"), "i", "j", "w")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspectra.functions import boxes as B
 from gridspectra.functions import names as N
+from gridspectra.functions import sql as functions
 from gridspectra.functions import vectors as V
 from gridspectra.operators import cluster, graph, grid, masks, metrics, records, spectral
 from gridspectra.plans import entries
@@ -755,6 +756,20 @@ def _(s, d):
     return own.select("image_id", (F.size(F.array_except("own", F.array(*map(F.lit, range(4))))) == 0).alias("full_domain") & (F.size("own") == 4).alias("x"), F.element_at("own", 1).alias("least")).toDF("image_id", "full_domain", "least")
 
 
+@query("segmap_width", " select id, case when id % 2 = 0 then w // p else 2 * (w // p) end as width from grid")
+def _(s, d):
+    g = grid.image_sizes(X.grid(s, d))
+    cells = F.col("h_patch") * F.col("w_patch") * F.when(F.col("id") % 2 == 0, 1).otherwise(4)
+    return g.select("id", grid.segmap_width(cells, F.col("h_patch"), F.col("w_patch")).cast("int").alias("width"))
+
+
+@query("sql_functions", f"{_OVER} select image_id, cls, round(inter / u, 6) as iou from q")
+def _(s, d):
+    functions.register(s)
+    args = ", ".join(f"double({p}{n})" for p in ("", "g_") for n in ("x1", "y1", "x2", "y2"))
+    return r6(_met(s, d).selectExpr("image_id", "cls", f"box_iou({args}) as iou"), "iou")
+
+
 # ---- bench only
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspectra.functions import boxes, names
 from gridspectra.operators import cluster, graph, grid, masks, metrics, spectral
-from gridspectra.sources import annotations, files
+from gridspectra.sources import annotations, files, images
 from gridspectra.streaming import pixels
 
 
@@ -283,3 +283,71 @@ def test_odd_predictions_are_an_error(spark):
     assert entries.evaluate_objects(make(255, "pred"), make(1, "target")).collect()[0].iou == 1.0
     with pytest.raises(Exception, match="neither 0, 1 nor 255"):
         entries.evaluate_objects(make(7, "pred"), make(1, "target")).collect()
+
+
+def color_png(path, p):
+    import struct
+    import zlib
+
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    h, w, _ = p.shape
+    rows = b"".join(b"\0" + line.tobytes() for line in p)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+
+
+def test_color_images(spark, tmp_path):
+    turn = np.random.default_rng(3)
+    own = {n: turn.integers(0, 256, (h, w, 3), np.uint8) for n, h, w in (("a", 3, 5), ("b", 8, 4))}
+    for n, p in own.items():
+        color_png(tmp_path / f"{n}.png", p)
+    (tmp_path / "gray.png").write_bytes(files.encode_png(np.array([[7, 200]])))
+    read = images.images(spark, str(tmp_path))
+    got = {(x.image_id, x.r, x.c): (x.red, x.green, x.blue) for x in images.pixels(read).collect()}
+    assert got == {(n, r, c): tuple(map(int, p[r, c])) for n, p in own.items() for r, c in np.ndindex(p.shape[:2])} | {("gray", 0, 0): (7,) * 3, ("gray", 0, 1): (200,) * 3}
+    same = images.low_resolution(read.where("image_id = 'b'"), (8, 4)).orderBy("patch").collect()
+    assert [[round(255 * v) for v in (x.e1, x.e2, x.e3)] for x in same] == own["b"].reshape(-1, 3).tolist()
+    one = images.images(spark, str(tmp_path), spark.createDataFrame([("b.png",), ("b.png",)], "name string"))
+    assert [(x.image_id, x.h, x.w, x.channels) for x in one.collect()] == [("b", 8, 4, 3)]
+    with pytest.raises(Exception, match="unpaired c"):
+        images.images(spark, str(tmp_path), spark.createDataFrame([("c",)], "name string")).collect()
+    (tmp_path / "broken.png").write_bytes(b"no")
+    with pytest.raises(Exception, match="no image"):
+        images.pixels(images.images(spark, str(tmp_path))).collect()
+    assert images.images(spark, str(tmp_path), drop_broken=True).count() == 3
+
+
+def test_low_resolution_of_even_ground(spark, tmp_path):
+    color_png(tmp_path / "x.png", np.full((30, 41, 3), (10, 20, 30), np.uint8))
+    low = images.low_resolution(images.images(spark, str(tmp_path / "x.png")), (4, 6)).collect()
+    assert len(low) == 24 and {tuple(round(255 * v, 9) for v in (x.e1, x.e2, x.e3)) for x in low} == {(10, 20, 30)}
+
+
+def test_upsampled_features_meet_the_table_operator(spark):
+    size, to = (3, 4), (7, 6)
+    f = np.random.default_rng(4).normal(size=(12, 2))
+    rows = [(0, i // 4, i % 4, float(f[i, 0])) for i in range(12)]
+    table = grid.bilinear_resize(spark.createDataFrame(rows, "image_id int, r int, c int, x double"), "x", size, to).orderBy("r", "c").collect()
+    up = spectral.upsampled(f, size, to)
+    assert up.shape == (42, 2) and np.allclose(up[:, 0], [x.x for x in table])
+    with pytest.raises(ValueError):
+        spectral.upsampled(f, (3, 5), to)
+
+
+def test_laplacian_at_a_finer_grid(spark):
+    f = np.abs(np.random.default_rng(5).normal(size=(12, 3)))
+    features = spark.createDataFrame([(0, i, f[i].tolist()) for i in range(12)], "image_id int, patch int, k array<double>")
+    rows = spectral.eigen(features, "laplacian", 3, size=(3, 4), to=(6, 8)).orderBy("k").collect()
+    n = f / np.linalg.norm(f, axis=1, keepdims=True)
+    want, _, _ = spectral.laplacian_eigen(spectral.upsampled(n, (3, 4), (6, 8)), 3, normalize=False)
+    assert [len(x.eigenvector) for x in rows] == [48] * 3 and np.allclose([x.eigenvalue for x in rows], want) and max(x.residual for x in rows) < 1e-8
+    color = spark.createDataFrame([(0, 0, 47, 0.5), (0, 47, 0, 0.5)], "image_id int, i int, j int, w double")
+    assert len(spectral.with_color(features, color, 1.0, 2, size=(3, 4), to=(6, 8)).first().eigenvector) == 48
+
+
+def test_affinity_below_zero_is_kept_on_request():
+    f = np.array([[1.0, 0.0], [0.0, 1.0], [-0.6, 0.8]])
+    w = f @ f.T
+    d = w.sum(axis=1)
+    value = spectral.laplacian_eigen(f, 3, lapnorm=False, clip=False)[0]
+    assert np.allclose(value, np.linalg.eigvalsh(np.diag(d) - w))
+    assert not np.allclose(value, spectral.laplacian_eigen(f, 3, lapnorm=False)[0])
