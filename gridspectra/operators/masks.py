@@ -86,10 +86,42 @@ def dilate(masks: DataFrame, times: int = 1) -> DataFrame:
     return masks
 
 
+def _beside(x: np.ndarray, outside: bool) -> list[np.ndarray]:
+    """The four neighbours of every cell; beyond the edge all are `outside`."""
+    wide = np.pad(x, 1, constant_values=outside)
+    return [wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]]
+
+
 def boxes(cells: DataFrame, n_erode: int = 2, n_dilate: int = 3, scale: int = 1, skip_background: bool = True) -> DataFrame:
-    """Boxes of the labels after erosion and dilation of each label's mask."""
-    moved = dilate(erode(masks_of(cells, skip_background), n_erode), n_dilate).where("x = 1")
-    return segment_boxes(moved, scale, False)
+    """Boxes of the labels after erosion and dilation of each label's mask, as `erode` and `dilate` have it.
+
+    An image is one group and its masks stay in its kernel: one exchange, whatever the number of steps.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["r"].min()), int(pdf["c"].min())
+        at = (pdf["r"].to_numpy() - top, pdf["c"].to_numpy() - left)
+        there = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
+        label = np.zeros(there.shape, np.int64)
+        there[at], label[at] = True, pdf["label"].to_numpy()
+        found = []
+        for own in np.unique(label[there]):
+            if own == BACKGROUND and skip_background:
+                continue
+            x = there & (label == own)
+            for _ in range(n_erode):
+                y = np.logical_and.reduce([x, *_beside(x | ~there, True)])
+                x = y if y.any() else x
+            for _ in range(n_dilate):
+                x = there & np.logical_or.reduce([x, *_beside(x, False)])
+            r, c = np.nonzero(x)
+            found.append((pdf["image_id"].iloc[0], own, (left + c.min()) * scale, (top + r.min()) * scale, (left + c.max() + 1) * scale, (top + r.max() + 1) * scale))
+        return pd.DataFrame(found, columns=["image_id", "label", "xmin", "ymin", "xmax", "ymax"])
+
+    kind = cells.schema["image_id"].dataType.simpleString()
+    label = cells.schema["label"].dataType.simpleString()
+    whole = cells.select("image_id", "r", "c", "label").where("label is not null")
+    return whole.groupBy("image_id").applyInPandas(run, f"image_id {kind}, label {label}, xmin int, ymin int, xmax int, ymax int")
 
 
 def to_image(boxes: DataFrame, images: DataFrame, cells: str | None = None, scale: int = 16) -> DataFrame:

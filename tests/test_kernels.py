@@ -351,3 +351,25 @@ def test_affinity_below_zero_is_kept_on_request():
     value = spectral.laplacian_eigen(f, 3, lapnorm=False, clip=False)[0]
     assert np.allclose(value, np.linalg.eigvalsh(np.diag(d) - w))
     assert not np.allclose(value, spectral.laplacian_eigen(f, 3, lapnorm=False)[0])
+
+
+def test_boxes_are_those_of_the_steps(spark):
+    turn = np.random.default_rng(6)
+    rows = [(i, r, c, int(turn.integers(0, 3))) for i in range(4) for r in range(2, 12) for c in range(3, 12) if turn.random() < 0.85]
+    rows += [(9, r, c, 1 + (c > 3)) for r in range(6) for c in range(8)]
+    own = spark.createDataFrame(rows, "image_id int, r int, c int, label int")
+    for n_erode, n_dilate, skip in ((0, 0, True), (1, 1, True), (2, 3, False)):
+        steps = masks.dilate(masks.erode(masks.masks_of(own, skip), n_erode), n_dilate).where("x = 1")
+        want = sorted(tuple(x) for x in masks.segment_boxes(steps, 2, False).collect())
+        assert sorted(tuple(x) for x in masks.boxes(own, n_erode, n_dilate, 2, skip).collect()) == want
+    assert masks.boxes(own.limit(0)).count() == 0
+
+
+def test_nearest_patches_with_ties(spark):
+    side, k = 5, 4
+    e = np.round(np.random.default_rng(7).random((25, 3)), 1)
+    rows = [("x", i, i // side, i % side, *map(float, e[i])) for i in range(25)]
+    got = graph.knn_edges(spark.createDataFrame(rows, "image_id string, patch int, r int, c int, e1 double, e2 double, e3 double"), k, 2.0, side=side).collect()
+    at = np.concatenate([e, 2.0 * np.array([[i % side, i // side] for i in range(25)]) / (side - 1)], axis=1)
+    far = np.round(((at[:, None] - at[None]) ** 2).sum(axis=2), 9)
+    assert sorted((x.i, x.j) for x in got) == sorted((i, j) for i in range(25) for j in sorted(range(25), key=lambda j: (far[i, j], j))[:k])
