@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, substring_dedup, token_counts, topk
+from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, spelling, substring_dedup, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_suffix_array_dedup": substring_dedup.op9_suffix_array_dedup,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_exact_topk": topk.SQL,
     "op8_source_mixing": mixing.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_spelling_variants": spelling.SQL,
 }
