@@ -101,7 +101,8 @@ def test_edits_are_all_distinct_and_hashed_alike(word):
 
 def test_bitmap_only_turns_away(spark, monkeypatch):
     """With a bitmap that lets nearly everything through the result is the same."""
-    monkeypatch.setattr(spelling, "FEWEST_BITS", 8)
-    monkeypatch.setattr(spelling, "MOST_BITS", 8)
-    rows = [(f"letters{x}", 2) for x in "abcdefgh"] + [("letters", 900), ("lettersaa", 5)]
+    monkeypatch.setattr(spelling, "FEWEST_BITS", 11)
+    monkeypatch.setattr(spelling, "MOST_BITS", 11)
+    turn = random.Random(5)
+    rows = [(f"letters{x}", 2) for x in "abcdefgh"] + [("letters", 900), ("lettersaa", 5)] + [("".join(turn.choice("abcdefgh") for _ in range(12)), 3) for _ in range(600)]
     assert result(spelling.groups(spark.createDataFrame(rows, "word string, n long"))) == plain_groups(dict(rows))
