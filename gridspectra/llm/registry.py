@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, bpe_codec, chat, jaccard_join, mixing, quality_model, quality_rules, spelling, substring_dedup, tiered_index, token_counts, topk
+from . import archives, bpe_codec, chat, hyperminhash, jaccard_join, mixing, quality_model, quality_rules, spelling, substring_dedup, tiered_index, token_counts, topk
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_ranked_search": tiered_index.op12_ranked_search,
+    "op13_hyperminhash": hyperminhash.op13_hyperminhash,
 }
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.SQL,
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op10_chat_formatting": chat.SQL,
     "op11_spelling_variants": spelling.SQL,
     "op12_ranked_search": tiered_index.SQL,
+    "op13_hyperminhash": hyperminhash.SQL,
 }
