@@ -8,28 +8,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspectra.functions.vectors import normalize
+from gridspectra.sources.tables import discard, stored
 
 from . import masks
 
 
-def lloyd(x: np.ndarray, k: int, rounds: int = 100) -> np.ndarray:
-    """Labels of k-means from farthest-point seeds; the first seed is the point of largest norm."""
-    k = min(k, len(x))
+#: Starts of k-means beside the farthest-point one; rows of a batch of mini-batch k-means; steps between looks for starved centres.
+RESTARTS, BATCH, LOOK = 9, 4096, 10
+
+
+def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances (points x centres), without an array over the dimensions."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * (x @ centers.T) + (centers * centers).sum(axis=1)[None], 0.0)
+
+
+def farthest(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of k seeds: the point of largest norm, then always the one farthest from those chosen."""
     seeds = [int((x * x).sum(axis=1).argmax())]
     far = ((x - x[seeds[0]]) ** 2).sum(axis=1)
     while len(seeds) < k:
         seeds.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[seeds[-1]]) ** 2).sum(axis=1))
-    centers, label = x[seeds].copy(), np.full(len(x), -1)
+    return np.array(seeds)
+
+
+def drawn(x: np.ndarray, k: int, turn: np.random.Generator) -> np.ndarray:
+    """Places of k seeds drawn by k-means++: each with a probability in proportion to its squared distance from those before."""
+    seeds = [int(turn.integers(len(x)))]
+    far = ((x - x[seeds[0]]) ** 2).sum(axis=1)
+    while len(seeds) < k:
+        total = far.sum()
+        seeds.append(int(np.searchsorted(np.cumsum(far), turn.random() * total, side="right").clip(0, len(x) - 1)) if total > 0 else int(turn.integers(len(x))))
+        far = np.minimum(far, ((x - x[seeds[-1]]) ** 2).sum(axis=1))
+    return np.array(seeds)
+
+
+def descend(x: np.ndarray, centers: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Labels and inertia where Lloyd's steps from `centers` end; a centre without points stays where it is."""
+    label = np.full(len(x), -1)
     for _ in range(rounds):
-        new = ((x[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = distances(x, centers).argmin(axis=1)
         if (new == label).all():
             break
         label = new
-        for c in range(k):
-            if (label == c).any():
-                centers[c] = x[label == c].mean(axis=0)
-    return label
+        count = np.bincount(label, minlength=len(centers))
+        sums = np.stack([np.bincount(label, x[:, d], minlength=len(centers)) for d in range(x.shape[1])], axis=1)
+        centers = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centers)
+    return label, float(((x - centers[label]) ** 2).sum())
+
+
+def lloyd(x: np.ndarray, k: int, rounds: int = 300, restarts: int = RESTARTS, seed: int = 0) -> np.ndarray:
+    """Labels of k-means: the least inertia of one farthest-point start and `restarts` drawn by k-means++ from `seed`; ties go to the earlier start."""
+    k = min(k, len(x))
+    turn = np.random.default_rng(seed)
+    starts = [farthest(x, k)] + [drawn(x, k, turn) for _ in range(restarts)]
+    return min((descend(x, x[s].copy(), rounds) for s in starts), key=lambda found: found[1])[0]
 
 
 def multi_region(eigens: DataFrame, n: int = 4, adaptive: bool = False, vectors: int | None = None, side: int = 10, infer_background: bool = True) -> DataFrame:
@@ -80,17 +113,106 @@ def pca(features: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="v", outputCol="p").fit(v).transform(v).withColumn("features", vector_to_array("p")).drop("v", "p")
 
 
-def box_clusters(features: DataFrame, n: int = 20, seed: int = 0, pca_dim: int = 0, parts: int | None = None) -> DataFrame:
-    """Cluster of each box by k-means over normalized features, dealt to `parts` partitions (by default as many as shuffles have)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def absorb(centers: np.ndarray, seen: np.ndarray, count: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and how many points they have seen after a batch of which `count` points with `sums` were theirs: each moves by its share of all it has seen."""
+    after = seen + count
+    rate = np.where(count > 0, count / np.maximum(after, 1), 0.0)[:, None]
+    return centers + rate * (sums / np.maximum(count, 1)[:, None] - centers), after
+
+
+def starved(seen: np.ndarray, ratio: float) -> np.ndarray:
+    """Places of centres that have seen less than `ratio` of what the busiest has, at most half of all, the least first."""
+    order = np.argsort(seen, kind="stable")
+    return order[: len(seen) // 2][seen[order[: len(seen) // 2]] < ratio * seen.max()]
+
+
+def minibatch(points: DataFrame, key: list[str], n: int, seed: int = 0, batch: int = BATCH, steps: int = 5000, patience: int = 10, ratio: float = 0.01) -> np.ndarray:
+    """Centres of mini-batch k-means over `points` (key columns, features).
+
+    Rows are dealt to batches of about `batch` by a hash of key and seed, and stored by batch, so a step reads its batch only: one aggregate, centres by
+    centres, whatever the size of the table. The seeds are drawn by k-means++ from the first batch (a bounded sample). Every LOOK steps starved centres move to the
+    points of the batch that are farthest from any. Ends after `steps`, or when the smoothed inertia of a point has not fallen for `patience` steps after one pass.
+    Without rows there are no centres.
+    """
+    count = points.count()
+    if not count:
+        return np.zeros((0, 0))
+    batches = -(-count // batch)
+    number = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(batches)).cast("int")
+    dealt = stored(points.select(*key, "features", number.alias("batch")).repartition("batch").sortWithinPartitions("batch", *key), "batch")
+    first = dealt.where(F.col("batch") == dealt.agg(F.min("batch")).first()[0]).orderBy(*key).limit(4 * batch).select("features").collect()  # a batch
+    x = np.array([r["features"] for r in first], np.float64)
+    n = min(n, len(x))
+    centers = x[drawn(x, n, np.random.default_rng(seed))].copy()
+    seen, smooth, best, stale = np.zeros(n), None, np.inf, 0
+    for step in range(steps):
+        few = dealt.where(F.col("batch") == step % batches)
+        got = few.select("features").mapInPandas(_absorbed(centers), "center int, count long, inertia double, sums array<double>, far array<double>, gap double").collect()  # centres and far points, a task of a batch
+        if not got:
+            continue
+        part, sums = np.zeros(n), np.zeros_like(centers)
+        for r in got:
+            if r["center"] >= 0:
+                part[r["center"]] += r["count"]
+                sums[r["center"]] += np.array(r["sums"])
+        inertia = sum(r["inertia"] for r in got if r["center"] >= 0) / max(part.sum(), 1)
+        centers, seen = absorb(centers, seen, part, sums)
+        if (step + 1) % LOOK == 0:
+            poor = starved(seen, ratio)
+            far = sorted((r for r in got if r["center"] < 0), key=lambda r: (-r["gap"], r["far"]))[: len(poor)]
+            for c, r in zip(poor, far):
+                centers[c] = np.array(r["far"])
+                seen[c] = seen[np.setdiff1d(np.arange(n), poor)].min()
+        share = min(1.0, 2 * batch / (count + 1))
+        smooth = inertia if smooth is None else smooth * (1 - share) + inertia * share
+        best, stale = (smooth, 0) if smooth < best - 1e-12 else (best, stale + 1)
+        if step + 1 >= batches and stale >= patience:
+            break
+    discard(dealt)
+    return centers
+
+
+def _absorbed(centers: np.ndarray):
+    """Of rows of features: by centre their number, sum and inertia; and the points farthest from any centre (center -1), as many as centres."""
+
+    def run(frames):
+        count, inertia, sums = np.zeros(len(centers)), np.zeros(len(centers)), np.zeros_like(centers)
+        far: list = []
+        for pdf in frames:
+            x = np.stack(pdf["features"].to_list()).astype(np.float64)
+            d = distances(x, centers)
+            label = d.argmin(axis=1)
+            gap = d[np.arange(len(x)), label]
+            count += np.bincount(label, minlength=len(centers))
+            inertia += np.bincount(label, gap, minlength=len(centers))
+            np.add.at(sums, label, x)
+            far = sorted(far + [(-g, p.tolist()) for g, p in ((gap[i], x[i]) for i in np.argsort(-gap, kind="stable")[: len(centers)])])[: len(centers)]
+        if count.any():
+            yield pd.DataFrame({"center": list(range(len(centers))) + [-1] * len(far), "count": count.astype(np.int64).tolist() + [0] * len(far), "inertia": inertia.tolist() + [0.0] * len(far), "sums": [*sums.tolist(), *[None] * len(far)], "far": [*[None] * len(centers), *[p for _, p in far]], "gap": [0.0] * len(centers) + [-g for g, _ in far]})
+
+    return run
+
+
+def nearest(points: DataFrame, centers: np.ndarray, key: list[str]) -> DataFrame:
+    """Key columns and cluster, the nearest centre of each row of `points` (key columns, features), ties to the first."""
+
+    def run(frames):
+        for pdf in frames:
+            x = np.stack(pdf["features"].to_list()).astype(np.float64) if len(pdf) else np.zeros((0, centers.shape[1]))
+            yield pdf[key].assign(cluster=distances(x, centers).argmin(axis=1).astype(np.int32) if len(pdf) else np.zeros(0, np.int32))
+
+    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in key)
+    return points.select(*key, "features").mapInPandas(run, f"{kinds}, cluster int")
+
+
+def box_clusters(features: DataFrame, n: int = 20, seed: int = 0, pca_dim: int = 0, batch: int = BATCH) -> DataFrame:
+    """image_id, label, cluster of each box, by mini-batch k-means over normalized features (after PCA to `pca_dim` dimensions, if given).
 
-    own = features.withColumn("features", normalize("features"))
-    own = pca(own, pca_dim) if pca_dim else own
-    v = own.withColumn("v", array_to_vector("features")).repartition(parts or int(features.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id").sortWithinPartitions("image_id", "label").cache()
-    model = KMeans(k=n, seed=seed, featuresCol="v", predictionCol="cluster", maxIter=50).fit(v)
-    v.unpersist()
-    return model.transform(v).select("image_id", "label", "cluster")
+    The centres are found where this is called, for the rows that `features` has then; these are stored once. No boxes give no rows.
+    """
+    own = features.select("image_id", "label", normalize("features").alias("features"))
+    own = stored(pca(own, pca_dim).select("image_id", "label", "features") if pca_dim else own)
+    return nearest(own, minibatch(own, ["image_id", "label"], n, seed, batch), ["image_id", "label"])
 
 
 def semantic_maps(cells: DataFrame, clusters: DataFrame, offset: int = 0) -> DataFrame:

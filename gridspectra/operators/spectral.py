@@ -1,4 +1,5 @@
-"""Spectral operators: one image is one group, its matrix lives inside the kernel (N patches, N x N doubles)."""
+"""Spectral operators: one image is one group. Up to DENSE patches its matrix lives inside the kernel (N x N doubles); from there on eigenpairs
+come from products with it (`lanczos`), in memory in proportion to patches times vectors."""
 
 from __future__ import annotations
 
@@ -9,8 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, masks
+from . import graph, lanczos, masks
 
+#: Patches up to which the dense solver is used, unless told otherwise.
+DENSE = 1024
 EIGEN = "image_id int, k int, eigenvalue double, eigenvector array<double>, residual double"
 
 
@@ -55,21 +58,25 @@ def upsampled(f: np.ndarray, size: tuple[int, int], to: tuple[int, int]) -> np.n
     return np.einsum("ar,bc,rcd->abd", _taps(size[0], to[0]), _taps(size[1], to[1]), f.reshape(*size, -1), optimize=True).reshape(to[0] * to[1], -1)
 
 
-def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool = True, extra: np.ndarray | None = None, color: float = 0.0, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None, clip: bool = True):
+def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool = True, extra: np.ndarray | None = None, color: float = 0.0, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None, clip: bool = True, dense: int | None = None):
     """Smallest k of (D - W) v = l D v (or of D - W): W the scaled Gram matrix, clipped at 0 unless told otherwise, and `color` times another affinity.
 
-    With `to`, normalized features are first brought from a grid of `size` to one of `to`.
+    With `to`, normalized features are first brought from a grid of `size` to one of `to`. `extra` is a matrix or a `lanczos.Edges`. Beyond `dense` patches
+    (DENSE by default) the pairs are found by restarted block Lanczos, unless all are asked for.
     """
     if normalize:
         f = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
     if to is not None:
         f = upsampled(f, size, to)
+    if len(f) > (DENSE if dense is None else dense) and 4 * k < len(f):
+        value, v, rest = lanczos.laplacian(lanczos.Affinity(f, clip, extra, color), k, lapnorm)
+        return value, pin_sign(v), rest
     w = f @ f.T
     if clip:
         w = np.maximum(w, 0.0)
     w /= max(float(w.max()), 1e-300)
     if extra is not None and color > 0:
-        w = w + color * extra
+        w = w + color * (extra.matrix() if isinstance(extra, lanczos.Edges) else extra)
     d = w.sum(axis=1)
     d[d < 1e-12] = 1.0
     lap = np.diag(d) - w
@@ -84,10 +91,15 @@ def laplacian_eigen(f: np.ndarray, k: int, normalize: bool = True, lapnorm: bool
     return value[:k], pin_sign(v[:, :k]), rest[:k]
 
 
-def affinity_eigen(f: np.ndarray, k: int, normalize: bool = True):
-    """Largest k by magnitude of the clipped Gram matrix, values and vectors in the same falling order."""
+def affinity_eigen(f: np.ndarray, k: int, normalize: bool = True, dense: int | None = None):
+    """Largest k by magnitude of the clipped Gram matrix, values and vectors in the same falling order; beyond `dense` patches by Lanczos."""
     if normalize:
         f = f / np.maximum(np.linalg.norm(f, axis=1, keepdims=True), 1e-12)
+    if len(f) > (DENSE if dense is None else dense) and 4 * k < len(f):
+        product = lanczos.Affinity(f)
+        value, v = lanczos.by_size(product, len(f), k)
+        value = value / product.scale
+        return value, pin_sign(v), np.abs(product(v) / product.scale - v * value).max(axis=0)
     w = np.maximum(f @ f.T, 0.0)
     value, v = np.linalg.eigh(w)
     order = np.argsort(-np.abs(value), kind="stable")[:k]
@@ -115,17 +127,17 @@ def eigen(features: DataFrame, which: str = "laplacian", k: int = 20, **options)
     return features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, EIGEN)
 
 
-def with_color(features: DataFrame, color: DataFrame, weight: float, k: int = 20, lapnorm: bool = True, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None) -> DataFrame:
+def with_color(features: DataFrame, color: DataFrame, weight: float, k: int = 20, lapnorm: bool = True, size: tuple[int, int] | None = None, to: tuple[int, int] | None = None, clip: bool = True, dense: int | None = None) -> DataFrame:
     """Laplacian eigenvectors of feature affinity plus `weight` times a color affinity (image_id, i, j, w).
 
-    With `to`, features are brought from a grid of `size` to one of `to`, whose cells the color affinity is between.
+    With `to`, features are brought from a grid of `size` to one of `to`, whose cells the color affinity is between. The color affinity stays a list of edges
+    beyond `dense` patches.
     """
 
     def run(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("patch")
-        extra = np.zeros((to[0] * to[1] if to else len(own),) * 2)
-        np.add.at(extra, (edges["i"].to_numpy(), edges["j"].to_numpy()), edges["w"].to_numpy())
-        value, v, rest = laplacian_eigen(np.stack(own["k"].to_list()).astype(np.float64), k, True, lapnorm, extra, weight, size, to)
+        extra = lanczos.Edges(to[0] * to[1] if to else len(own), edges["i"].to_numpy(), edges["j"].to_numpy(), edges["w"].to_numpy(np.float64))
+        value, v, rest = laplacian_eigen(np.stack(own["k"].to_list()).astype(np.float64), k, True, lapnorm, extra, weight, size, to, clip, dense)
         return pd.DataFrame({"image_id": own["image_id"].iloc[0], "k": np.arange(len(value), dtype=np.int32), "eigenvalue": value, "eigenvector": list(v.T), "residual": rest})
 
     edges = color.select(F.col("image_id").alias("edge_image"), "i", "j", "w")

@@ -12,7 +12,7 @@ from gridspectra.functions import boxes as B
 from gridspectra.functions import names as N
 from gridspectra.functions import sql as functions
 from gridspectra.functions import vectors as V
-from gridspectra.operators import cluster, graph, grid, masks, metrics, records, spectral
+from gridspectra.operators import cluster, crf, graph, grid, masks, metrics, records, spectral, tiles
 from gridspectra.plans import entries
 from gridspectra.sources import annotations as A
 from gridspectra.sources import files
@@ -410,6 +410,15 @@ def _(s, d):
     return r6(n.select("vec_id", F.element_at("k", 1).alias("first"), V.norm("k").alias("norm")), "first", "norm")
 
 
+def _tiles(s, d):
+    # three blocks, of 34, 34 and 32 patches, so tiles lie on the diagonal and off it
+    return tiles.gram(X.feat(s, d), 34)
+
+
+def _ints(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("int") for n in names})
+
+
 @query("gram_affinity", _GRAM + " select image_id, i, j, round(w, 6) + 0.0 as w from gram")
 def _(s, d):
     return r6(graph.gram(X.feat(s, d)), "w")
@@ -417,12 +426,12 @@ def _(s, d):
 
 @query("affinity_threshold", _GRAM + ", t as (select image_id, i, j, greatest(w, 0) as w from gram) select image_id, i, j, round(w / max(w) over (partition by image_id), 6) + 0.0 as w from t")
 def _(s, d):
-    return r6(graph.scale_by_max(graph.threshold(graph.gram(X.feat(s, d)))), "w")
+    return r6(_ints(tiles.edges(tiles.scale_by_max(tiles.threshold(_tiles(s, d)))), "i", "j"), "w")
 
 
 @query("degree", _GRAM + " select image_id, i, round(sum(greatest(w, 0)), 6) as degree from gram group by all")
 def _(s, d):
-    return r6(graph.degree(graph.threshold(graph.gram(X.feat(s, d)))), "degree")
+    return r6(_ints(tiles.degree(tiles.threshold(_tiles(s, d))), "i"), "degree")
 
 
 def _knn(k: int, weight: float, name: str) -> str:
@@ -451,7 +460,7 @@ _SEED = _SCORE + ", rk as (select *, row_number() over (partition by image_id or
 
 @query("patch_scoring", _SCORE + " select image_id, i, score::bigint as score from sc")
 def _(s, d):
-    return graph.patch_scoring(graph.gram(X.feat(s, d)))
+    return _ints(tiles.patch_scoring(_tiles(s, d)), "i")
 
 
 @query("lost_seed_potentials", _SEED + " select image_id, i, rank::int as rank, seed from sim")
@@ -461,7 +470,7 @@ def _(s, d):
 
 @query("similarity_sum", _SEED + " select g.image_id, g.j, round(sum(g.w), 6) as m from gram g join sim using (image_id, i) group by all")
 def _(s, d):
-    return r6(graph.similarity_sum(graph.gram(X.feat(s, d)), 50), "m")
+    return r6(_ints(tiles.similarity_sum(_tiles(s, d), 50), "j"), "m")
 
 
 @query("attention_mass_mask", " select image_id, patch, r, c, round(w, 6) as w, sum(w) over (partition by image_id order by w, patch rows unbounded preceding) / sum(w) over (partition by image_id) > 0.4 as \"on\" from att")
@@ -491,6 +500,12 @@ def _(s, d):
     return _diagonals(spectral.eigen(X.feat(s, d), "laplacian", SIDE * SIDE))
 
 
+@query("laplacian_lanczos")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "laplacian", 5, dense=0)
+    return r6(e.select("image_id", "k", "eigenvalue"), "eigenvalue")
+
+
 @query("affinity_eigs", _AFF + " select image_id, i::int as patch, round(sum(case when i = j then w end), 5) + 0.0 as weight, round(sum(w * w), 5) + 0.0 as weighted from w0 group by all")
 def _(s, d):
     return _diagonals(spectral.eigen(X.feat(s, d), "affinity", SIDE * SIDE), 2)
@@ -611,6 +626,29 @@ def _(s, d):
     return cluster.baseline_regions(X.feat(s, d))
 
 
+def _settled(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """Whether each point (image_id, patch, x) is nearest to the mean of its own label's points; computed from the labels alone."""
+    own = cells.select("image_id", (F.col("r") * SIDE + F.col("c")).cast("int").alias("patch"), "label").join(points, ["image_id", "patch"])
+    means = own.select("image_id", "label", F.posexplode("x").alias("d", "x")).groupBy("image_id", "label", "d").agg(F.avg("x").alias("x"))
+    means = means.groupBy("image_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda t: t["x"]).alias("mean"))
+    gap = F.aggregate(F.zip_with("x", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    each = own.join(means.select("image_id", F.col("label").alias("other"), "mean"), "image_id").withColumn("gap", gap)
+    return each.groupBy("image_id", "patch").agg((F.min(F.when(F.col("label") == F.col("other"), F.col("gap"))) <= F.min("gap") + 1e-9).alias("nearest"), F.countDistinct("other").cast("int").alias("regions"))
+
+
+@query("baseline_regions_settled", " select image_id, patch, true as nearest, 4 as regions from feat")
+def _(s, d):
+    f = X.feat(s, d)
+    return _settled(cluster.baseline_regions(f, infer_background=False), f.select("image_id", "patch", F.col("k").alias("x")))
+
+
+@query("multi_region_settled", " select image_id, patch, true as nearest, 4 as regions from feat")
+def _(s, d):
+    e = spectral.eigen(X.feat(s, d), "laplacian", 5)
+    v = e.where("k > 0").select("image_id", "k", F.posexplode("eigenvector").alias("patch", "v"))
+    return _settled(cluster.multi_region(e, infer_background=False), v.groupBy("image_id", "patch").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda t: t["v"]).alias("x")))
+
+
 @query("bbox_clusters")
 def _(s, d):
     return cluster.box_clusters(_box_features(s, d), 5)
@@ -634,6 +672,35 @@ def _(s, d):
     return cluster.semantic_maps(X.blk(s, d), cluster.box_clusters(_box_features(s, d), 5), 1)
 
 
+# ---- refinement
+
+
+def _pixels(s, d):
+    color = [(100 * F.col(e)).alias(name) for e, name in (("e1", "red"), ("e2", "green"), ("e3", "blue"))]
+    return X.feat(s, d).select("image_id", "r", "c", (F.col("label") % 3).cast("int").alias("label"), *color)
+
+
+# one update over all pairs of an image's pixels, with both kernels normalized on both sides
+_CRF = """, px as (select image_id, patch, r, c, label % 3 as label, 100 * e1 as x, 100 * e2 as y, 100 * e3 as z from feat),
+ker as (select a.image_id, a.patch as i, b.patch as j, exp(-((a.r-b.r)**2 + (a.c-b.c)**2) / (2 * 16.0::double) - ((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) / (2 * 400.0::double)) as both_,
+  exp(-((a.r-b.r)**2 + (a.c-b.c)**2) / (2 * 2.25::double)) as near from px a join px b using (image_id)),
+nrm as (select image_id, i, 1 / sqrt(sum(both_)) as nb, 1 / sqrt(sum(near)) as nn from ker group by all),
+q0 as (select image_id, patch as j, l::int as lab, case when l = label then 0.9 else 0.05 end::double as q from px, range(3) t(l)),
+msg as (select k.image_id, k.i, q.lab, sum(10 * a.nb * b.nb * k.both_ * q.q + 3 * a.nn * b.nn * k.near * q.q) as m
+  from ker k join q0 q on q.image_id = k.image_id and q.j = k.j join nrm a on a.image_id = k.image_id and a.i = k.i join nrm b on b.image_id = k.image_id and b.i = k.j group by all),
+up as (select m.image_id, m.i, m.lab, q.q * exp(m.m) as q from msg m join q0 q on q.image_id = m.image_id and q.j = m.i and q.lab = m.lab)"""
+
+
+@query("crf_step", _CRF + " select image_id, (i // 10)::int as r, (i % 10)::int as c, lab as label, round(q / sum(q) over (partition by image_id, i), 6) + 0.0 as q from up")
+def _(s, d):
+    return r6(crf.probabilities(_pixels(s, d), 3, alpha=4.0, beta=20.0, gamma=1.5, steps=1, kind="pairs"), "q")
+
+
+@query("crf_refine")
+def _(s, d):
+    return crf.refine(_pixels(s, d), 3, alpha=4.0, beta=20.0, gamma=1.5)
+
+
 # ---- records
 
 
