@@ -51,6 +51,15 @@ def newer() -> str:
     return "".join(c for c in late if len(library.pre_tokenize_str("a" + c)) > 1 and len(library.pre_tokenize_str("1" + c)) > 1)
 
 
+@cache
+def lowered() -> dict[int, str]:
+    """Lower case of the capitals that Python's tables do not have and the library's do."""
+    from tokenizers.normalizers import Lowercase
+
+    late = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn"]
+    return {ord(a): b for a, b in zip(late, Lowercase().normalize_str("\n".join(late)).split("\n"), strict=True) if a != b}
+
+
 # ---- lexicon
 
 
@@ -156,6 +165,7 @@ class Splitter:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.word = regex.compile(word_pattern())
         late = f"[{newer()}]"
+        self.capitals = regex.compile("[" + "".join(map(chr, lowered())) + "]") if lowered() else None
         self.late, self.late_word = regex.compile(late), regex.compile(word_pattern(rf"\p{{L}}--{late}", rf"\p{{N}}--{late}", rf"[[^\s\p{{L}}\p{{N}}]||{late}]"))
 
     def words(self, text: str) -> list[str]:
@@ -163,6 +173,8 @@ class Splitter:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
+            if self.capitals and self.capitals.search(text):
+                text = text.translate(lowered())
             if self.late.search(text):
                 return self.late_word.findall(text)
         return self.word.findall(text)

@@ -438,6 +438,24 @@ def test_dual_descent_separates():
 # ---- 7
 
 
+def test_words_at_all_code_points():
+    """Around every character the words are those that the file's own normalizer and pattern give."""
+    import json
+
+    from tokenizers import Regex, pre_tokenizers
+
+    tokenizer = library("word_bpe_49k.json")
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    parts = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    splitter = bpe_codec.Splitter([])
+    marks = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x110000)]]
+    same = lambda text: splitter.words(text) == [w for w, _ in parts.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))]
+    some = [marks[k : k + 512] for k in range(0, len(marks), 512) if not same(" ".join(f"a{c}b {c}" for c in marks[k : k + 512]))]
+    wrong = [hex(ord(c)) for group in some for c in group if not same(f"a{c}b {c}")]
+    assert not some, wrong[:60]
+
+
 def test_codec(spark):
     path, tok = public_tokenizers.path("word_bpe_49k.json"), library("word_bpe_49k.json")
     docs = frame(spark, EDGES + [(100 + i, t) for i, t in enumerate(texts(8))])
