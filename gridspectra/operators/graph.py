@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridspectra.functions.vectors import dot
 
+from . import neighbours
+
 
 def gram(features: DataFrame) -> DataFrame:
     """Inner products of all patch pairs of an image. Half is computed; pairs of patches stay within their image."""
@@ -36,20 +38,14 @@ def degree(edges: DataFrame, least: float = 1e-12) -> DataFrame:
 def knn_edges(patches: DataFrame, k: int = 20, weight: float = 2.0, colors: tuple[str, ...] = ("e1", "e2", "e3"), side: int = 10) -> DataFrame:
     """Directed edges to the k nearest patches by color and weighted place in [0, 1], itself included; ties go to the smaller patch.
 
-    An image is one group; its distances are made 256 rows at a time.
+    An image is one group, searched by a k-d tree; nothing of the size of its pairs is made.
     """
     place = [(weight * F.col(a) / float(side - 1)) for a in ("c", "r")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
         x, name = np.stack(pdf["x"].to_list()), pdf["i"].to_numpy()
-        near = []
-        for start in range(0, len(x), 256):
-            d = np.zeros((len(x[start : start + 256]), len(x)))
-            for axis in range(x.shape[1]):
-                d += (x[start : start + 256, axis, None] - x[None, :, axis]) ** 2
-            near.append(np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k])
-        near = np.concatenate(near)
+        near = neighbours.nearest(x, k)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "i": np.repeat(name, near.shape[1]), "j": name[near.ravel()]})
 
     own = patches.select("image_id", F.col("patch").alias("i"), F.array(*colors, *place).alias("x"))

@@ -149,25 +149,38 @@ def first_channel_mask(red: Column) -> Column:
 def label_components(mask: np.ndarray, diagonal: bool) -> np.ndarray:
     """Components of the equal, non-negative cells of a label array: the smallest linear index of each, -1 elsewhere.
 
-    Labels sink along rows and columns until they rest, and jump to their own label's label each round.
+    A row's stretches of equal cells are runs. Runs of neighbouring rows that touch are joined: trees of runs are hooked, larger roots to smaller, and
+    flattened until no joined runs differ. The work grows with the runs, not with the length of a path.
     """
     h, w = mask.shape
-    index = np.where(mask >= 0, np.arange(h * w).reshape(h, w), -1)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    while True:
-        old = index.copy()
-        for dr, dc in steps:
-            a = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
-            b = (slice(dr, h), slice(max(0, dc), w - max(0, -dc)))
-            same = (mask[a] == mask[b]) & (mask[a] >= 0)
-            low = np.minimum(index[a], index[b])
-            index[a] = np.where(same, low, index[a])
-            index[b] = np.where(same, np.minimum(low, index[b]), index[b])
-        flat = index.ravel()
-        on = flat >= 0
-        flat[on] = flat[flat[on]]
-        if (index == old).all():
-            return index
+    if not mask.size:
+        return np.full((h, w), -1)
+    flat = mask.ravel()
+    new = np.ones(h * w, bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::w] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], h * w) - 1
+    used = flat[start] >= 0
+    run = np.cumsum(new) - 1
+    row, reach = start // w, int(diagonal)
+    # places with a gap between rows, so that what reaches beyond a row meets nothing
+    first, last = row * (w + 2) + start % w, row * (w + 2) + end % w
+    low = np.searchsorted(last, first + (w + 2) - reach)
+    count = np.maximum(np.searchsorted(first, last + (w + 2) + reach, side="right") - low, 0)
+    count[~used] = 0
+    i = np.repeat(np.arange(len(start)), count)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    same = flat[start[i]] == flat[start[j]]
+    i, j, root = i[same], j[same], np.arange(len(start))
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return np.where(used, start[root], -1)[run].reshape(h, w)
 
 
 def connected_components(cells: DataFrame, diagonal: bool = False, label: str = "label") -> DataFrame:

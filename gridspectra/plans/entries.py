@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+from dataclasses import astuple, dataclass
+from hashlib import sha256
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspectra.functions import boxes as B
 from gridspectra.operators import cluster, masks, metrics, spectral
+from gridspectra.sources.tables import discard, stored
 
 
 def extract(features: DataFrame, n_vectors: int = 5, n_regions: int = 4, n_clusters: int = 20, n_erode: int = 2, n_dilate: int = 3, side: int = 10, offset: int = 1, baseline: bool = False, adaptive: bool = False) -> dict[str, DataFrame]:
@@ -21,6 +27,92 @@ def extract(features: DataFrame, n_vectors: int = 5, n_regions: int = 4, n_clust
     return {"eigens": eigens, "regions": regions, "boxes": found, "features": inside, "clusters": clusters, "maps": cluster.semantic_maps(regions, known, offset)}
 
 
+@dataclass(frozen=True)
+class Extraction:
+    """What `extract_to` computes; a table made under other values is not taken up."""
+
+    n_vectors: int = 5
+    n_regions: int = 4
+    n_clusters: int = 20
+    n_erode: int = 2
+    n_dilate: int = 3
+    side: int = 10
+    offset: int = 1
+    baseline: bool = False
+    adaptive: bool = False
+
+    def name(self) -> str:
+        return sha256(repr(astuple(self)).encode()).hexdigest()[:16]
+
+
+class Stages:
+    """Tables of stages below a folder, an image at a time: each has a manifest of (image_id, run), which is written after the rows of the run.
+
+    Rows of a run that its manifest does not name, of a job that was lost, are never read. So a stage holds each image once whatever was interrupted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def done(self, name: str, keys: DataFrame) -> DataFrame:
+        """image_id, run of the images that the stage holds; if a job wrote an image twice, its first run counts."""
+        path = f"{self.path}/{name}/manifest"
+        if not self._exists(path):
+            return keys.select("image_id", F.lit("").alias("run")).limit(0)
+        return self.spark.read.parquet(path).groupBy("image_id").agg(F.min("run").alias("run"))
+
+    def add(self, name: str, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Rows of the stage for `keys` (image_id): `make` is called with those the stage does not hold, if there are any, and its rows are kept.
+
+        An image without rows is held too.
+        """
+        missing = keys.join(self.done(name, keys), "image_id", "left_anti")
+        if missing.limit(1).count():
+            run = uuid.uuid4().hex
+            missing = stored(missing)
+            make(missing).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.path}/{name}/rows")
+            missing.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{self.path}/{name}/manifest")
+            discard(missing)
+        held = self.done(name, keys).join(keys, "image_id", "left_semi")
+        return self.spark.read.parquet(f"{self.path}/{name}/rows").join(held, ["image_id", "run"], "left_semi").drop("run")
+
+
+def extract_to(features: DataFrame, path: str, config: Extraction | None = None) -> dict[str, DataFrame]:
+    """`extract`, stage by stage into tables below `path`: eigens, regions, boxes, features, clusters and maps, by name.
+
+    A second call, after a lost job or with more images, computes for each stage only the images that it does not hold, so an image's eigenvectors are
+    found once. Boxes are clustered over all images, so clusters (and maps) are kept for one set of images and found anew for another. An empty table of features gives an error.
+    """
+    config = config or Extraction()
+    spark = features.sparkSession
+    keys = stored(features.select("image_id").distinct())
+    if not keys.limit(1).count():
+        raise ValueError("no images to extract")
+    stages = Stages(spark, f"{path.rstrip('/')}/{config.name()}")
+    of = lambda table, missing: table.join(missing, "image_id", "left_semi")
+    eigens = stages.add("eigens", keys, lambda m: spectral.eigen(of(features, m), "laplacian", config.n_vectors))
+
+    def regions_of(m):
+        if config.baseline:
+            return cluster.baseline_regions(of(features, m), config.n_regions, config.side)
+        return cluster.multi_region(of(eigens, m), config.n_regions, config.adaptive, side=config.side)
+
+    regions = stages.add("regions", keys, regions_of)
+    found = stages.add("boxes", keys, lambda m: masks.boxes(of(regions, m), config.n_erode, config.n_dilate))
+    inside = stages.add("features", keys, lambda m: cluster.box_features(of(found, m), of(features, m)))
+    # one number for the set of images: a sum does not ask for an order
+    several = keys.agg(F.count("*").alias("n"), F.sum(F.xxhash64("image_id").cast("decimal(38,0)")).alias("h")).first()
+    together = f"clusters-{several['n']}-{several['h']}"
+    clusters = stages.add(together, keys, lambda m: cluster.box_clusters(of(inside, keys), config.n_clusters))
+    known = regions.select("image_id", "label").distinct().where("label <> 0").join(clusters, ["image_id", "label"], "left").fillna(-config.offset, ["cluster"])
+    maps = stages.add(f"maps-{together}", keys, lambda m: of(cluster.semantic_maps(regions, known, config.offset), m))
+    return {"eigens": eigens, "regions": regions, "boxes": found, "features": inside, "clusters": clusters, "maps": maps}
+
+
 def localize(features: DataFrame, truth: DataFrame, images: DataFrame, method: str = "lost", k: int = 100, side: int = 10, scale: int = 16) -> DataFrame:
     """One box an image against its true boxes (image_id, x1, y1, x2, y2): image_id, x1, y1, x2, y2, iou (the best), hit.
 

@@ -1,10 +1,15 @@
 """Tiled Gram matrices, the iterative eigensolver, the dense CRF and k-means, each against a plain version."""
 
+import shutil
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspectra.operators import cluster, crf, graph, lanczos, spectral, tiles
+from gridspectra.operators import cluster, crf, graph, lanczos, masks, neighbours, spectral, tiles
+from gridspectra.plans import entries
 
 
 def features(spark, counts, d=5, seed=1):
@@ -182,3 +187,76 @@ def test_minibatch_edges(spark):
     assert len(cluster.minibatch(points.limit(2), ["id"], 9)) == 2
     assert cluster.minibatch(points.limit(0), ["id"], 3).shape == (0, 0) and cluster.nearest(points.limit(0), np.zeros((0, 0)), ["id"]).count() == 0
     assert cluster.starved(np.array([100.0, 0.0, 50.0, 0.5]), 0.01).tolist() == [1, 3]
+
+
+# ---- nearest neighbours, components
+
+
+def test_nearest_by_tree(monkeypatch):
+    turn = np.random.default_rng(8)
+    for n, d, k in ((1, 3, 4), (40, 2, 7), (500, 5, 20), (700, 3, 5)):
+        x = np.round(turn.random((n, d)), 1 if n == 700 else 9)  # the last has many ties and equal points
+        far = np.round(neighbours.squared(x, x), neighbours.DECIMALS)
+        want = np.argsort(far, axis=1, kind="stable")[:, :k]
+        for leaf in (1, 5, 32):
+            monkeypatch.setattr(neighbours, "LEAF", leaf)
+            assert (neighbours.nearest(x, k) == want).all()
+
+
+def test_nearest_in_a_large_image():
+    side = 300
+    r, c = np.mgrid[:side, :side]
+    x = np.stack((np.sin(r / 9), np.cos(c / 7), np.sin((r + c) / 11), r / 150, c / 150), axis=-1).reshape(-1, 5)
+    near = neighbours.nearest(x, 10)
+    some = np.random.default_rng(1).integers(0, len(x), 40)
+    far = np.round(neighbours.squared(x[some], x), neighbours.DECIMALS)
+    assert (near[some] == np.argsort(far, axis=1, kind="stable")[:, :10]).all()
+
+
+def test_components_of_long_paths():
+    side = 501
+    snake = np.full((side, side), -1)
+    snake[::2] = 1
+    for k, r in enumerate(range(1, side, 2)):
+        snake[r, -1 if k % 2 == 0 else 0] = 1
+    for mask in (snake, snake.T.copy()):
+        began = time.perf_counter()
+        found = masks.label_components(mask, False)
+        assert time.perf_counter() - began < 0.5 and (found[mask == 1] == 0).all() and (found[mask < 0] == -1).all()
+    board = np.indices((6, 7)).sum(axis=0) % 2
+    assert len(np.unique(masks.label_components(board, False))) == 42 and len(np.unique(masks.label_components(board, True))) == 2
+    assert masks.label_components(np.zeros((0, 3)), True).shape == (0, 3) and masks.label_components(np.array([[5]]), True).tolist() == [[0]]
+
+
+# ---- resumed extraction
+
+
+def test_extraction_takes_up_what_is_there(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cluster, "minibatch", lambda *_: np.eye(4)[:3])  # has tests of its own
+    turn = np.random.default_rng(3)
+    rows = [(i, p, p // 10, p % 10, (turn.normal(size=4) + 3 * (p % 10 > 4)).tolist()) for i in range(4) for p in range(100)]
+    f = spark.createDataFrame(rows, "image_id int, patch int, r int, c int, k array<double>")
+    path, config = f"file://{tmp_path}/out", entries.Extraction(n_clusters=3)
+    part = entries.extract_to(f.where("image_id < 2"), path, config)
+    assert {x.image_id for x in part["maps"].select("image_id").distinct().collect()} == {0, 1}
+    base = f"{tmp_path}/out/{config.name()}"
+    runs = lambda stage: {x.image_id: x.run for x in spark.read.parquet(f"file://{base}/{stage}/manifest").collect()}
+    before = runs("eigens")
+    whole = entries.extract_to(f, path, config)
+    after = runs("eigens")
+    assert {i: after[i] for i in before} == before and sorted(after) == [0, 1, 2, 3]
+    assert whole["eigens"].count() == 20 and whole["maps"].count() == 400
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    plain = key(cluster.multi_region(spectral.eigen(f, "laplacian", 5), 4).select(whole["regions"].columns))
+    assert key(whole["regions"]) == plain
+    # nothing to do: no file is written
+    files = sorted(p for p in Path(base).rglob("*.parquet"))
+    entries.extract_to(f, path, config)
+    assert sorted(p for p in Path(base).rglob("*.parquet")) == files
+    # rows whose manifest was lost are not read, and only that stage is computed again
+    shutil.rmtree(f"{base}/regions/manifest")
+    again = entries.extract_to(f, path, config)
+    assert runs("eigens") == after and key(again["regions"]) == plain
+    assert entries.Extraction(n_regions=5).name() != config.name()
+    with pytest.raises(ValueError, match="no images"):
+        entries.extract_to(f.limit(0), path)
