@@ -50,13 +50,15 @@ def nearest(x: np.ndarray, k: int) -> np.ndarray:
         step = -(-2 * k // LEAF) + 1
         far = np.zeros((len(own), 0))
         while reach < len(order) and bound[order[reach]] <= kth + slack:
-            more = np.concatenate([parts[b] for b in order[reach : reach + step]])
-            reach += step
+            near = order[reach : reach + step]
+            more = np.concatenate([parts[b] for b in near[bound[near] <= kth + slack]])
+            reach, step = reach + step, 2 * step
             held.append(more)
             far = np.hstack((far, squared(x[own], x[more])))
             if far.shape[1] >= k:
                 kth = float(np.partition(far, k - 1, axis=1)[:, k - 1].max())
-        names = np.concatenate(held)
+        within = (far <= kth + slack).any(axis=0)
+        names, far = np.concatenate(held)[within], far[:, within]
         by_name = np.argsort(names)
         names, far = names[by_name], np.round(far[:, by_name], DECIMALS)
         out[own] = names[np.argsort(far, axis=1, kind="stable")[:, :k]]
