@@ -13,8 +13,9 @@ COCO_SCHEMA = "images array<struct<id:long,file_name:string,height:int,width:int
 
 
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
-    """Annotation XML files; all leaves stay strings."""
-    return spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(path)
+    """Annotation XML files; all leaves stay strings. image_id is the file name without its extension, null where an annotation names no file."""
+    rows = spark.read.format("xml").option("rowTag", "annotation").schema(VOC_SCHEMA).load(path)
+    return rows.withColumn("image_id", F.regexp_replace("filename", r"\.[^.]*$", ""))
 
 
 def read_coco(spark: SparkSession, path: str) -> DataFrame:

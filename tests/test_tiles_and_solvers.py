@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridspectra.operators import cluster, crf, graph, lanczos, masks, neighbours, spectral, tiles
 from gridspectra.plans import entries
+from gridspectra.sources import annotations as sources
 
 
 def features(spark, counts, d=5, seed=1):
@@ -260,3 +261,14 @@ def test_extraction_takes_up_what_is_there(spark, tmp_path, monkeypatch):
     assert entries.Extraction(n_regions=5).name() != config.name()
     with pytest.raises(ValueError, match="no images"):
         entries.extract_to(f.limit(0), path)
+
+
+# ---- annotations
+
+
+def test_annotations_name_their_images(spark, tmp_path):
+    box = "<object><name>cat</name><truncated>0</truncated><difficult>0</difficult><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object>"
+    for k, name in enumerate(("<filename>2007_000027.jpg</filename>", "<filename>a.b.png</filename>", "")):
+        (tmp_path / f"{k}.xml").write_text(f"<annotation>{name}{box}</annotation>")
+    got = sources.voc_boxes(sources.read_voc(spark, str(tmp_path))).collect()
+    assert {r.image_id for r in got} == {"2007_000027", "a.b", None} and {tuple(r)[1:] for r in got} == {("cat", 0, 1, 3, 4)}
