@@ -1,8 +1,9 @@
-"""Functions for SQL users: expressions that the planner inlines, not Python."""
+"""Functions for SQL users: expressions that the planner inlines, and table functions for lateral joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 _BOX = "ax1 double, ay1 double, ax2 double, ay2 double, bx1 double, by1 double, bx2 double, by2 double"
 _TALL = "ay2 - ay1 + 1e-7d", "by2 - by1 + 1e-7d"
@@ -18,6 +19,47 @@ FUNCTIONS = {
 }
 
 
+@udtf(returnType="r int, c int")
+class GridCells:
+    """Cells of the patches of p that an image of h x w holds whole; none for null sizes."""
+
+    def eval(self, h: int, w: int, p: int):
+        if h is not None and w is not None and p:
+            for r in range(h // p):
+                for c in range(w // p):
+                    yield r, c
+
+
+@udtf(returnType="k int, threshold double")
+class CurveThresholds:
+    """The n + 1 thresholds of a curve, from 0 to 1."""
+
+    def eval(self, n: int):
+        for k in range((n or 0) + 1 if n is not None else 0):
+            yield k, k / n if n else 0.0
+
+
+@udtf(returnType="dr int, dc int")
+class WindowOffsets:
+    """Steps to the cells of a window around a cell, itself included."""
+
+    def eval(self, radius: int):
+        for dr in range(-radius, radius + 1) if radius is not None else ():
+            for dc in range(-radius, radius + 1):
+                yield dr, dc
+
+
+#: For lateral joins in SQL, whose arguments may be columns; SQL's own table functions may not read those in generators.
+TABLES = {"grid_cells": GridCells, "curve_thresholds": CurveThresholds, "window_offsets": WindowOffsets}
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Make the table functions known to the session's SQL; returns their names."""
+    for name, table in TABLES.items():
+        spark.udtf.register(name, table)
+    return sorted(TABLES)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to the session's SQL; returns their names."""
     for name, (parameters, result, body) in FUNCTIONS.items():

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridspectra.functions import sql
 from gridspectra.operators import cluster, crf, graph, lanczos, masks, neighbours, spectral, tiles
 from gridspectra.plans import entries
 from gridspectra.sources import annotations as sources
@@ -272,3 +273,16 @@ def test_annotations_name_their_images(spark, tmp_path):
         (tmp_path / f"{k}.xml").write_text(f"<annotation>{name}{box}</annotation>")
     got = sources.voc_boxes(sources.read_voc(spark, str(tmp_path))).collect()
     assert {r.image_id for r in got} == {"2007_000027", "a.b", None} and {tuple(r)[1:] for r in got} == {("cat", 0, 1, 3, 4)}
+
+
+# ---- table functions
+
+
+def test_table_functions(spark):
+    assert sql.register_tables(spark) == ["curve_thresholds", "grid_cells", "window_offsets"]
+    spark.createDataFrame([(1, 33, 50, 16), (2, 15, 40, 16), (3, 16, 16, 8)], "id int, h int, w int, p int").createOrReplaceTempView("sizes")
+    got = {tuple(r) for r in spark.sql("select id, r, c from sizes, lateral grid_cells(h, w, p)").collect()}
+    assert got == {(i, r, c) for i, h, w, p in ((1, 33, 50, 16), (2, 15, 40, 16), (3, 16, 16, 8)) for r in range(h // p) for c in range(w // p)}
+    assert [tuple(r) for r in spark.sql("select * from curve_thresholds(4) order by k").collect()] == [(k, k / 4) for k in range(5)]
+    assert sorted(tuple(r) for r in spark.sql("select * from window_offsets(1)").collect()) == [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    assert spark.sql("select * from values (cast(null as int)) as t(h), lateral grid_cells(h, h, 4)").count() == 0
