@@ -510,7 +510,7 @@ def test_mixing(spark):
 def test_mixing_of_clashing_columns(spark):
     from pyspark.sql import functions as F
 
-    names = ["copy", "place", "steps", "rate", "lowest", "weight", "mix_u", "mix_at", "mix_times", "mix_source", "mix_lowest", "mix_steps", "mix_salt"]
+    names = ["copy", "place", "steps", "rate", "lowest", "weight", "mix_u", "mix_at", "mix_times", "mix_source", "mix_lowest", "mix_steps", "mix_salt", "mass", "mix_rate", "mix_mass", "mix_block"]
     docs = frame(spark, EDGES)
     want = mixing.replicate(docs)
     got = mixing.replicate(docs.withColumns({n: F.lit(f"mine {n}") for n in names}))
@@ -519,12 +519,30 @@ def test_mixing_of_clashing_columns(spark):
     assert all(r[n] == f"mine {n}" for r in got.collect() for n in names)
 
 
-def test_poisson_steps(spark):
-    import math
+def counts_at(spark, rate, us):
+    one = spark.createDataFrame([(u,) for u in us], "u double").withColumn("rate", F.lit(float(rate))).withColumn("mass", mixing.mass(F.col("rate")))
+    return [r.n for r in one.select(mixing.times_at(F.col("u"), F.col("rate"), F.col("mass")).alias("n")).collect()]
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 4.0, 60.0, 166.0, 200.0, 700.0, 745.5, 1000.0, 10000.0])
+def test_poisson_counts(spark, rate):
+    """The inverse at even steps, and at both ends of what 52 bits can say."""
+    import bisect
+
+    us = [i / 997 for i in range(1, 997)] + [2.0**-52, 1e-12, 1 - 1e-9]
+    want = poisson(rate)
+    assert counts_at(spark, rate, us) == [bisect.bisect_right(want, u) for u in us]
+    assert counts_at(spark, rate, [1 - 2.0**-52])[0] <= rate + 12 * rate**0.5 + 13
+
 
-    for rate in (0.0, 0.3, 4.0, 60.0):
-        got = spark.range(1).select(mixing.steps(F.lit(rate)).alias("s")).collect()[0].s
-        assert np.allclose(got[:20], np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(len(got))])[:20]) and abs(got[-1] - 1) < 1e-9
+def test_poisson_counts_of_huge_rates(spark):
+    """At 3 x 10^8 the distribution is normal but for a skewness of 6 x 10^-5."""
+    from statistics import NormalDist
+
+    rate, us = 3e8, [0.001, 0.1, 0.5, 0.9, 0.999]
+    for u, n in zip(us, counts_at(spark, rate, us)):
+        z = NormalDist().inv_cdf(u)
+        assert abs(n - (rate + rate**0.5 * z + (z * z - 1) / 6)) < 3
 
 
 def poisson(rate):
@@ -540,14 +558,6 @@ def poisson(rate):
         return out
 
 
-@pytest.mark.parametrize("rate", [0.5, 700.0, 745.5, 1000.0, 10000.0])
-def test_poisson_steps_of_high_rates(spark, rate):
-    low, got = spark.range(1).select(mixing.lowest(F.lit(rate)), mixing.steps(F.lit(rate))).collect()[0]
-    want = poisson(rate)
-    assert low == 0 or want[low - 1] < 2**-60
-    assert all(abs(x - float(y)) < 1e-12 for x, y in zip(got, want[low:])) and got[-1] == 1
-
-
 @pytest.mark.parametrize("rate", [746, 1000, 10000])
 def test_rare_source_is_drawn(spark, rate):
     import bisect
@@ -560,6 +570,30 @@ def test_rare_source_is_drawn(spark, rate):
     assert got == {i: bisect.bisect_right(want, u(i)) for i in range(20)} and len(set(got.values())) > 10
 
 
+def test_copies_in_blocks(spark, monkeypatch):
+    """Blocks change who makes the copies, not which are made."""
+    docs = spark.createDataFrame([(i, f"t{i}", None, "rare" if i == 3 else "src0", 1, 1, "h") for i in range(60)] + [(None, None, None, None, 1, 1, "h")], DOC)
+    rows = lambda: sorted(map(str, mixing.replicate(docs, {"src0": 0.2, "rare": 0.5}, 0.3, total=900).collect()))
+    want = rows()
+    assert len(want) > 700
+    for block in (1, 7, 100):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        assert rows() == want
+
+
+def test_mixing_sql_with_a_rare_source(spark, tmp_path):
+    """One row of src0 among 30,000 has a rate of some 9,000; the twin draws the same copies, null sources and texts too."""
+    import duckdb
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("t"), "id")).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") == 7, "src0").when(F.col("id") % 3 == 0, "src1").alias("source"), F.lit(2).cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = mixing.op8_source_mixing(spark, str(tmp_path)).toPandas()
+    assert (got["source"] == "src0").sum() > 8000
+    same(got, c.sql(mixing.SQL).df())
+
+
 # ---- 9
 
 
