@@ -9,7 +9,7 @@ keep the smallest id, and what remains is rendered. Only DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
@@ -17,14 +17,21 @@ from .shared import table, written
 START, END = "<|im_start|>", "<|im_end|>"
 
 
-def chain(turns: Column) -> Column:
-    """Hashes of the prefixes of `turns`, array<struct<.., role, text>>, shortest first."""
-    step = lambda t: F.concat_ws("\x1f", F.length(t["role"]).cast("string"), t["role"], t["text"])
-    return F.aggregate(
-        turns,
-        F.array().cast("array<string>"),
-        lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit("")), step(t)), 256))),
-    )
+#: Parts of a prefix hash and hex digits of each: 240 bits, whose sums over 10^19 turns a decimal still holds.
+PARTS, DIGITS = 4, 15
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """`turns` (conv_id, place, role, text; place from 0) with `hash`, of the turns up to and with this one.
+
+    A turn's digest covers its place, and the digests up to a turn are summed, part by part, so that one running sum in the order of turns
+    gives all prefixes of a conversation of any length. Two prefixes are equal if they have as many turns and equal sums.
+    """
+    said = F.sha2(F.concat_ws("\x1f", F.col("place").cast("string"), F.length("role").cast("string"), F.col("role"), F.col("text")), 256)
+    upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = lambda i: F.conv(F.substring("digest", 1 + DIGITS * i, DIGITS), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(part(i)).over(upto).cast("string") for i in range(PARTS)]
+    return turns.withColumn("digest", said).withColumn("hash", F.concat_ws(":", (F.col("place") + 1).cast("string"), *sums)).drop("digest")
 
 
 def conversations_of(log: DataFrame) -> DataFrame:
@@ -43,11 +50,12 @@ def collapse(log: DataFrame) -> DataFrame:
     `copies` counts the conversations with just these turns; `text` is rendered with START and END marks.
     An empty log gives no rows; other columns of `log` are not looked at.
     """
-    convs = written(conversations_of(log).select("conv_id", "turns", chain(F.col("turns")).alias("chain")))
-    whole = F.element_at("chain", -1)
-    distinct = convs.groupBy(whole.alias("hash")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    prefixes = convs.select(F.explode(F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("hash")).distinct()
-    maximal = distinct.join(prefixes, "hash", "left_anti").select("conv_id", "copies")
+    convs = written(conversations_of(log))
+    turns = convs.select("conv_id", F.size("turns").alias("n"), F.posexplode("turns").alias("place", "t")).select("conv_id", "n", "place", "t.role", "t.text")
+    hashes = written(prefixes(turns).select("conv_id", "hash", (F.col("place") + 1 == F.col("n")).alias("whole")))
+    distinct = hashes.where("whole").groupBy("hash").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    # a first turn that half of all conversations share comes from each task once
+    maximal = distinct.join(hashes.where("not whole").select("hash").distinct(), "hash", "left_anti").select("conv_id", "copies")
     shown = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))), "\n")
     return (
         convs.alias("c")

@@ -350,6 +350,15 @@ def test_top_k_of_all_sizes(spark):
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()} == want and len(held) > 2
 
 
+def test_queries_of_one_id(spark):
+    """Each vector of an id is a query with its own list; equal rows are one query."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25]), (2, [0.0, 0.25]), (3, [0.25, 0.125])]
+    got = collections.Counter(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()))
+    first = [(50, 1, 1, 32768), (50, 2, 3, 16384), (50, 3, 2, 0)]
+    second = [(50, 1, 2, 16384), (50, 2, 2, 16384), (50, 3, 3, 8192)]
+    assert got == collections.Counter(first + second)
+
+
 # ---- 6
 
 
@@ -758,6 +767,17 @@ def test_chat(spark):
     assert chat.collapse(log.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Snapshots of a conversation of thousands of turns, some turned at the last or with two turns exchanged."""
+    rows = [(c, i, "user" if i % 2 else "assistant", "same" if i % 5 else f"t{i}") for c, n in ((1, 6000), (2, 5999), (3, 6000), (4, 1), (5, 0)) for i in range(n)]
+    rows += [(6, i, r, t) for _, i, r, t in [(0, 0, "assistant", "t0"), (0, 1, "assistant", "same"), (0, 2, "user", "same")]]
+    rows += [(7, i, r, t) for _, i, r, t in [(0, 0, "assistant", "t0"), (0, 1, "user", "same"), (0, 2, "assistant", "same"), (0, 3, "user", "same"), (0, 4, "assistant", "other")]]
+    # role and text shifted against each other
+    rows += [(8, 0, "a", "bc"), (9, 0, "ab", "c"), (10, 0, "a\x1fb", "c"), (11, 0, "a", "b\x1fc")]
+    got = chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.n_turns, r.copies) for r in got} == plain_chat(rows)
+
+
 # ---- shared
 
 
