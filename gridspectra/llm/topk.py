@@ -97,9 +97,12 @@ def _histograms(group, n, lo, width, step):
     return run
 
 
-def _reaching(group, kth, k):
+def _reaching(group, first, kth, k):
+    """What reaches the kth value, by number of query; the group's numbers start at `first`."""
+
     def run(batches):
-        best: dict[int, list[tuple[int, int]]] = {}
+        best: dict[int, list[tuple[int, int]]] = {}  # by number: an id may have several queries
+        names: dict[int, int] = {}
         for batch in batches:
             for ids, m in _matrices(batch):
                 for own_ids, at, s in _meetings(group, m):
@@ -108,12 +111,12 @@ def _reaching(group, kth, k):
                         j = np.flatnonzero(hit[i])
                         if s.dtype != object and len(j) > k:  # of many ties only the first can stay
                             j = j[np.lexsort((ids[j], -s[i, j]))[:k]]
-                        found = best.get(own_ids[i], []) + [(-int(x), int(v)) for x, v in zip(s[i, j], ids[j])]
-                        best[own_ids[i]] = sorted(found)[:k]
+                        found = best.get(at[i], []) + [(-int(x), int(v)) for x, v in zip(s[i, j], ids[j])]
+                        best[at[i]], names[at[i]] = sorted(found)[:k], own_ids[i]
         rows = [(int(q), v, -s) for q, found in best.items() for s, v in found]
         # no long holds it; a very negative one is only kept where a query has few candidates in this task
         rows = [(q, v, s if s < 2**63 else None) for q, v, s in rows]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([None if r[2] is None else max(r[2], -(2**63)) for r in rows], pa.int64()), "beyond": pa.array([r[2] is None or r[2] < -(2**63) for r in rows], pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"query": pa.array([first + r[0] for r in rows], pa.int64()), "query_id": pa.array([names[r[0]] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "score": pa.array([None if r[2] is None else max(r[2], -(2**63)) for r in rows], pa.int64()), "beyond": pa.array([r[2] is None or r[2] < -(2**63) for r in rows], pa.bool_())})
 
     return run
 
@@ -146,7 +149,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5) -> D
 
     `vectors` has vec_id and embedding; `queries` are rows of the same kind, by default those whose
     vec_id is divisible by 50. Only vectors of equal length meet; a row with the query's id is the query's own.
-    Equal scores go to smaller ids; repeated ids count as rows of their own. Without candidates a query has no rows.
+    Equal scores go to smaller ids; repeated ids count as rows of their own: several vectors of one id are as many
+    queries, each with its own list under that id (equal rows are one query). Without candidates a query has no rows.
     Components may be of any finite size; a score among the best that no long holds raises an error.
     """
     spark = vectors.sparkSession
@@ -155,7 +159,8 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5) -> D
     largest, size = candidates.agg(F.max(F.coalesce(F.array_max(F.transform("x", lambda v: F.abs(v))), F.lit(0.0))), F.max(F.size("x"))).first()
     scaled = lambda x: (int(x) + 1) * SCALE
     n_groups = -(-asked.count() // GROUP)
-    parts = [spark.createDataFrame([], "query_id long, vec_id long, score long, beyond boolean")]
+    parts = [spark.createDataFrame([], "query long, query_id long, vec_id long, score long, beyond boolean")]
+    asked_before = 0
     for g in range(n_groups):
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)) == g).toArrow()
         if not part.num_rows:
@@ -169,10 +174,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 5) -> D
         bound = min(CLAMP, max(1, most * scaled(largest or 0.0) * max(1, size or 1)))
         group = spark.sparkContext.broadcast(by_size)
         kth = _kth(spark, candidates, group, bound, n, k)
-        parts.append(written(candidates.mapInArrow(_reaching(group, kth, k), parts[0].schema)))
+        parts.append(written(candidates.mapInArrow(_reaching(group, asked_before, kth, k), parts[0].schema)))
+        asked_before += n
         group.unpersist()
     out = reduce(DataFrame.union, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc_nulls_first("score"), "vec_id")
     best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     held = F.when(F.col("beyond"), F.raise_error(F.lit("a score among the best is beyond 64 bits")).cast("long")).otherwise(F.col("score"))
     return best.select("query_id", "rank", "vec_id", held.alias("score"))
