@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspectra.functions.boxes import from_corner
 from gridspectra.functions.names import coco_number
+from gridspectra.sources.files import write_json
 
 VOC_SCHEMA = "filename string, object array<struct<name:string,truncated:string,difficult:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
 COCO_SCHEMA = "images array<struct<id:long,file_name:string,height:int,width:int>>, annotations array<struct<id:long,image_id:long,iscrowd:int,category_id:int,bbox:array<double>>>, categories array<struct<id:int,name:string>>"
@@ -52,6 +53,26 @@ def coco_subset(names: DataFrame, annotations: DataFrame) -> DataFrame:
     return wanted.join(lists, "image_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(lists.schema["boxes"].dataType)))
 
 
+def coco_selection(names: DataFrame, coco: DataFrame) -> dict[str, DataFrame]:
+    """The parts of a whole COCO file (COCO_SCHEMA) for the listed images (place, name): images and annotations, each with the place of
+    its image in the list, and all categories. An image that is listed twice is there twice, as in the list; one that the file lacks has no rows.
+    """
+    wanted = names.select("place", coco_number(F.col("name")).alias("image_id"))
+    images = coco.select(F.inline("images")).withColumnRenamed("id", "image_id")
+    return {
+        "images": wanted.join(images, "image_id").select("place", F.col("image_id").alias("id"), "file_name", "height", "width"),
+        "annotations": wanted.join(coco.select(F.inline("annotations")), "image_id").select("place", "id", "image_id", "iscrowd", "category_id", "bbox"),
+        "categories": coco.select(F.inline("categories")),
+    }
+
+
+def write_coco_selection(parts: dict[str, DataFrame], path: str) -> None:
+    """Each part as a folder of JSON lines below `path`, in the order of the list; annotations of an image go by id."""
+    for name, part in parts.items():
+        ordered = part.orderBy("place", "id").drop("place") if "place" in part.columns else part.orderBy("id")
+        write_json(ordered, f"{path.rstrip('/')}/{name}")
+
+
 GT = {"VOC07": voc_boxes, "VOC12": voc_boxes, "COCO20k": coco_boxes}
 
 

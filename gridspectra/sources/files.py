@@ -14,11 +14,46 @@ from pyspark.sql import functions as F
 from gridspectra.functions.names import stem
 
 
+#: Rows of a PNG file whose filters are undone together.
+BAND = 512
+#: Extensions by which a folder of images is known.
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".ppm", ".bmp", ".pgm", ".tif", ".tiff", ".webp")
+
+
 def names(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines of a list file, distinct and sorted."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''").distinct().orderBy("name")
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a list file in its order, repeated ones too: place (from 0), name. A list is one row while it is read, so it must fit one."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("place", "name"))
+    return text.where("name <> ''")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def paths(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder, or the entries of a list file: place, path. Lists keep their order by place; files of a folder have none and go by path."""
+    store, at = _hadoop(spark, path)
+    if not store.exists(at):
+        raise ValueError(f"neither folder nor list: {path}")
+    if store.getFileStatus(at).isDirectory():
+        return folder(spark, path).select(F.lit(None).cast("int").alias("place"), "path")
+    return lines(spark, path).select("place", F.col("name").alias("path"))
+
+
+def image_folder(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """Files of a folder of images, or, where it holds no file of an image extension, of its sub-folders: path, id and, if asked, content."""
+    store, _ = _hadoop(spark, path)
+    flat = any(store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*{e}")) for e in IMAGE_EXTENSIONS)
+    read = spark.read.format("binaryFile").load(path if flat else f"{path.rstrip('/')}/*")
+    return read.select("path", stem(F.col("path")).alias("id"), *(["content"] if content else []))
+
+
 def folder(spark: SparkSession, path: str, pattern: str = "*", content: bool = False) -> DataFrame:
     """Files of a folder, one level or more: path, id (stem) and, if asked, content. Contents are not read otherwise."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -65,28 +100,53 @@ def decode_png(data: bytes) -> np.ndarray:
         raise ValueError("only 8-bit grey or palette PNG without interlace")
     w, h = head[0], head[1]
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, w + 1)
-    out, above = np.zeros((h, w), np.uint8), np.zeros(w, np.int64)
-    for r in range(h):
-        kind, line = raw[r, 0], raw[r, 1:].astype(np.int64)
-        if kind == 1:
-            line = np.cumsum(line)
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            left = corner = 0
-            for c in range(w):
-                up = int(above[c])
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                corner, left = up, (int(line[c]) + guess) & 255
-                line[c] = left
-        out[r] = above = line & 255
+    kinds, left = raw[:, 0], raw[:, 1:]
+    if (kinds > 4).any():
+        raise ValueError("unknown PNG filter")
+    out, above = np.zeros((h, w), np.uint8), np.zeros(w, np.uint8)
+    r = 0
+    while r < h:
+        if kinds[r] < 3:
+            line = np.cumsum(left[r], dtype=np.uint8) if kinds[r] == 1 else left[r] + above if kinds[r] == 2 else left[r]
+            out[r] = above = line
+            r += 1
+        else:
+            many = min(BAND, int(np.argmax(np.append(kinds[r:] < 3, True))))
+            out[r : r + many] = _unfilter(kinds[r : r + many], left[r : r + many], above)
+            above = out[r + many - 1]
+            r += many
     return out
 
 
+def _unfilter(kinds: np.ndarray, differences: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of PNG filters 3 (mean) and 4 (nearest of three). A cell needs those to its left, above it and between, so all cells of one r + c are found at once."""
+    h, w = differences.shape
+    rows = np.arange(h)
+    # slanted[d + 2, r + 1] is the cell (r, d - r); row 0 and what lies left of a line are the cells above and zeros
+    slanted = np.zeros((h + w + 1, h + 1), np.int16)
+    slanted[1 : w + 1, 0] = above
+    given = np.zeros((h + w - 1, h), np.int16)
+    for r in range(h):
+        given[r : r + w, r] = differences[r]
+    for d in range(h + w - 1):
+        a, b, c = slanted[d + 1, 1:], slanted[d + 1, :-1], slanted[d, :-1]
+        p = a + b - c
+        pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+        nearest = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        value = (given[d] + np.where(kinds == 3, (a + b) >> 1, nearest)) & 255
+        slanted[d + 2, 1:] = np.where((rows <= d) & (d < rows + w), value, 0)
+    return np.stack([slanted[r + 2 : r + 2 + w, r + 1] for r in range(h)]).astype(np.uint8)
+
+
+def label_image(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Cells as an 8-bit image; those that are missing are 0."""
+    if len(label) and (label.min() < 0 or label.max() > 255):
+        raise ValueError("labels of a PNG file are 0 to 255")
+    m = np.zeros((r.max() + 1, c.max() + 1), np.uint8)
+    m[r, c] = label
+    return m
+
+
 def encode_png(label: np.ndarray) -> bytes:
     h, w = label.shape
     part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -130,8 +190,7 @@ def png_files(maps: DataFrame) -> DataFrame:
     """Label maps (id, r, c, label) as gray PNG files: id, name, content. One image is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((pdf["r"].max() + 1, pdf["c"].max() + 1), np.uint8)
-        m[pdf["r"], pdf["c"]] = pdf["label"]
+        m = label_image(*(pdf[n].to_numpy() for n in ("r", "c", "label")))
         return pd.DataFrame({"id": pdf["id"].iloc[:1], "name": [f"{pdf['id'].iloc[0]}.png"], "content": [encode_png(m)]})
 
     return maps.groupBy("id").applyInPandas(run, "id string, name string, content binary")
