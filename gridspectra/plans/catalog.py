@@ -15,7 +15,7 @@ from gridspectra.functions import vectors as V
 from gridspectra.operators import cluster, crf, graph, grid, masks, metrics, records, spectral, tiles
 from gridspectra.plans import entries
 from gridspectra.sources import annotations as A
-from gridspectra.sources import files, tables
+from gridspectra.sources import files, label_files, tables
 from gridspectra.sources import fixtures as X
 
 CLASSES, SIDE = 10, X.SIDE
@@ -74,6 +74,35 @@ def _(s, d):
     return r6(metrics.hungarian_match(_ious(s, d), CLASSES), "iou")
 
 
+# clusters 0 and 1 both overlap most with class 0, 2 and 3 with class 2: the best one-to-one matching is another
+_CROSSED = """, crossed as (select pred % 4 as pred, (case pred % 4 when 0 then (r >= 6)::int when 1 then (r >= 7)::int when 2 then 2 + (r >= 8)::int else 2 + (r >= 5)::int end) as target from pix where target <> 255),
+n as (select pred, target, count(*) as n from crossed group by all), np as (select pred, sum(n) as np from n group by 1), nt as (select target, sum(n) as nt from n group by 1),
+iou as (select p::int as pred, t::int as target, coalesce(n, 0) / greatest(coalesce(np, 0) + coalesce(nt, 0) - coalesce(n, 0), 1e-8) as iou
+from range(4) a(p), range(4) b(t) left join n on n.pred = p and n.target = t left join np on np.pred = p left join nt on nt.target = t)"""
+
+
+def _crossed(s, d):
+    pred = F.col("pred") % 4
+    below = lambda r: (F.col("r") >= r).cast("int")
+    target = F.when(pred == 0, below(6)).when(pred == 1, below(7)).when(pred == 2, 2 + below(8)).otherwise(2 + below(5))
+    cells = metrics.valid(X.pix(s, d)).select(pred.alias("pred"), target.alias("target"))
+    return metrics.pair_iou(metrics.contingency(cells), 4, 4)
+
+
+@query("hungarian_crossed", _CROSSED + """, best as (
+select a.target as t0, b.target as t1, c.target as t2, e.target as t3 from iou a, iou b, iou c, iou e
+where a.pred = 0 and b.pred = 1 and c.pred = 2 and e.pred = 3 and b.target <> a.target and c.target not in (a.target, b.target) and e.target not in (a.target, b.target, c.target)
+order by a.iou + b.iou + c.iou + e.iou desc limit 1)
+select pred, target, round(iou, 6) as iou from iou, best where target = case pred when 0 then t0 when 1 then t1 when 2 then t2 else t3 end""")
+def _(s, d):
+    return r6(metrics.hungarian_match(_crossed(s, d), 4), "iou")
+
+
+@query("majority_crossed", _CROSSED + " select pred, target, round(iou, 6) as iou from (select *, row_number() over (partition by pred order by iou desc, target) as k from iou) where k = 1")
+def _(s, d):
+    return r6(metrics.majority_match(_crossed(s, d)), "iou")
+
+
 @query("remap_preds", _MAPPED + " select image_id, r, c, target, pred from mapped")
 def _(s, d):
     return metrics.remap(X.pix(s, d), metrics.majority_match(_ious(s, d))).select("image_id", "r", "c", "target", "pred")
@@ -338,6 +367,24 @@ for _rule in ("subset", "equal", "always"):
         return masks.binarize_255(_lab(s, d), rule)
 
 
+# images of 0 and 255, of 255 alone, with another label, of 0 alone
+_MIXED255 = """, mixed as (select image_id, r, c, (case image_id % 4 when 0 then 255 * ((r + c) % 2) when 1 then 255 when 2 then (case when r = 0 then 7 else 255 * (c % 2) end) else 0 end)::int as label from seg),
+known as (select *, bool_and(label in (0, 255)) over (partition by image_id) as no_others, bool_or(label = 0) over (partition by image_id) and bool_or(label = 255) over (partition by image_id) as two from mixed)"""
+
+
+def _mixed255(s, d):
+    kind, r, c = F.col("image_id") % 4, F.col("r"), F.col("c")
+    label = F.when(kind == 0, 255 * ((r + c) % 2)).when(kind == 1, 255).when(kind == 2, F.when(r == 0, 7).otherwise(255 * (c % 2))).otherwise(0)
+    return X.seg(s, d).select("image_id", "r", "c", label.cast("int").alias("label"))
+
+
+for _rule, _applies in (("subset", "no_others"), ("equal", "no_others and two"), ("always", "true")):
+
+    @query(f"binarize_mixed_{_rule}", _MIXED255 + f" select image_id, r, c, (case when label = 255 and {_applies} then 1 else label end)::int as label from known")
+    def _(s, d, rule=_rule):
+        return masks.binarize_255(_mixed255(s, d), rule)
+
+
 @query("segment_bbox", " select image_id, label, 16 * min(c) as xmin, 16 * min(r) as ymin, 16 * (max(c) + 1) as xmax, 16 * (max(r) + 1) as ymax from blk where label <> 0 group by all")
 def _(s, d):
     return masks.segment_boxes(X.blk(s, d), 16)
@@ -771,6 +818,31 @@ def _(s, d):
     return r6(entries.localize(X.feat(s, d), X.gtb(s, d), _sizes(s, d), k=50), "iou")
 
 
+# boxes that the image's edge cuts are hard; images without others count as missed
+@query("entry_localize_all", "!" + _LOST + _CLIPPED + """, inner_boxes as (select * from gtb where x1 > 0 and y1 > 0 and x2 < 160 and y2 < 160),
+m as (select c.image_id, c.x1, c.y1, c.x2, c.y2, case when g.x1 is null then 0 else greatest(least(c.x2, g.x2) - greatest(c.x1, g.x1), 0)::double * greatest(least(c.y2, g.y2) - greatest(c.y1, g.y1), 0) end as inter,
+(c.x2 - c.x1) * (c.y2 - c.y1 + 1e-7::double) as a1, coalesce((g.x2 - g.x1) * (g.y2 - g.y1 + 1e-7::double), 0) as a2 from clipped c left join inner_boxes g using (image_id))
+select image_id, x1, y1, x2, y2, round(max(inter / (a1 + a2 - inter + 1e-7::double)), 6) as iou, max(inter / (a1 + a2 - inter + 1e-7::double)) >= 0.5 as hit from m group by all""")
+def _(s, d):
+    whole = F.expr("x1 > 0 and y1 > 0 and x2 < 160 and y2 < 160")
+    return r6(entries.localize(X.feat(s, d), X.gtb(s, d).where(whole), _sizes(s, d), k=50, no_hard=False), "iou")
+
+
+@query("label_files", " select image_id::varchar as id, r, c, label from seg")
+def _(s, d):
+    path = tables.shared_dir(s)
+    label_files.write_label_maps(X.seg(s, d).withColumnRenamed("image_id", "id"), path)
+    return label_files.read_label_maps(s, path)
+
+
+@query("grid_cells_sql", " select image_id, r::int as r, c::int as c from (select image_id, 96 + label_sum % 64 as h, 96 + label_sum % 48 as w from (select image_id, sum(label)::int as label_sum from feat group by 1)), lateral (select unnest(range(h // 16)) as r) a, lateral (select unnest(range(w // 16)) as c) b")
+def _(s, d):
+    functions.register_tables(s)
+    sums = X.feat(s, d).groupBy("image_id").agg(F.sum("label").alias("n"))
+    sums.selectExpr("image_id", "cast(96 + n % 64 as int) h", "cast(96 + n % 48 as int) w").createOrReplaceTempView("grid_of_images")
+    return s.sql("select image_id, r, c from grid_of_images, lateral grid_cells(h, w, 16)")
+
+
 @query("entry_extract")
 def _(s, d):
     return entries.extract(X.feat(s, d), n_clusters=5)["maps"]

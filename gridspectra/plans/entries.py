@@ -113,21 +113,34 @@ def extract_to(features: DataFrame, path: str, config: Extraction | None = None)
     return {"eigens": eigens, "regions": regions, "boxes": found, "features": inside, "clusters": clusters, "maps": maps}
 
 
-def localize(features: DataFrame, truth: DataFrame, images: DataFrame, method: str = "lost", k: int = 100, side: int = 10, scale: int = 16) -> DataFrame:
+#: Which eigenvector of a matrix tells the object from the ground, counted from 0.
+OBJECT_VECTOR = {"laplacian": 1, "matting_laplacian": 1, "affinity": 0}
+
+
+def localize(features: DataFrame | None, truth: DataFrame, images: DataFrame, method: str = "lost", k: int = 100, side: int = 10, scale: int = 16, which: str = "laplacian", eigens: DataFrame | None = None, attention: DataFrame | None = None, keep: float = 0.6, no_hard: bool = True) -> DataFrame:
     """One box an image against its true boxes (image_id, x1, y1, x2, y2): image_id, x1, y1, x2, y2, iou (the best), hit.
 
-    method: lost, or eigen (the second eigenvector above 0). Images without true boxes are left out; boxes are clipped to `images` (image_id, h, w).
+    method: lost; eigen (the cells above 0 of the vector of `which` in OBJECT_VECTOR, taken from the stored table `eigens` where that is given, found from `features`
+    otherwise); or attention (the cells that hold most of `attention`, image_id, patch, r, c, w). Boxes are clipped to `images` (image_id, h, w).
+    Images without true boxes are left out with `no_hard`; otherwise they count as misses of overlap 0.
     """
     if method == "lost":
         found = spectral.lost_box(features, k, scale, side, images)
     elif method == "eigen":
-        cells = spectral.single_region(spectral.eigen(features, "laplacian", 2), side=side)
+        if which not in OBJECT_VECTOR:
+            raise ValueError(f"no such matrix: {which}")
+        at = OBJECT_VECTOR[which]
+        cells = spectral.single_region(spectral.eigen(features, which, at + 1) if eigens is None else eigens, k=at, side=side)
         found = masks.to_image(spectral.mask_box(cells, 1), images, scale=scale)
+    elif method == "attention":
+        if attention is None:
+            raise ValueError("the method attention needs a table of attention")
+        found = masks.to_image(spectral.attention_box(attention, keep, 1), images, scale=scale)
     else:
         raise ValueError(f"no such method: {method}")
     true = truth.select("image_id", *[F.col(c).alias(f"g_{c}") for c in ("x1", "y1", "x2", "y2")])
-    each = found.join(true, "image_id").withColumn("overlap", B.iou(B.columns(), B.columns("g_")))
-    best = each.groupBy("image_id", "x1", "y1", "x2", "y2").agg(F.max("overlap").alias("iou"))
+    each = found.join(true, "image_id", "inner" if no_hard else "left").withColumn("overlap", B.iou(B.columns(), B.columns("g_")))
+    best = each.groupBy("image_id", "x1", "y1", "x2", "y2").agg(F.coalesce(F.max("overlap"), F.lit(0.0)).alias("iou"))
     return best.withColumn("hit", F.col("iou") >= 0.5)
 
 

@@ -5,11 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from gridspectra.functions import boxes, names
 from gridspectra.operators import cluster, graph, grid, masks, metrics, spectral
-from gridspectra.sources import annotations, files, images
+from gridspectra.plans import entries
+from gridspectra.sources import annotations, files, fixtures, images
 from gridspectra.streaming import pixels
 
 
@@ -266,6 +268,24 @@ def test_localization_by_eigenvector(spark):
     assert rate.images == 5 and 0 <= rate.corloc <= 100
 
 
+def test_localization_by_stored_vectors_and_attention(spark):
+    feats = fixtures.feat(spark, f"{DATA}/sf0.001")
+    sizes = feats.select("image_id").distinct().selectExpr("image_id", "150 as h", "155 as w")
+    truth = sizes.selectExpr("image_id", "0 as x1", "0 as y1", "80 as x2", "80 as y2")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for which, n in (("affinity", 1), ("laplacian", 2)):
+        own = rows(entries.localize(feats, truth, sizes, "eigen", which=which))
+        assert own and own == rows(entries.localize(None, truth, sizes, "eigen", which=which, eigens=spectral.eigen(feats, which, n)))
+    attention = fixtures.att(spark, f"{DATA}/sf0.001")
+    got = entries.localize(None, truth, sizes, "attention", attention=attention)
+    boxes = masks.to_image(spectral.attention_box(attention, 0.6, 1), sizes, scale=16)
+    assert rows(got.select("image_id", "x1", "y1", "x2", "y2")) == rows(boxes.select("image_id", "x1", "y1", "x2", "y2"))
+    assert entries.localize(feats, truth.limit(0), sizes).count() == 0
+    assert {(r.iou, r.hit) for r in entries.localize(feats, truth.limit(0), sizes, no_hard=False).collect()} == {(0.0, False)}
+    with pytest.raises(ValueError, match="matrix"):
+        entries.localize(feats, truth, sizes, "eigen", which="x")
+
+
 def test_inferred_patch_of_a_mask_box(spark):
     from gridspectra.operators import spectral
 
