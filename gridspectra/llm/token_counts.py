@@ -10,7 +10,8 @@ entry state and can be run once more for its marks.
 The second reads the bytes of a pre-token and annotates each transition with the number of tokens it
 emits. A state holds, for every suffix that may still grow into a token, the last token before that suffix
 and the count there: the last token of each prefix is the one whose pair with its forerunner is stable
-under merging. States and transitions are compiled when first met and kept.
+under merging. States and transitions are compiled when first met and kept in tables, by which many pre-tokens
+are read at once. Long ones are cut into chunks, whose state maps carry counts and are composed by a prefix scan too.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .shared import released, table
 
 LIMIT = 1024
 #: Characters in a chunk; kept words, their bytes and kept states, beyond which a worker forgets and starts again.
-CHUNK, MOST_WORDS, MOST_BYTES, MOST_STATES = 256, 1 << 20, 1 << 25, 1 << 17
+CHUNK, MOST_WORDS, MOST_BYTES, MOST_STATES = 256, 1 << 20, 1 << 25, 1 << 15
+#: Bytes in a chunk of a long pre-token; bytes of pre-tokens read at once.
+STRETCH, GROUP = 64, 1 << 18
 
 # Classes of characters.
 LETTER, STMD, R, E, V, L, NUMBER, OTHER, QUOTE, BLANK, SPACE, END = range(12)
@@ -131,7 +134,11 @@ def pretoken_marks(cls: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """The second transducer: counts the tokens of pre-tokens."""
+    """The second transducer: counts the tokens of pre-tokens.
+
+    Its states are not known beforehand, so a chunk's map holds only the first one and those that its forerunner's
+    map leads to. Maps carry counts and are composed like those of the first transducer.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -148,12 +155,16 @@ class Counter:
                 at = to
             self.token[at] = name
         self.stable: dict[tuple[str, str], bool] = {}
-        self.reset()
+        self.forget()
 
-    def reset(self) -> None:
-        self.states: list[tuple] = [((0, "", 0),)]
-        self.number = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, int]] = {}
+    def forget(self, kept: int | None = None) -> int:
+        """Drops all states but the first and `kept`, whose new number it returns."""
+        first = ((0, "", 0),)
+        here = first if kept is None else self.states[kept]
+        self.states: list[tuple] = list(dict.fromkeys((first, here)))
+        self.number = {x: i for i, x in enumerate(self.states)}
+        self.to, self.emits = np.full((1 << 10, 256), -1, np.int32), np.zeros((1 << 10, 256), np.int32)
+        return self.number[here]
 
     def pair(self, a: str, b: str) -> bool:
         """Whether merging leaves the tokens a, b beside each other as they are."""
@@ -163,8 +174,8 @@ class Counter:
             known = self.stable[a, b] = self.vocabulary.merge(list(a + b)) == ([a, b] if a else [b])
         return known
 
-    def compile(self, s: int, byte: int) -> tuple[int, int]:
-        """The transition of state s at a byte: its target and the tokens it emits."""
+    def compile(self, s: int, byte: int) -> None:
+        """Sets the transition of state s at a byte: its target and the tokens it emits."""
         grown = [(to, last, count) for node, last, count in self.states[s] if (to := self.child.get((node, byte))) is not None]
         for node, last, count in grown:
             if (t := self.token.get(node)) is not None and self.pair(last, t):
@@ -176,24 +187,92 @@ class Counter:
         if (number := self.number.get(to)) is None:
             number = self.number[to] = len(self.states)
             self.states.append(to)
-        out = self.next[s << 8 | byte] = (number, emitted)
+            if number == len(self.to):
+                self.to = np.concatenate((self.to, np.full_like(self.to, -1)))
+                self.emits = np.concatenate((self.emits, np.zeros_like(self.emits)))
+        self.to[s, byte], self.emits[s, byte] = number, emitted
+
+    def run(self, data: np.ndarray, at: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where stretches of bytes lead, each from its own state, and the tokens emitted; all are read side by side."""
+        by = np.argsort(-lengths, kind="stable")
+        at, state, total = at[by], states[by].astype(np.int64), np.zeros(len(at), np.int64)
+        live = np.searchsorted(-lengths[by], -np.arange(lengths.max(initial=0)), side="left")
+        for k, n in enumerate(live.tolist()):
+            s, byte = state[:n], data[at[:n] + k].astype(np.int64)
+            to = self.to[s, byte]
+            if len(new := np.flatnonzero(to < 0)):
+                for key in np.unique(s[new] << 8 | byte[new]).tolist():
+                    self.compile(key >> 8, key & 255)
+                to = self.to[s, byte]
+            total[:n] += self.emits[s, byte]
+            state[:n] = to
+        out, tokens = np.empty_like(state), np.empty_like(total)
+        out[by], tokens[by] = state, total
+        return out, tokens
+
+    def composed(self, data: np.ndarray, at: np.ndarray, lengths: np.ndarray, follows: np.ndarray, entry: int) -> tuple[int, np.ndarray]:
+        """The state after the last chunk and the tokens up to the end of each; a chunk that does not follow another one begins a word.
+
+        `entry` is the state before the first chunk. Maps grow until every state that a chunk leads to is in the map of the
+        chunk behind it. A chunk that has been asked r times has r states there, and only few can end at one byte, so rounds are few.
+        """
+        m = len(at)
+        none = np.zeros(0, np.int64)
+        key, exits, tokens = none, none, none  # chunk and state before it, state behind it, tokens
+        asked = np.arange(m) << 32
+        asked[0] |= entry
+        while len(asked):
+            chunk = asked >> 32
+            to, n = self.run(data, at[chunk], lengths[chunk], asked & 0xFFFFFFFF)
+            key, exits, tokens = np.concatenate((key, asked)), np.concatenate((exits, to)), np.concatenate((tokens, n))
+            order = np.argsort(key)
+            key, exits, tokens = key[order], exits[order], tokens[order]
+            on = (chunk < m - 1) & follows[np.minimum(chunk + 1, m - 1)]
+            asked = np.setdiff1d(chunk[on] + 1 << 32 | to[on], key)
+        chunk = key >> 32
+        first = np.searchsorted(chunk, np.arange(m))
+        slot = np.arange(len(key)) - first[chunk]
+        # a chunk's map by slots: the slot of the chunk behind it, the first one (nothing read) where a word ends
+        behind = np.where((chunk < m - 1) & follows[np.minimum(chunk + 1, m - 1)], exits, 0)
+        to = np.searchsorted(key, chunk + 1 << 32 | behind) - first[np.minimum(chunk + 1, m - 1)]
+        maps, counts = np.zeros((2, int(slot.max()) + 1, m), np.int64)
+        maps[slot, chunk], counts[slot, chunk] = np.where(chunk < m - 1, to, slot), tokens
+        leads = exits[first[-1] :]
+        reach = 1
+        while reach < m:  # after this step a column maps a slot of the chunk 2 * reach - 1 before to what is behind its own
+            before = maps[:, :-reach].copy()
+            counts[:, reach:] = counts[:, :-reach] + np.take_along_axis(counts[:, reach:], before, axis=0)
+            # the last map keeps the slot it was entered by
+            maps[:, reach:] = np.take_along_axis(maps[:, reach:], before, axis=0)
+            reach *= 2
+        start = int(np.searchsorted(key, entry))
+        return int(leads[maps[start, -1]]), counts[start]
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The tokens of each word. Words of one chunk are read side by side; longer ones, in groups of chunks, by composed maps."""
+        out = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(lengths <= STRETCH)
+        ends = np.concatenate(([0], np.cumsum(lengths[short])))
+        for i, j in slices(ends, GROUP):
+            if len(self.states) > MOST_STATES:
+                self.forget()
+            own = short[i:j]
+            out[own] = self.run(data, starts[own], lengths[own], np.zeros(j - i, np.int64))[1]
+        long = np.flatnonzero(lengths > STRETCH)
+        chunks = -(-lengths[long] // STRETCH)
+        word = np.repeat(long, chunks)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        at, size = starts[word] + nth * STRETCH, np.minimum(STRETCH, lengths[word] - nth * STRETCH)
+        state = 0
+        for i in range(0, len(word), GROUP // STRETCH):
+            j = min(i + GROUP // STRETCH, len(word))
+            state = state if nth[i] else 0  # a word may go on from the group before
+            if len(self.states) > MOST_STATES:
+                state = self.forget(state)
+            state, upto = self.composed(data, at[i:j], size[i:j], nth[i:j] > 0, state)
+            np.add.at(out, word[i:j], np.diff(upto, prepend=0))
         return out
 
-    def count(self, word: bytes) -> int:
-        s = total = 0
-        for byte in word:
-            if (step := self.next.get(s << 8 | byte)) is None:
-                if len(self.states) > MOST_STATES:  # forget all but the state the word is in
-                    here = self.states[s]
-                    self.reset()
-                    if (s := self.number.get(here, -1)) < 0:
-                        s = self.number[here] = len(self.states)
-                        self.states.append(here)
-                step = self.compile(s, byte)
-            s, emitted = step
-            total += emitted
-        return total
-
 
 class Tokens:
     """Counts for texts; keeps the counts of words it has met, found by 64-bit hash and compared byte by byte."""
@@ -207,12 +286,11 @@ class Tokens:
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.bytes, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint8), 0
 
-    def keep(self, hashes: np.ndarray, words: list[bytes], counts: np.ndarray) -> None:
-        size = sum(map(len, words))
+    def keep(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> None:
+        size = len(flat)
         if self.used + size > len(self.bytes):
             self.bytes = np.concatenate((self.bytes, np.zeros(max(size, len(self.bytes)), np.uint8)))
-        self.bytes[self.used : self.used + size] = np.frombuffer(b"".join(words), np.uint8)
-        lengths = np.array([len(w) for w in words], np.int64)
+        self.bytes[self.used : self.used + size] = flat
         both = np.concatenate((self.hashes, hashes))
         order = np.argsort(both, kind="stable")
         self.hashes, self.counts = both[order], np.concatenate((self.counts, counts))[order]
@@ -227,14 +305,13 @@ class Tokens:
         at = np.searchsorted(self.hashes, h)
         known = at < len(self.hashes)
         known[known] = self.hashes[at[known]] == h[known]
-        word = lambda i: data[starts[i] : starts[i] + lengths[i]].tobytes()
         if not known.all():
             if len(self.hashes) > MOST_WORDS or self.used > MOST_BYTES:
                 self.forget()
                 return self.of_words(data, starts, lengths)
             new, first = np.unique(h[~known], return_index=True)
-            words = [word(i) for i in np.flatnonzero(~known)[first]]
-            self.keep(new, words, np.array([self.counter.count(w) for w in words], np.int64))
+            own = np.flatnonzero(~known)[first]
+            self.keep(new, gathered(data, starts[own], lengths[own]), lengths[own], self.counter.counts(data, starts[own], lengths[own]))
             at = np.searchsorted(self.hashes, h)
         out = self.counts[at]
         same = self.lengths[at] == lengths
@@ -242,8 +319,8 @@ class Tokens:
         differs = gathered(data, starts[own], lengths[own]) != gathered(self.bytes, self.starts[at[own]], lengths[own])
         if differs.any():
             same[own] = ~np.logical_or.reduceat(differs, np.cumsum(lengths[own]) - lengths[own])
-        for i in np.flatnonzero(~same):  # another word of the same hash
-            out[i] = self.counter.count(word(i))
+        other = np.flatnonzero(~same)  # another word of the same hash
+        out[other] = self.counter.counts(data, starts[other], lengths[other])
         return out
 
     def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -68,6 +68,20 @@ def test_counts_with_colliding_words_and_few_states(monkeypatch, states):
         assert tokens.of_texts(flat, offsets).tolist() == [len(library("byte_bpe_50k.json").encode(t, add_special_tokens=False).ids) for t in rows]
 
 
+@pytest.mark.parametrize(("stretch", "group", "states"), [(64, 1 << 18, 1 << 15), (3, 30, 1 << 15), (7, 70, 5), (64, 64, 5)])
+def test_counts_of_long_words_by_composed_chunk_maps(monkeypatch, stretch, group, states):
+    """Words that never settle, that go on from group to group, and whose states are forgotten on the way."""
+    for name, value in (("STRETCH", stretch), ("GROUP", group), ("MOST_STATES", states)):
+        monkeypatch.setattr(token_counts, name, value)
+    path, turn = public_tokenizers.path("byte_bpe_50k.json"), random.Random(8)
+    with open(path, encoding="utf-8") as f:
+        tokens = token_counts.Tokens(Vocabulary.parse(f.read()))
+    rows = ["=" * 700, "a" * 257, "ab" * 300, "日本" * 200] + ["".join(turn.choice(x) for _ in range(900)) for x in ("=-", "ACGT", "abcdefgh", "日本語漢字")]
+    rows += [" ".join("y" * k for k in range(1, 140)), "z" * 64, "z" * 65, "z" * 128]
+    data, offsets = ragged.buffers(pa.array(rows))
+    assert tokens.of_texts(data, offsets).tolist() == [len(library("byte_bpe_50k.json").encode(t, add_special_tokens=False).ids) for t in rows]
+
+
 def test_splitter_scan_equals_one_walk():
     turn = np.random.default_rng(2)
     to, mark = token_counts.splitter()
