@@ -1,6 +1,7 @@
 """The ten operators: SQL twins, brute force, round trips, and the edges each docstring defines."""
 
 import collections
+import functools
 import hashlib
 import random
 
@@ -32,6 +33,7 @@ def test_sql(name, spark, duck):
     same(registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df())
 
 
+@functools.cache
 def library(name):
     from tokenizers import Tokenizer
 
