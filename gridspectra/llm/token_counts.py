@@ -91,11 +91,12 @@ def classes() -> np.ndarray:
 
     library = ByteLevel(add_prefix_space=False)
     out = np.full(0x110001, OTHER, np.uint8)
+    newer = set(regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000)))))
     for c in range(0x110000):
         kind = category(chr(c))
         if kind[0] in "LN":
             out[c] = LETTER if kind[0] == "L" else NUMBER
-        elif kind == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c)):
+        elif kind == "Cn" and chr(c) in newer:
             for known, mark in (("a", LETTER), ("1", NUMBER)):
                 if len(library.pre_tokenize_str(known + chr(c))) == 1:
                     out[c] = mark
