@@ -65,8 +65,8 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 300, restarts: int = RESTARTS, se
     return min((descend(x, x[s].copy(), rounds) for s in starts), key=lambda found: found[1])[0]
 
 
-def multi_region(eigens: DataFrame, n: int = 4, adaptive: bool = False, vectors: int | None = None, side: int = 10, infer_background: bool = True) -> DataFrame:
-    """Label map of k-means over the eigenvectors after the first; `adaptive` takes n from the largest eigengap."""
+def multi_region(eigens: DataFrame, n: int = 4, adaptive: bool = False, vectors: int | None = None, side: int = 10, infer_background: bool = True, grids: DataFrame | None = None) -> DataFrame:
+    """Label map of k-means over the eigenvectors after the first; `adaptive` takes n from the largest eigengap. `grids` as in `masks.with_side`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -77,24 +77,24 @@ def multi_region(eigens: DataFrame, n: int = 4, adaptive: bool = False, vectors:
             m = int(np.diff(pdf["eigenvalue"])[1:].argmax()) + 2
         v = np.stack(pdf["eigenvector"].to_list()[1:][:vectors]).T
         label = lloyd(v, m)
-        i = np.arange(len(label))
+        i, side = np.arange(len(label)), int(pdf["side"].iloc[0])
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "r": (i // side).astype(np.int32), "c": (i % side).astype(np.int32), "label": label.astype(np.int32)})
 
-    cells = eigens.groupBy("image_id").applyInPandas(run, "image_id int, r int, c int, label int")
-    return masks.background_first(cells, side, side) if infer_background else cells
+    cells = masks.with_side(eigens.select("image_id", "k", "eigenvalue", "eigenvector"), side, grids).groupBy("image_id").applyInPandas(run, "image_id int, r int, c int, label int")
+    return masks.background_first(cells) if infer_background else cells
 
 
-def baseline_regions(features: DataFrame, n: int = 4, side: int = 10, infer_background: bool = True) -> DataFrame:
-    """Label map of k-means over the patch features themselves, in place of eigenvectors."""
+def baseline_regions(features: DataFrame, n: int = 4, side: int = 10, infer_background: bool = True, grids: DataFrame | None = None) -> DataFrame:
+    """Label map of k-means over the patch features themselves, in place of eigenvectors. `grids` as in `masks.with_side`."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("patch")
         label = lloyd(np.stack(pdf["k"].to_list()), n)
-        i = np.arange(len(label))
+        i, side = np.arange(len(label)), int(pdf["side"].iloc[0])
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "r": (i // side).astype(np.int32), "c": (i % side).astype(np.int32), "label": label.astype(np.int32)})
 
-    cells = features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, "image_id int, r int, c int, label int")
-    return masks.background_first(cells, side, side) if infer_background else cells
+    cells = masks.with_side(features.select("image_id", "patch", "k"), side, grids).groupBy("image_id").applyInPandas(run, "image_id int, r int, c int, label int")
+    return masks.background_first(cells) if infer_background else cells
 
 
 def box_features(boxes: DataFrame, patches: DataFrame) -> DataFrame:

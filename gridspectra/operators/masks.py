@@ -12,10 +12,10 @@ from .grid import infer_patch
 BACKGROUND = 0
 
 
-def border_fraction(cells: DataFrame, h: int, w: int) -> DataFrame:
-    """Share of the border that each label of an image holds; corners count twice, labels off the border 0."""
+def border_fraction(cells: DataFrame, h: int | Column, w: int | Column) -> DataFrame:
+    """Share of the border that each label of an image holds; corners count twice, labels off the border 0. h and w may be columns, the same in all cells of an image."""
     flags = sum((F.col(a) == b).cast("int") for a, b in (("c", 0), ("c", w - 1), ("r", 0), ("r", h - 1)))
-    return cells.groupBy("image_id", "label").agg((F.sum(flags) / (2.0 * (h + w))).alias("fraction"))
+    return cells.groupBy("image_id", "label").agg((F.sum(flags) / F.max(F.lit(2.0) * (h + w))).alias("fraction"))
 
 
 def background_label(fractions: DataFrame) -> DataFrame:
@@ -23,8 +23,20 @@ def background_label(fractions: DataFrame) -> DataFrame:
     return fractions.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("image_id", F.col("label").alias("background"))
 
 
-def background_first(cells: DataFrame, h: int, w: int) -> DataFrame:
-    """Labels with the image's most frequent border label and 0 exchanged."""
+def with_side(rows: DataFrame, side: int, grids: DataFrame | None) -> DataFrame:
+    """Rows with `side`, the patches in a row of their image: `w` of `grids` (image_id, w), one row an image; where that has none, the given number."""
+    if grids is None:
+        return rows.withColumn("side", F.lit(side))
+    known = grids.select("image_id", F.col("w").cast("int").alias("known_side"))
+    return rows.join(known, "image_id", "left").withColumn("side", F.coalesce("known_side", F.lit(side))).drop("known_side")
+
+
+def background_first(cells: DataFrame, h: int | Column | None = None, w: int | Column | None = None) -> DataFrame:
+    """Labels with the image's most frequent border label and 0 exchanged. Without h and w each image's own last row and column are borders."""
+    if h is None or w is None:
+        every = Window.partitionBy("image_id")
+        sized = cells.withColumns({"h": F.max("r").over(every) + 1, "w": F.max("c").over(every) + 1})
+        return background_first(sized, F.col("h"), F.col("w")).drop("h", "w")
     b = background_label(border_fraction(cells, h, w))
     swap = F.when(F.col("label") == F.col("background"), 0).when(F.col("label") == 0, F.col("background")).otherwise(F.col("label"))
     return cells.join(b, "image_id").withColumn("label", swap).drop("background")

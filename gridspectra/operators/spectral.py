@@ -144,10 +144,10 @@ def with_color(features: DataFrame, color: DataFrame, weight: float, k: int = 20
     return features.select("image_id", "patch", "k").groupBy("image_id").cogroup(edges.groupBy("edge_image")).applyInPandas(run, EIGEN)
 
 
-def single_region(eigens: DataFrame, threshold: float = 0.0, k: int = 1, side: int = 10) -> DataFrame:
-    """Cells of eigenvector k above the threshold: image_id, r, c, label (0 or 1)."""
-    cells = eigens.where(F.col("k") == k).select("image_id", F.posexplode("eigenvector").alias("patch", "v"))
-    return cells.select("image_id", F.floor(F.col("patch") / side).cast("int").alias("r"), (F.col("patch") % side).alias("c"), (F.col("v") > threshold).cast("int").alias("label"))
+def single_region(eigens: DataFrame, threshold: float = 0.0, k: int = 1, side: int = 10, grids: DataFrame | None = None) -> DataFrame:
+    """Cells of eigenvector k above the threshold: image_id, r, c, label (0 or 1). `grids` as in `masks.with_side`."""
+    cells = masks.with_side(eigens.where(F.col("k") == k).select("image_id", "eigenvector"), side, grids).select("image_id", "side", F.posexplode("eigenvector").alias("patch", "v"))
+    return cells.select("image_id", F.floor(F.col("patch") / F.col("side")).cast("int").alias("r"), (F.col("patch") % F.col("side")).alias("c"), (F.col("v") > threshold).cast("int").alias("label"))
 
 
 def _component_box(pdf_to_mask: Callable, scale: int, diagonal: bool) -> Callable:
@@ -187,13 +187,14 @@ def mask_box(cells: DataFrame, scale: int = 16, images: DataFrame | None = None)
     return masks.to_image(found.join(cells.groupBy("image_id").agg(F.count("*").alias("cells")), "image_id"), images, "cells")
 
 
-def lost_box(features: DataFrame, k: int = 100, scale: int = 16, side: int = 10, images: DataFrame | None = None) -> DataFrame:
+def lost_box(features: DataFrame, k: int = 100, scale: int = 16, side: int = 10, images: DataFrame | None = None, grids: DataFrame | None = None) -> DataFrame:
     """Box of the 4-connected part around the seed of the patches whose summed affinity with its similar ones is positive.
 
-    An image's products stay in its kernel. With `images` (image_id, h, w), boxes are clipped to them.
+    An image's products stay in its kernel. With `images` (image_id, h, w), boxes are clipped to them. `grids` as in `masks.with_side`.
     """
 
     def mask(pdf):
+        side = int(pdf["side"].iloc[0])
         pdf.sort_values("patch", inplace=True)
         f = np.stack(pdf["k"].to_list()).astype(np.float64)
         a = f @ f.T
@@ -208,7 +209,7 @@ def lost_box(features: DataFrame, k: int = 100, scale: int = 16, side: int = 10,
         return m, at
 
     run = _component_box(mask, 1 if images is not None else scale, False)
-    found = features.select("image_id", "patch", "k").groupBy("image_id").applyInPandas(run, BOX)
+    found = masks.with_side(features.select("image_id", "patch", "k"), side, grids).groupBy("image_id").applyInPandas(run, BOX)
     return found if images is None else masks.to_image(found, images, scale=scale)
 
 

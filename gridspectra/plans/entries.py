@@ -117,20 +117,21 @@ def extract_to(features: DataFrame, path: str, config: Extraction | None = None)
 OBJECT_VECTOR = {"laplacian": 1, "matting_laplacian": 1, "affinity": 0}
 
 
-def localize(features: DataFrame | None, truth: DataFrame, images: DataFrame, method: str = "lost", k: int = 100, side: int = 10, scale: int = 16, which: str = "laplacian", eigens: DataFrame | None = None, attention: DataFrame | None = None, keep: float = 0.6, no_hard: bool = True) -> DataFrame:
+def localize(features: DataFrame | None, truth: DataFrame, images: DataFrame, method: str = "lost", k: int = 100, side: int = 10, scale: int = 16, which: str = "laplacian", eigens: DataFrame | None = None, attention: DataFrame | None = None, keep: float = 0.6, no_hard: bool = True, grids: DataFrame | None = None) -> DataFrame:
     """One box an image against its true boxes (image_id, x1, y1, x2, y2): image_id, x1, y1, x2, y2, iou (the best), hit.
 
     method: lost; eigen (the cells above 0 of the vector of `which` in OBJECT_VECTOR, taken from the stored table `eigens` where that is given, found from `features`
-    otherwise); or attention (the cells that hold most of `attention`, image_id, patch, r, c, w). Boxes are clipped to `images` (image_id, h, w).
+    otherwise); or attention (the cells that hold most of `attention`, image_id, patch, r, c, w). Boxes are clipped to `images` (image_id, h, w);
+    `grids` (image_id, w) gives the patches in a row of images that have not `side`.
     Images without true boxes are left out with `no_hard`; otherwise they count as misses of overlap 0.
     """
     if method == "lost":
-        found = spectral.lost_box(features, k, scale, side, images)
+        found = spectral.lost_box(features, k, scale, side, images, grids)
     elif method == "eigen":
         if which not in OBJECT_VECTOR:
             raise ValueError(f"no such matrix: {which}")
         at = OBJECT_VECTOR[which]
-        cells = spectral.single_region(spectral.eigen(features, which, at + 1) if eigens is None else eigens, k=at, side=side)
+        cells = spectral.single_region(spectral.eigen(features, which, at + 1) if eigens is None else eigens, k=at, side=side, grids=grids)
         found = masks.to_image(spectral.mask_box(cells, 1), images, scale=scale)
     elif method == "attention":
         if attention is None:

@@ -393,3 +393,37 @@ def test_nearest_patches_with_ties(spark):
     at = np.concatenate([e, 2.0 * np.array([[i % side, i // side] for i in range(25)]) / (side - 1)], axis=1)
     far = np.round(((at[:, None] - at[None]) ** 2).sum(axis=2), 9)
     assert sorted((x.i, x.j) for x in got) == sorted((i, j) for i in range(25) for j in sorted(range(25), key=lambda j: (far[i, j], j))[:k])
+
+
+def test_images_of_unlike_widths_share_a_table(spark):
+    """Each image's result is that of a table which holds it alone, with its width for all; one without a width takes `side`."""
+    turn, shapes = np.random.default_rng(4), {0: (4, 6), 1: (7, 3), 2: (5, 5)}
+    rows = []
+    for i, (h, w) in shapes.items():
+        base = np.where((np.mgrid[:h, :w][1] < w // 2)[..., None], [1.0, 0.2, 0.1, -0.1], [-0.2, 1.0, -0.1, 0.3])
+        rows += [(i, p, x.tolist()) for p, x in enumerate((base + turn.normal(0, 0.1, (h, w, 4))).reshape(-1, 4))]
+    features = spark.createDataFrame(rows, "image_id int, patch int, k array<double>")
+    grids = spark.createDataFrame([(0, 6), (1, 3)], "image_id int, w int")
+    eigens = spectral.eigen(features, k=3)
+    steps = [
+        lambda keep, **o: spectral.single_region(eigens.where(keep), **o),
+        lambda keep, **o: cluster.multi_region(eigens.where(keep), 2, **o),
+        lambda keep, **o: cluster.baseline_regions(features.where(keep), 2, **o),
+        lambda keep, **o: spectral.lost_box(features.where(keep), 8, **o),
+    ]
+    for step in steps:
+        alone = [tuple(r) for i, (_, w) in shapes.items() for r in step(F.col("image_id") == i, side=w).collect()]
+        together = step(F.lit(True), side=5, grids=grids)
+        assert sorted(alone) == sorted(map(tuple, together.collect())) and alone
+        if "r" in together.columns:
+            sizes = {r.image_id: (r.h + 1, r.w + 1) for r in together.groupBy("image_id").agg(F.max("r").alias("h"), F.max("c").alias("w")).collect()}
+            assert sizes == shapes
+
+
+def test_borders_of_tall_images_are_their_own(spark):
+    tall = [[1, 0, 1], [0, 0, 0], [0, 0, 0], [0, 0, 0], [1, 0, 1], [1, 1, 1]]
+    own = masks.background_first(cells(spark, tall, [[0, 0], [2, 2], [2, 2]]))
+    assert set(own.columns) == {"image_id", "r", "c", "label"}
+    got = {(r.image_id, r.r, r.c): r.label for r in own.collect()}
+    each = [masks.background_first(cells(spark, m), len(m), len(m[0])).collect() for m in (tall, [[0, 0], [2, 2], [2, 2]])]
+    assert got == {(i, r.r, r.c): r.label for i, part in enumerate(each) for r in part}
